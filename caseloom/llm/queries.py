@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from caseloom.llm import mixing
+from caseloom.llm import exact, mixing, tokcount, tokenfile
 
 QUERIES = {
     "op1_pareto_mix": mixing.op1_pareto_mix,
+    "op4_golomb_exact": exact.op4_golomb_exact,
+    "op6_prefix_counts": tokcount.op6_prefix_counts,
+    "op9_orc_tokens": tokenfile.op9_orc_tokens,
 }
 
 ORACLES = {
     "op1_pareto_mix": mixing.ORACLE,
+    "op4_golomb_exact": exact.ORACLE,
 }

@@ -72,11 +72,9 @@ class PrefixCounter:
         return parts
 
     def fit(self, a: bytes, t: bytes) -> bool:
-        found = self.fits.get((a, t))
-        if found is None:
-            if len(self.fits) > 4 * MEMO:
-                self.fits.clear()
-            found = self.fits[a, t] = self.merged(a + t) == [a, t]
+        if len(self.fits) > 4 * MEMO:
+            self.fits.clear()
+        found = self.fits[a, t] = self.merged(a + t) == [a, t]
         return found
 
     def alone(self, t: bytes) -> bool:
@@ -91,20 +89,22 @@ class PrefixCounter:
         if found is not None:
             return found
         raw = text.encode("utf-8", "replace")
-        last, counts, tails, tokens = [b""] * (len(raw) + 1), [0] * (len(raw) + 1), self.tails, self.tokens
+        last, counts, tails, tokens, known = [b""] * (len(raw) + 1), [0] * (len(raw) + 1), self.tails, self.tokens, self.fits.get
         for i in range(1, len(raw) + 1):
-            j, starts = i - 1, []
-            while j >= 0 and (tail := raw[j:i]) in tails:
-                if tail in tokens:
-                    starts.append(j)
-                j -= 1
-            for j in reversed(starts):
+            for j in range(i - 1, -1, -1):
                 t = raw[j:i]
-                if self.fit(last[j], t) if j else self.alone(t):
-                    last[i], counts[i] = t, counts[j] + 1
-                    break
-            else:
-                raise ValueError(f"no token ends {raw[:i]!r}")
+                if t in tokens:
+                    if j:
+                        fits = known((last[j], t))
+                        if fits is None:
+                            fits = self.fit(last[j], t)
+                    else:
+                        fits = self.alone(t)
+                    if fits:
+                        last[i], counts[i] = t, counts[j] + 1
+                        break
+                elif t not in tails:
+                    raise ValueError(f"no token ends {raw[:i]!r}")
         found = counts[1:] if len(raw) == len(text) else [counts[n] for n in accumulate(len(c.encode("utf-8", "replace")) for c in text)]
         if len(self.words) < MEMO and len(text) < 64:
             self.words[text] = found
@@ -151,7 +151,7 @@ class PrefixCounter:
     def changes(self, text: str) -> bytes:
         """The change of the count with each character, as signed bytes."""
         if self.at_special and self.at_special.search(text):
-            return np.diff(np.array(self.counts(text), np.int64), prepend=0).astype(np.int8).tobytes()
+            return _changes(self.counts(text))
         # Pieces never cross from other text to a space, so the text is counted between such places.
         parts = text.split(" ")
         chunks, open_ = [parts[0]], not parts[0] or parts[0][-1] in SPACES
@@ -165,13 +165,17 @@ class PrefixCounter:
         for c in chunks:
             found = get(c)
             if found is None:
-                found = np.diff(np.array(self.plain(c), np.int64), prepend=0).astype(np.int8).tobytes()
+                found = _changes(self.piece(c) if c[1:].isalpha() else self.plain(c))
                 if len(self.chunks) < MEMO and len(c) < 64:
                     self.chunks[c] = found
             out.append(found)
         return b"".join(out)
 
 
+def _changes(counts: list[int]) -> bytes:
+    return bytes([n - m & 255 for m, n in zip([0, *counts], counts, strict=False)])
+
+
 def counter(name: str = BYTE_TOKENIZER) -> PrefixCounter:
     if name not in _held:
         _held[name] = PrefixCounter(name)
