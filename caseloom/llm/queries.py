@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from caseloom.llm import exact, mixing, tokcount, tokenfile
+from caseloom.llm import exact, mixing, packing, sharding, tokcount, tokenfile, toxicity
 
 QUERIES = {
     "op1_pareto_mix": mixing.op1_pareto_mix,
+    "op2_bin_completion": packing.op2_bin_completion,
     "op4_golomb_exact": exact.op4_golomb_exact,
     "op6_prefix_counts": tokcount.op6_prefix_counts,
+    "op7_histogram_sort": sharding.op7_histogram_sort,
     "op9_orc_tokens": tokenfile.op9_orc_tokens,
+    "op10_noisy_or": toxicity.op10_noisy_or,
 }
 
 ORACLES = {

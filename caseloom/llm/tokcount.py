@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.llm.common import text_slices
-from caseloom.llm.tokens import tokenizer_path
+from caseloom.llm.tokens import byte_letters, tokenizer_path
 
 BYTE_TOKENIZER = "byte_bpe_50k.json"
 MEMO = 250_000
@@ -33,20 +33,13 @@ SPACES = frozenset(map(chr, [*range(9, 14), 32, 133, 160, 5760, *range(8192, 820
 _held: dict = {}
 
 
-def _byte_of_char() -> dict[str, int]:
-    """The printable stand-ins of bytes in a byte-level vocabulary: printable Latin-1 stands for itself, the others follow from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
 class PrefixCounter:
     def __init__(self, name: str):
         import regex
 
         with open(tokenizer_path(name), encoding="utf-8") as f:
             spec = json.load(f)
-        byte = _byte_of_char()
+        byte = {c: b for b, c in enumerate(byte_letters())}
         raw = lambda s: bytes(byte[c] for c in s)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.rank = {(raw(a), raw(b)): i for i, (a, b) in enumerate(pairs)}

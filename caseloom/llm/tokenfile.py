@@ -20,6 +20,7 @@ from caseloom.llm.tokens import WORD_TOKENIZER, encoder
 END_ID = 2
 FILE_BYTES = 32 << 20
 STRIPE_BYTES = 16 << 20
+COLUMNS = "doc_id long, part int, n_ids int, ids array<int>"
 
 
 def _encode(tokenizer: str, end: int):
@@ -30,13 +31,13 @@ def _encode(tokenizer: str, end: int):
             flat = np.frombuffer(b"".join([c + last for c in coded]), "<u4").astype(np.int32)
             ends = np.cumsum([0, *(len(c) // 4 + 1 for c in coded)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("part"), lists], ["doc_id", "part", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("part"), pa.array(np.diff(ends)), lists], ["doc_id", "part", "n_ids", "ids"])
 
     return encode
 
 
 def write_token_file(docs: DataFrame, path: str, tokenizer: str = WORD_TOKENIZER, end: int = END_ID, file_bytes: int = FILE_BYTES, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write doc_id, part and ids (array<int>, with the end id) of every row as ORC.
+    """Write doc_id, part, n_ids and ids (array<int>, with the end id) of every row as ORC.
 
     Null texts count as empty and hold the end id alone. Rows without doc_id come first; rows that repeat a
     doc_id are in the order of their texts' hashes. Texts are whole. An empty table leaves a readable table without rows.
@@ -45,12 +46,12 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str = WORD_TOKENIZER
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     ranged = docs.repartitionByRange(max(1, -(-int(total) // file_bytes)), *order).sortWithinPartitions(*order)
-    coded = ranged.withColumn("part", F.spark_partition_id()).mapInArrow(_encode(tokenizer, end), "doc_id long, part int, ids array<int>")
-    coded.write.option("orc.compress", "ZSTD").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.create.index", "true").option("orc.row.index.stride", "1000").option("orc.stripe.size", str(STRIPE_BYTES)).orc(path)
+    coded = ranged.withColumn("part", F.spark_partition_id()).mapInArrow(_encode(tokenizer, end), COLUMNS)
+    coded.write.option("orc.compress", "SNAPPY").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.create.index", "true").option("orc.row.index.stride", "1000").option("orc.stripe.size", str(STRIPE_BYTES)).orc(path)
 
 
 def read_token_file(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("doc_id long, part int, ids array<int>").orc(path)
+    return spark.read.schema(COLUMNS).orc(path)
 
 
 def _digest(batches):
@@ -67,8 +68,8 @@ def token_file_index(stored: DataFrame) -> DataFrame:
 
     Starts are running sums within a part plus what all earlier parts hold, so no task orders more than a part.
     """
-    got = stored.withColumn("text_order", F.monotonically_increasing_id()).mapInArrow(_digest, "doc_id long, part int, n_tokens long, ids_crc32 long, text_order long")
-    parts = stored.groupBy("part").agg(F.sum(F.size("ids")).alias("held"))
+    got = stored.select("doc_id", "part", "ids", F.monotonically_increasing_id().alias("text_order")).mapInArrow(_digest, "doc_id long, part int, n_tokens long, ids_crc32 long, text_order long")
+    parts = stored.groupBy("part").agg(F.sum("n_ids").alias("held"))
     parts = parts.select("part", (F.sum("held").over(Window.orderBy("part")) - F.col("held")).alias("base"))
     inside = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "text_order").rowsBetween(Window.unboundedPreceding, -1)
     got = got.withColumn("before", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
