@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from caseloom.llm.common import staged
 
 #: The codebooks are fitted on so many vectors at most, chosen by the hash of their id.
-SAMPLE = 20_000
-BOOKS, WORDS, BEAM, ROUNDS = 8, 256, 8, 12
+SAMPLE = 12_000
+BOOKS, WORDS, BEAM, ROUNDS = 24, 256, 4, 8
 #: Candidates that are ranked again exactly, for each query.
 SHORTLIST = 400
 SLICE_ROWS, BLOCK_QUERIES = 50_000, 1_000
@@ -37,18 +37,18 @@ def usable(vec: Column) -> Column:
 def _fit(table: pd.DataFrame) -> pd.DataFrame:
     sizes = table["vec"].map(len)
     dims = int(sizes.mode().min()) if len(table) else 0
-    left = np.stack(table["vec"][sizes == dims].to_numpy()).astype(np.float64)[:SAMPLE]
+    left = np.stack(table["vec"][sizes == dims].to_numpy()).astype(np.float32)[:SAMPLE]
     rng, books = np.random.default_rng(7), []
     for _ in range(BOOKS):
         words = left[rng.permutation(len(left))[: min(WORDS, len(left))]].copy()
-        for _ in range(ROUNDS):
+        for again in range(ROUNDS + 1):
             near = np.argmin((words * words).sum(1) - 2 * left @ words.T, axis=1)
-            counts = np.bincount(near, minlength=len(words))
-            sums = np.zeros_like(words)
-            np.add.at(sums, near, left)
-            words[counts > 0] = sums[counts > 0] / counts[counts > 0, None]
-        left = left - words[np.argmin((words * words).sum(1) - 2 * left @ words.T, axis=1)]
-        books.append(words)
+            if again < ROUNDS:
+                order = np.argsort(near, kind="stable")
+                filled, at = np.unique(near[order], return_index=True)
+                words[filled] = np.add.reduceat(left[order], at, axis=0) / np.diff(at, append=len(near))[:, None]
+        left = left - words[near]
+        books.append(words.astype(np.float64))
     return pd.DataFrame({"dims": [dims], "books": [np.concatenate(books).astype("<f8").tobytes()]})
 
 
@@ -67,8 +67,8 @@ def fit_codebooks(vectors: DataFrame) -> np.ndarray:
 
 def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
     """Codes and squared norms of the approximations. At each codebook the beam keeps the sums nearest to the vector."""
-    n = len(x)
-    left, codes = x[:, None, :], np.zeros((n, 1, 0), np.uint8)
+    n, books = len(x), books.astype(np.float32)
+    left, codes = x.astype(np.float32)[:, None, :], np.zeros((n, 1, 0), np.uint8)
     for words in books:
         far = (left * left).sum(2)[:, :, None] + (words * words).sum(1) - 2 * left @ words.T
         width = min(beam, far.shape[1] * far.shape[2])
@@ -80,8 +80,9 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
         codes = np.concatenate([codes[row, from_], word[:, :, None].astype(np.uint8)], axis=2)
     best = np.argmin((left * left).sum(2), axis=1)
     row = np.arange(n)
-    approx = x - left[row, best]
-    return codes[row, best], (approx * approx).sum(1)
+    codes = codes[row, best]
+    approx = sum(words[codes[:, m]].astype(np.float64) for m, words in enumerate(books))
+    return codes, (approx * approx).sum(1)
 
 
 def _encode(books):

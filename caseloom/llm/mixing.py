@@ -62,25 +62,29 @@ def _ranked(rows: DataFrame, state: DataFrame, cap: float, rounds: int) -> DataF
     return x.withColumn("extra", taken & (F.col("p") > 0) & (F.col("size") > 0))
 
 
-def mix(docs: DataFrame, weights=(5, 2, 1), cap: float = 3.0, total_share: float = 1.0, priority_col: str | None = None, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Return one row per input row: id, source, size, source_size, target, copies, taken.
+def _sized(docs: DataFrame, source_col: str, id_col: str, text_col: str, priority_col: str | None, whole: bool) -> DataFrame:
+    """What the mix needs of each row; with whole, the row itself as well."""
+    spread = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null"))), 1, 13), 16, 10).cast("bigint")
+    return docs.select(
+        F.col(id_col).alias("doc_id"),
+        F.col(source_col).alias("source"),
+        F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n")).alias("skey"),
+        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
+        (F.col(priority_col).cast("double") if priority_col else F.lit(None).cast("double")).alias("priority"),
+        ((spread + 0.5) / F.lit(float(1 << 52))).alias("u"),
+        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole else []),
+    )
+
+
+def mix(docs: DataFrame, weights=(5, 2, 1), cap: float = 3.0, total_share: float = 1.0, priority_col: str | None = None, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """Return one row per input row: doc_id, source, size, source_size, target, copies, taken; with whole, also the input row as ``row``.
 
     Null text counts as no words; a null source is a source of its own; documents without words
     take no copies and no words. Rows that repeat a doc_id share its random number and are taken together.
     An empty table gives an empty result. A null priority counts as the mean. Other columns are ignored.
     """
-    spread = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null"))), 1, 13), 16, 10).cast("bigint")
-    rows = staged(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).alias("source"),
-            F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n")).alias("skey"),
-            F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
-            (F.col(priority_col).cast("double") if priority_col else F.lit(None).cast("double")).alias("priority"),
-            ((spread + 0.5) / F.lit(float(1 << 52))).alias("u"),
-        ),
-        "mix-sizes",
-    )
+    sized = lambda whole: _sized(docs, source_col, id_col, text_col, priority_col, whole)
+    rows = staged(sized(False), "mix-sizes")
     sources = rows.groupBy("skey").agg(
         F.first("source").alias("source"),
         F.sum("size").alias("source_size"),
@@ -105,8 +109,15 @@ def mix(docs: DataFrame, weights=(5, 2, 1), cap: float = 3.0, total_share: float
         state = state.join(full, "skey", "left").join(inside, "skey", "left")
         state = state.withColumn(f"cut{r}", F.coalesce("cut_in", "cut_full")).withColumn(f"gap{r + 1}", F.col(gap) - F.coalesce("words_in", "words_full", F.lit(0)))
         state = staged(state.drop("cut_full", "words_full", "cut_in", "words_in"), "mix-cut")
-    done = _ranked(rows.drop("source"), small(state), cap, ROUNDS).withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + F.col("extra").cast("bigint")).otherwise(F.lit(0)).cast("bigint"))
-    return done.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    done = _ranked((sized(True) if whole else rows).drop("source"), small(state), cap, ROUNDS)
+    done = done.withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + F.col("extra").cast("bigint")).otherwise(F.lit(0)).cast("bigint"))
+    return done.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), *(["row"] if whole else []))
+
+
+def repeated(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: the rows of docs, each as often as it is taken."""
+    taken = mix(docs, whole=True, **options).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select("row.*")
 
 
 def _oracle() -> str:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from caseloom.llm import exact, mixing, packing, sharding, tokcount, tokenfile, toxicity
+from caseloom.llm import ann, exact, linedup, mixing, neardup, packing, sharding, tokcount, tokenfile, toxicity
 
 QUERIES = {
     "op1_pareto_mix": mixing.op1_pareto_mix,
     "op2_bin_completion": packing.op2_bin_completion,
+    "op3_coordinate_join": neardup.op3_coordinate_join,
     "op4_golomb_exact": exact.op4_golomb_exact,
+    "op5_additive_quantisation": ann.op5_additive_quantisation,
     "op6_prefix_counts": tokcount.op6_prefix_counts,
     "op7_histogram_sort": sharding.op7_histogram_sort,
+    "op8_patience_lines": linedup.op8_patience_lines,
     "op9_orc_tokens": tokenfile.op9_orc_tokens,
     "op10_noisy_or": toxicity.op10_noisy_or,
 }

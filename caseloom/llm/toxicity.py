@@ -28,6 +28,7 @@ SAMPLE = 12_000
 LEAST_DOCS, LEAST_Z = 4, 4.0
 EPOCHS, RATE, DECAY, START = 30, 0.5, 1e-6, -7.0
 MEMO = 300_000
+SCORE, SPANS = "toxicity", "toxic_spans"
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 STRIP = "\"'()[]{}<>.,;:!?-_*#«»¿¡"
 
@@ -146,30 +147,33 @@ class Scorer:
 _held: dict = {}
 
 
-def _score(key: str, shared):
+def _score(key: str, shared, text_col: str, keep: bool):
     def score(batches):
         if key not in _held:
             _held.clear()
             _held[key] = Scorer(shared.value)
         scorer = _held[key]
-        for batch in text_slices(batches, "text"):
-            got = [scorer.document(t) for t in batch.column("text").to_pylist()]
+        for batch in text_slices(batches, text_col):
+            got = [scorer.document(t or "") for t in batch.column(text_col).to_pylist()]
             spans = pa.array([[{"start": a, "end": b, "score": p} for a, b, p in s] for _, s in got], pa.list_(pa.struct({"start": pa.int32(), "end": pa.int32(), "score": pa.float64()})))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in batch.schema.names if c != "text"] + [pa.array([p for p, _ in got], pa.float64()), spans], [c for c in batch.schema.names if c != "text"] + ["score", "spans"])
+            kept = [c for c in batch.schema.names if keep or c != text_col]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array([p for p, _ in got], pa.float64()), spans], [*kept, SCORE, SPANS])
 
     return score
 
 
-def score(spark: SparkSession, docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Return doc_id, score and spans (start, end, score of the offending sentences, in characters of the lower-cased text) for each row.
+def score(spark: SparkSession, docs: DataFrame, model: DataFrame, keep: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Return doc_id, toxicity and toxic_spans (start, end, score of the offending sentences, in characters of the lower-cased text) for each row.
 
-    Empty and null texts get the score of no sentence at all, 0. Other columns are ignored; an empty table gives an empty result.
-    The model has a row for each feature that the bounded sample supports, so it may be sent to all executors.
+    With keep, all columns of docs instead of doc_id alone; columns of docs named as the two new ones are replaced. Empty and null texts get
+    the score of no sentence at all, 0. An empty table gives an empty result. The model has a row for each feature that the bounded sample
+    supports, so it may be sent to all executors.
     """
     weights = {r["feature"]: r["weight"] for r in model.collect()}
     key = str(zlib.crc32(repr(sorted(weights.items())).encode()))
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return docs.mapInArrow(_score(key, spark.sparkContext.broadcast(weights)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, spans array<struct<start:int,end:int,score:double>>")
+    docs = docs.drop(SCORE, SPANS) if keep else docs.select(id_col, text_col)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if keep or f.name != text_col]
+    return docs.mapInArrow(_score(key, spark.sparkContext.broadcast(weights), text_col, keep), ", ".join([*fields, f"{SCORE} double", f"{SPANS} array<struct<start:int,end:int,score:double>>"]))
 
 
 def held_out(doc_id) -> F.Column:
@@ -187,4 +191,4 @@ def op10_noisy_or(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(labelled_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     scored = score(spark, docs, model)
-    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= 0.5).cast("int").alias("predicted"))
