@@ -61,9 +61,9 @@ def inter_case_state(log: DataFrame, width: int = 6 * HOUR) -> DataFrame:
     return s.crossJoin(F.broadcast(cut)).withColumn("state", state).drop("a90", "e90", "e10")  # one row of quantiles
 
 
-def state_frequency(states: DataFrame, at: str = "bucket") -> DataFrame:
-    """bucket, state, n, share; states that a bucket lacks have zero."""
-    n = states.groupBy(at, "state").agg(F.count(F.lit(1)).alias("n"))
+def state_frequency(states: DataFrame, at: str = "bucket", weight: str | None = None) -> DataFrame:
+    """bucket, state, n (rows, or the sum of weight), share; states that a bucket lacks have zero."""
+    n = states.groupBy(at, "state").agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
     every = states.select(at).distinct().crossJoin(F.broadcast(states.select("state").distinct()))  # few states
     full = every.join(n, [at, "state"], "left").na.fill(0, ["n"])
     return full.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(at)))
