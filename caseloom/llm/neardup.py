@@ -124,6 +124,25 @@ def _likely(batches):
         yield batch.select(["a", "b"]).filter(pa.array(good))
 
 
+def _alike(least: int):
+    def run(batches):
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
+            yield batch.select(["a", "b"]).filter(pa.array((a == b).sum(1) >= least))
+
+    return run
+
+
+def likely_copies(pairs: DataFrame, docs: DataFrame, share: float, k: int = 5) -> DataFrame:
+    """Those of the staged pairs (a, b) of documents (doc_id, text) whose signatures agree in this share of their minima."""
+    wanted = small(staged(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "alike-wanted"))
+    chosen = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text")
+    sigs = chosen.mapInArrow(_signatures(k), "doc_id long, n long, set_a long, set_b long, keys array<long>, sig binary").where("n > 0").select("doc_id", "sig").dropDuplicates(["doc_id", "sig"])
+    sigs = staged(sigs, "alike-signatures")
+    both = pairs.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b")
+    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(_alike(round(share * COORDINATES * MINIMA)), "a long, b long").distinct()
+
+
 def _cell_pairs(rows: list[dict]) -> list[tuple[int, int]]:
     """Pairs of one cell: rows of one side with each other, or of two sides across."""
     side = np.array([r["side"] for r in rows])
