@@ -12,6 +12,10 @@ from caseloom.llm import linedup, mixing, neardup, packing, toxicity
 from caseloom.llm.common import WORD, shared_path, small, staged
 
 
+#: Documents with this share of equal signature minima are copies as wholes: below the 0.8 of the stage that removes them, for it is an estimate.
+SPARE = 0.7
+
+
 def toxic_documents(spark, docs, sf_dir):
     """Documents whose toxicity is at least one half go. The model is fitted on a bounded sample of the labelled documents."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -21,8 +25,11 @@ def toxic_documents(spark, docs, sf_dir):
 
 
 def line_duplicates(spark, docs, sf_dir):
-    """Blocks of lines that an earlier document has too are deleted; a document of which nothing is left goes. n_chars follows the text."""
-    out = linedup.delete_repeated(docs, counts=("__lines", "__deleted"))
+    """Blocks of lines that an earlier document has too are deleted; a document of which nothing is left goes. n_chars follows the text.
+
+    Documents that are near copies as wholes are left to the next stage.
+    """
+    out = linedup.delete_repeated(docs, spare=SPARE, counts=("__lines", "__deleted"))
     out = out.where((F.col("__deleted") == 0) | F.col("text").rlike(WORD))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__deleted") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
