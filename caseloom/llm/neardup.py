@@ -8,8 +8,9 @@
 3. In each list every class is compared with the list's first one; those that are similar are linked and form
    components. Lists within one component are done, whatever their size.
 4. In the lists that are left, classes of different components are compared in blocks of bounded size: agreeing coordinates are
-   counted, and a pair is skipped in all lists but that of its first agreeing coordinate.
-5. Pairs above the thresholds are confirmed on the full shingle sets of the texts, and the components are found again with these links.
+   counted, and a pair is skipped in all lists but that of its first agreeing coordinate. Pairs above the thresholds are held against
+   the LOWEST smallest hashes of both sets (all of them, for most documents).
+5. Pairs that remain are confirmed on the full shingle sets of the texts, and the components are found again with these links.
 
 At a similarity of 0.8 a coordinate agrees with probability 0.51 and a minimum with 0.8, so a pair misses one of
 the thresholds about once in ten million. No list, group or component is collected, capped or expanded into all pairs.
@@ -30,6 +31,8 @@ COORDINATES, MATCHES, MINIMA = 40, 5, 3
 LEAST_MINIMA = 72
 PREFIX = COORDINATES - MATCHES + 1
 BLOCK = 256
+#: Hashes of a set that travel with its signature; by how many standard deviations an estimate from them may fall short.
+LOWEST, SLACK = 256, 5.5
 #: Lists (a key and an id each) up to this many may be broadcast.
 LIST_ROWS = 1_000_000
 
@@ -43,6 +46,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+SIGNATURE = "doc_id long, n long, set_a long, set_b long, keys array<long>, sig binary, low binary"
+
 _powers: list[np.ndarray] = []
 
 
@@ -110,7 +115,8 @@ def _signatures(k: int):
                 both = [np.array([f(s).sum(dtype=np.uint64) for s in sets], np.uint64).astype(np.int64) for f in (lambda x: x, lambda x: _mix(x ^ _BASE))]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * PREFIX), pa.array(keys.reshape(-1)))
                 sigs = pa.array([x.tobytes() for x in (minima & np.uint64(0xFFFF)).astype("<u2")], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(both[0]), pa.array(both[1]), lists, sigs], ["doc_id", "n", "set_a", "set_b", "keys", "sig"])
+                low = pa.array([(s[:LOWEST] >> np.uint64(32)).astype("<u4").tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(both[0]), pa.array(both[1]), lists, sigs, low], ["doc_id", "n", "set_a", "set_b", "keys", "sig", "low"])
 
     return run
 
@@ -137,17 +143,28 @@ def likely_copies(pairs: DataFrame, docs: DataFrame, share: float, k: int = 5) -
     """Those of the staged pairs (a, b) of documents (doc_id, text) whose signatures agree in this share of their minima."""
     wanted = small(staged(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "alike-wanted"))
     chosen = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text")
-    sigs = chosen.mapInArrow(_signatures(k), "doc_id long, n long, set_a long, set_b long, keys array<long>, sig binary").where("n > 0").select("doc_id", "sig").dropDuplicates(["doc_id", "sig"])
+    sigs = chosen.mapInArrow(_signatures(k), SIGNATURE).where("n > 0").select("doc_id", "sig").dropDuplicates(["doc_id", "sig"])
     sigs = staged(sigs, "alike-signatures")
     both = pairs.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b")
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(_alike(round(share * COORDINATES * MINIMA)), "a long, b long").distinct()
 
 
-def _cell_pairs(rows: list[dict]) -> list[tuple[int, int]]:
+def _may_link(a: np.ndarray, n: int, b: np.ndarray, m: int, percent: int) -> bool:
+    """Whether sets of n and m elements can be similar enough, by the smallest hashes of each."""
+    top = min(int(a[-1]) if n > len(a) else 1 << 32, int(b[-1]) if m > len(b) else 1 << 32)
+    x, y = (a, b) if top == 1 << 32 else (a[a <= top], b[b <= top])
+    common = len(np.intersect1d(x, y, assume_unique=True)) if n == len(a) and m == len(b) else len(np.intersect1d(x, y))
+    union = len(x) + len(y) - common
+    slack = 0.0 if top == 1 << 32 else SLACK * 100 * np.sqrt(percent / 100 * (1 - percent / 100) * union)
+    return 100 * common + slack >= percent * union
+
+
+def _cell_pairs(rows: list[dict], percent: int) -> list[tuple[int, int]]:
     """Pairs of one cell: rows of one side with each other, or of two sides across."""
     side = np.array([r["side"] for r in rows])
     ids, comp = np.array([r["rid"] for r in rows], np.int64), np.array([r["comp"] for r in rows], np.int64)
     sig = np.frombuffer(b"".join(r["sig"] for r in rows), "<u2").reshape(len(rows), -1)
+    low = [np.frombuffer(r["low"], "<u4") for r in rows]
     own, c = rows[0]["own"], rows[0]["c"]
     left = np.flatnonzero(side == 0)
     right = left if own else np.flatnonzero(side == 1)
@@ -160,25 +177,30 @@ def _cell_pairs(rows: list[dict]) -> list[tuple[int, int]]:
             same = sig[others] == sig[i]
             agree = same.reshape(len(others), COORDINATES, MINIMA).all(2)
             good = (same.sum(1) >= LEAST_MINIMA) & (agree.sum(1) >= MATCHES) & (agree.argmax(1) == c)
-            out += [(min(x, int(ids[i])), max(x, int(ids[i]))) for x in ids[others[good]].tolist()]
+            for j in others[good].tolist():
+                if _may_link(low[i], rows[i]["n"], low[j], rows[j]["n"], percent):
+                    out.append((min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))))
     return out
 
 
-def _cells(batches):
-    """Rows in order of their cell -> candidate pairs; only the rows of one cell are held."""
-    cell, rows = None, []
-    for batch in batches:
-        out = []
-        for r in batch.to_pylist():
-            if r["cell"] != cell:
-                if len(rows) > 1:
-                    out += _cell_pairs(rows)
-                cell, rows = r["cell"], []
-            rows.append(r)
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
-    if len(rows) > 1:
-        out = _cell_pairs(rows)
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+def _cells(percent: int):
+    def run(batches):
+        """Rows in order of their cell -> candidate pairs; only the rows of one cell are held."""
+        cell, rows = None, []
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if r["cell"] != cell:
+                    if len(rows) > 1:
+                        out += _cell_pairs(rows, percent)
+                    cell, rows = r["cell"], []
+                rows.append(r)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+        if len(rows) > 1:
+            out = _cell_pairs(rows, percent)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return run
 
 
 def shingles(text: str, k: int) -> set:
@@ -235,7 +257,7 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
     keeps its own n_shingles. A null doc_id takes no part: its component is null and it is kept. Empty tables give empty results.
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = staged(docs.mapInArrow(_signatures(k), "doc_id long, n long, set_a long, set_b long, keys array<long>, sig binary"), "near-signatures")
+    rows = staged(docs.mapInArrow(_signatures(k), SIGNATURE), "near-signatures")
     linked = rows.where("n > 0 AND doc_id IS NOT NULL")
     same = linked.groupBy("n", "set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").drop("last")
     same = small(staged(same, "near-classes"))
@@ -244,7 +266,7 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
     posts = reps.select("rid", F.posexplode("keys").alias("c", "key"))
     lists = posts.groupBy("key").agg(F.min("rid").alias("leader"), F.max("rid").alias("last")).where("leader < last").drop("last")
     posts = staged(posts.join(small(staged(lists, "near-lists"), LIST_ROWS), "key").select("key", "c", "rid", "leader"), "near-postings")
-    sigs = staged(reps.join(small(staged(posts.select("rid").distinct(), "near-posted")), "rid", "left_semi").select("rid", "sig").dropDuplicates(["rid", "sig"]), "near-posted-signatures")
+    sigs = staged(reps.join(small(staged(posts.select("rid").distinct(), "near-posted")), "rid", "left_semi").select("rid", "n", "sig", "low").dropDuplicates(["rid", "sig"]), "near-posted-signatures")
     first = posts.where("rid != leader").select(F.col("leader").alias("a"), F.col("rid").alias("b")).distinct()
     first = first.join(sigs.select(F.col("rid").alias("b"), F.col("sig").alias("sig_b")), "b").join(sigs.select(F.col("rid").alias("a"), F.col("sig").alias("sig_a")), "a")
     first = staged(first.select("a", "b", "sig_a", "sig_b").mapInArrow(_likely, "a long, b long"), "near-first-pairs")
@@ -257,9 +279,9 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
     mixed = mixed.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     cells = named.join(small(staged(mixed, "near-mixed"), LIST_ROWS), "key").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).withColumn("side", (F.col("block") > F.col("other")).cast("int"))
-    cells = cells.join(sigs, "rid").select(F.xxhash64("key", "low", "high").alias("cell"), "key", "c", "rid", "comp", "side", (F.col("low") == F.col("high")).alias("own"), "sig")
-    found = cells.repartition("cell").sortWithinPartitions("cell", "rid").select("cell", "c", "rid", "comp", "side", "own", "sig").mapInArrow(_cells, "a long, b long")
+    cells = cells.withColumn("first", F.least("block", "other")).withColumn("second", F.greatest("block", "other")).withColumn("side", (F.col("block") > F.col("other")).cast("int"))
+    cells = cells.join(sigs, "rid").select(F.xxhash64("key", "first", "second").alias("cell"), "key", "c", "rid", "comp", "side", (F.col("first") == F.col("second")).alias("own"), "n", "sig", "low")
+    found = cells.repartition("cell").sortWithinPartitions("cell", "rid").select("cell", "c", "rid", "comp", "side", "own", "n", "sig", "low").mapInArrow(_cells(percent), "a long, b long")
     found = staged(found.distinct().join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "near-pairs")
     more = confirmed(found, docs, k, percent)
     comps = small(components(links.select("a", "b").unionAll(more)))
