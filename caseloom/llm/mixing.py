@@ -53,9 +53,9 @@ def source_targets(sources: DataFrame, weights=(5, 2, 1), cap: float = 3.0, tota
 def _ranked(rows: DataFrame, state: DataFrame, cap: float, rounds: int) -> DataFrame:
     """rows with what the state of their source decides: whole copies, rank q, and whether an earlier round took them."""
     x = rows.join(state, "skey")
-    expected = F.least(F.col("ratio") * F.coalesce(F.col("priority") / F.col("mean_priority"), F.lit(1.0)), F.lit(float(cap)))
+    expected = F.least(F.col("ratio") * F.coalesce(F.col("priority") / F.nullif(F.col("mean_priority"), F.lit(0.0)), F.lit(1.0)), F.lit(float(cap)))
     x = x.withColumn("whole", F.floor(expected)).withColumn("p", expected - F.col("whole"))
-    x = x.withColumn("q", (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p"))))
+    x = x.withColumn("q", (F.col("u") / (1 - F.col("u"))) / F.nullif(F.col("p") / (1 - F.col("p")), F.lit(0.0)))
     taken = F.lit(False)
     for r in range(1, rounds + 1):
         taken = taken | F.coalesce((F.col("size") <= F.col(f"gap{r}")) & (F.col("q") <= F.col(f"cut{r}")), F.lit(False))
@@ -88,10 +88,10 @@ def mix(docs: DataFrame, weights=(5, 2, 1), cap: float = 3.0, total_share: float
     sources = rows.groupBy("skey").agg(
         F.first("source").alias("source"),
         F.sum("size").alias("source_size"),
-        (F.sum(F.col("priority") * F.col("size")) / F.sum(F.when(F.col("priority").isNotNull(), F.col("size")))).alias("mean_priority"),
+        (F.sum(F.col("priority") * F.col("size")) / F.nullif(F.sum(F.when(F.col("priority").isNotNull(), F.col("size"))), F.lit(0))).alias("mean_priority"),
     )
     targets = source_targets(sources, weights, cap, total_share).join(sources.select("skey", "mean_priority"), "skey")
-    state = staged(targets.withColumn("ratio", F.coalesce(F.col("target") / F.col("source_size"), F.lit(0.0))), "mix-targets")
+    state = staged(targets.withColumn("ratio", F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0))), "mix-targets")
     whole = _ranked(rows.drop("source"), small(state), cap, 0).groupBy("skey").agg(F.sum(F.col("whole") * F.col("size")).alias("certain"))
     state = staged(state.join(whole, "skey", "left").withColumn("gap1", F.col("target") - F.coalesce("certain", F.lit(0))).drop("certain"), "mix-gap")
     for r in range(1, ROUNDS + 1):

@@ -47,7 +47,7 @@ def _fit(table: pd.DataFrame) -> pd.DataFrame:
     words: dict[str, list[int]] = {}
     for text, toxic in zip(table["text"], table["toxic"], strict=True):
         sentences = []
-        for s in SENTENCE.findall(text.lower()) or [""]:
+        for s in [s for s in SENTENCE.findall(text.lower()) if not s.isspace()] or [""]:
             ids: set[int] = set()
             for w in s.split():
                 got = words.get(w)
@@ -137,11 +137,13 @@ class Scorer:
         clean, spans, at = 0.0, [], 0
         low = text.lower()
         for m in SENTENCE.finditer(low):
+            if m[0].isspace():
+                continue
             p = self.sentence(m[0])
             clean += math.log1p(-min(p, 1 - 1e-12))
             if p >= 0.5:
                 spans.append((m.start(), m.end(), p))
-        return -math.expm1(clean), spans
+        return max(0.0, -math.expm1(clean)), spans
 
 
 _held: dict = {}

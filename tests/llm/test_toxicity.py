@@ -24,9 +24,9 @@ def model(spark):
 
 
 def test_offending_sentences(spark, model):
-    text = "Clean words number one. What an IDIOT you are! They go on here."
+    text = "Clean words number one. You total IDIOT there! They go on here."
     r = toxicity.score(spark, spark.createDataFrame([(1, text), (2, "they go on here.")], "doc_id long, text string"), model).orderBy("doc_id").collect()
-    assert r[0].toxicity > 0.5 > r[1].toxicity and [text[s.start : s.end].strip() for s in r[0].toxic_spans] == ["What an IDIOT you are!"] and r[1].toxic_spans == []
+    assert r[0].toxicity > 0.5 > r[1].toxicity and [text[s.start : s.end].strip() for s in r[0].toxic_spans] == ["You total IDIOT there!"] and r[1].toxic_spans == []
 
 
 def test_odd_rows(spark, model, odd, none):
