@@ -47,4 +47,4 @@ def arrival_residual(expected: DataFrame, arrivals: DataFrame, width_us: int) ->
     n = arrivals.groupBy((F.floor(F.col("first_us") / width_us) * width_us).alias("bucket_us")).agg(F.count(F.lit(1)).alias("observed"))
     hours = width_us / 3_600_000_000
     e = expected.join(n, "bucket_us", "left").na.fill(0, ["observed"]).withColumn("expected", F.col("expected") * hours)
-    return e.select("bucket_us", "observed", F.round("expected", 6).alias("expected"), F.round(F.col("observed") - F.col("expected"), 6).alias("residual"), F.round(F.col("observed") / F.col("expected"), 6).alias("ratio"))
+    return e.select("bucket_us", "observed", F.round("expected", 6).alias("expected"), F.round(F.col("observed") - F.col("expected"), 6).alias("residual"), F.round(F.col("observed") / F.nullif(F.col("expected"), F.lit(0.0)), 6).alias("ratio"))

@@ -193,7 +193,7 @@ def phase_report(log: DataFrame, without: str, ended: str, before: tuple[str, st
         case.join(phases(log), "case_id")
         .groupBy("phase")
         .agg(
-            F.count(F.lit(1)).alias("cases"), F.round(F.count(F.lit(1)) / days, 6).alias("per_day"), share(F.col("x").isNull()).alias("without"),
+            F.count(F.lit(1)).alias("cases"), F.round(F.count(F.lit(1)) / F.nullif(days, F.lit(0.0)), 6).alias("per_day"), share(F.col("x").isNull()).alias("without"),
             share(F.col("a") < F.col("b")).alias("precedes"), share(F.col("last") == ended).alias("ended"),
         )
     )

@@ -29,7 +29,7 @@ def pool_utilisation(log: DataFrame) -> DataFrame:
     member = log.groupBy("pool", "resource").agg(F.sum(F.col("ts_us") - F.col("start_us")).alias("busy"), F.min("start_us").alias("a"), F.max("ts_us").alias("b"))
     span = (F.max("b") - F.min("a")) * F.count(F.lit(1))
     return member.groupBy("pool").agg(
-        F.count(F.lit(1)).alias("members"), F.round(F.sum("busy") / 1e6, 6).alias("busy_s"), F.round(F.sum("busy") / span, 6).alias("utilisation"), F.round(F.max("busy") / 1e6, 6).alias("most_s"), F.round(F.min("busy") / 1e6, 6).alias("least_s")
+        F.count(F.lit(1)).alias("members"), F.round(F.sum("busy") / 1e6, 6).alias("busy_s"), F.round(F.sum("busy") / F.nullif(span, F.lit(0)), 6).alias("utilisation"), F.round(F.max("busy") / 1e6, 6).alias("most_s"), F.round(F.min("busy") / 1e6, 6).alias("least_s")
     )
 
 
