@@ -149,7 +149,7 @@ class Scorer:
 _held: dict = {}
 
 
-def _score(key: str, shared, text_col: str, keep: bool):
+def _score(key: str, shared, text_col: str, keep: bool, names: tuple[str, str]):
     def score(batches):
         if key not in _held:
             _held.clear()
@@ -159,12 +159,12 @@ def _score(key: str, shared, text_col: str, keep: bool):
             got = [scorer.document(t or "") for t in batch.column(text_col).to_pylist()]
             spans = pa.array([[{"start": a, "end": b, "score": p} for a, b, p in s] for _, s in got], pa.list_(pa.struct({"start": pa.int32(), "end": pa.int32(), "score": pa.float64()})))
             kept = [c for c in batch.schema.names if keep or c != text_col]
-            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array([p for p, _ in got], pa.float64()), spans], [*kept, SCORE, SPANS])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array([p for p, _ in got], pa.float64()), spans], [*kept, *names])
 
     return score
 
 
-def score(spark: SparkSession, docs: DataFrame, model: DataFrame, keep: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(spark: SparkSession, docs: DataFrame, model: DataFrame, keep: bool = False, names: tuple[str, str] = (SCORE, SPANS), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Return doc_id, toxicity and toxic_spans (start, end, score of the offending sentences, in characters of the lower-cased text) for each row.
 
     With keep, all columns of docs instead of doc_id alone; columns of docs named as the two new ones are replaced. Empty and null texts get
@@ -173,9 +173,9 @@ def score(spark: SparkSession, docs: DataFrame, model: DataFrame, keep: bool = F
     """
     weights = {r["feature"]: r["weight"] for r in model.collect()}
     key = str(zlib.crc32(repr(sorted(weights.items())).encode()))
-    docs = docs.drop(SCORE, SPANS) if keep else docs.select(id_col, text_col)
+    docs = docs.drop(*names) if keep else docs.select(id_col, text_col)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if keep or f.name != text_col]
-    return docs.mapInArrow(_score(key, spark.sparkContext.broadcast(weights), text_col, keep), ", ".join([*fields, f"{SCORE} double", f"{SPANS} array<struct<start:int,end:int,score:double>>"]))
+    return docs.mapInArrow(_score(key, spark.sparkContext.broadcast(weights), text_col, keep, names), ", ".join([*fields, f"`{names[0]}` double", f"`{names[1]}` array<struct<start:int,end:int,score:double>>"]))
 
 
 def held_out(doc_id) -> F.Column:

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 pipeline = pytest.importorskip("corpus_pipeline")
 SF = "/root/testdata/sf0.001"
@@ -26,6 +27,8 @@ def test_stages_take_odd_and_empty_tables(spark, odd, none, n):
     assert stage(spark, odd, SF).count() > 0 and stage(spark, none, SF).count() == 0
     if n < 4:
         assert stage(spark, odd, SF).columns == odd.columns
+    if n != 4:
+        assert {(r["toxicity"], r["size"], r["row"], r["n"]) for r in stage(spark, odd, SF).select("toxicity", F.col("size"), "row", "n").collect()} == {(0.5, 1, 2, 3)}
     if n < 3:
         left = {r.doc_id for r in stage(spark, odd, SF).collect()}
         assert {1, 3, 4, 5, 6, 8, 10, None} <= left
