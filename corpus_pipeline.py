@@ -20,8 +20,8 @@ def toxic_documents(spark, docs, sf_dir):
     """Documents whose toxicity is at least one half go. The model is fitted on a bounded sample of the labelled documents."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(toxicity.labelled_documents(docs, labels))
-    scored = toxicity.score(spark, docs, model, keep=True)
-    return scored.where(F.col(toxicity.SCORE) < 0.5).select(*docs.columns)
+    scored = toxicity.score(spark, docs, model, keep=True, names=("__toxicity", "__spans"))
+    return scored.where("__toxicity < 0.5").select(*docs.columns)
 
 
 def line_duplicates(spark, docs, sf_dir):
