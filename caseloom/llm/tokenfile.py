@@ -18,7 +18,7 @@ from caseloom.llm.common import shared_path, text_slices
 from caseloom.llm.tokens import WORD_TOKENIZER, encoder
 
 END_ID = 2
-FILE_BYTES = 32 << 20
+FILE_ROWS = 8192
 STRIPE_BYTES = 16 << 20
 COLUMNS = "doc_id long, part int, n_ids int, ids array<int>"
 
@@ -36,16 +36,15 @@ def _encode(tokenizer: str, end: int):
     return encode
 
 
-def write_token_file(docs: DataFrame, path: str, tokenizer: str = WORD_TOKENIZER, end: int = END_ID, file_bytes: int = FILE_BYTES, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_token_file(docs: DataFrame, path: str, tokenizer: str = WORD_TOKENIZER, end: int = END_ID, file_rows: int = FILE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write doc_id, part, n_ids and ids (array<int>, with the end id) of every row as ORC.
 
     Null texts count as empty and hold the end id alone. Rows without doc_id come first; rows that repeat a
     doc_id are in the order of their texts' hashes. Texts are whole. An empty table leaves a readable table without rows.
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    ranged = docs.repartitionByRange(max(1, -(-int(total) // file_bytes)), *order).sortWithinPartitions(*order)
+    ranged = docs.repartitionByRange(max(1, -(-docs.count() // file_rows)), *order).sortWithinPartitions(*order)
     coded = ranged.withColumn("part", F.spark_partition_id()).mapInArrow(_encode(tokenizer, end), COLUMNS)
     coded.write.option("orc.compress", "SNAPPY").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.create.index", "true").option("orc.row.index.stride", "1000").option("orc.stripe.size", str(STRIPE_BYTES)).orc(path)
 
