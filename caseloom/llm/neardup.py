@@ -30,7 +30,7 @@ COORDINATES, MATCHES, MINIMA = 40, 5, 3
 #: Single minima that must agree, of COORDINATES * MINIMA.
 LEAST_MINIMA = 72
 PREFIX = COORDINATES - MATCHES + 1
-BLOCK = 256
+BLOCK = 2048
 #: Hashes of a set that travel with its signature; by how many standard deviations an estimate from them may fall short.
 LOWEST, SLACK = 256, 5.5
 #: Lists (a key and an id each) up to this many may be broadcast.
