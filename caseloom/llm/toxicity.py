@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -24,8 +25,8 @@ from caseloom.llm.common import text_slices
 
 #: The bound of the sample that the classifier is fitted on, in documents.
 SAMPLE = 12_000
-#: A feature must occur in so many toxic documents of these, and its share of them lie so many standard deviations above the share of all.
-LEAST_DOCS, LEAST_Z = 4, 4.0
+#: A feature must occur in toxic documents so often (once for each document and word), and so many standard deviations more often than by their share of all.
+LEAST_DOCS, LEAST_Z = 4, 5.0
 EPOCHS, RATE, DECAY, START = 30, 0.5, 1e-6, -7.0
 MEMO = 300_000
 SCORE, SPANS = "toxicity", "toxic_spans"
@@ -40,42 +41,30 @@ def features(word: str) -> list[str]:
 
 def _fit(table: pd.DataFrame) -> pd.DataFrame:
     """text, toxic -> feature, weight; the bias has the empty feature."""
-    index: dict[str, int] = {}
-    seen: list[int] = []
-    toxic_seen: list[int] = []
-    docs: list[list[list[int]]] = []
-    words: dict[str, list[int]] = {}
+    # Documents that have a word, and toxic ones among them in the high bits; then the same by feature, of words that toxic documents have.
+    seen: dict[str, int] = {}
     for text, toxic in zip(table["text"], table["toxic"], strict=True):
-        sentences = []
+        for word in set(text.lower().split()):
+            seen[word] = seen.get(word, 0) + 1 + (int(toxic) << 32)
+    tally = {f: 0 for word, n in seen.items() if n >> 32 for f in features(word)}
+    for word, n in seen.items():
+        for f in features(word):
+            if f in tally:
+                tally[f] += n
+    share = float(table["toxic"].mean()) if len(table) else 0.0
+    counts = ((f, n & 0xFFFFFFFF, n >> 32) for f, n in tally.items())
+    names = [f for f, df, hit in counts if hit >= LEAST_DOCS and hit - df * share >= LEAST_Z * math.sqrt(df * share * (1 - share) + 1e-9)]
+    index = {f: i for i, f in enumerate(names)}
+    known = {word: ids for word in seen if (ids := [index[f] for f in features(word) if f in index])}
+    flat, s_ends, d_ends = array("i"), array("q", [0]), array("q", [0])  # features of all sentences, where sentences end, where documents end
+    for text in table["text"]:
         for s in [s for s in SENTENCE.findall(text.lower()) if not s.isspace()] or [""]:
-            ids: set[int] = set()
-            for w in s.split():
-                got = words.get(w)
-                if got is None:
-                    got = words[w] = [index.setdefault(f, len(index)) for f in features(w)]
-                    seen += [0] * (len(index) - len(seen))
-                    toxic_seen += [0] * (len(index) - len(toxic_seen))
-                ids.update(got)
-            sentences.append(list(ids))
-        docs.append(sentences)
-        for f in set().union(*sentences):
-            seen[f] += 1
-            toxic_seen[f] += toxic
-    keep = np.full(len(index) + 1, -1, np.int64)
-    df, hit, share = np.array(seen, np.float64), np.array(toxic_seen, np.float64), float(table["toxic"].mean()) if len(table) else 0.0
-    frequent = np.flatnonzero((hit >= LEAST_DOCS) & (hit - df * share >= LEAST_Z * np.sqrt(df * share * (1 - share) + 1e-9)))
-    keep[frequent] = np.arange(len(frequent))
-    flat, s_ends, d_ends = [], [0], [0]
-    for sentences in docs:
-        for ids in sentences:
-            got = keep[ids] if ids else np.zeros(0, np.int64)
-            flat.append(got[got >= 0])
-            s_ends.append(s_ends[-1] + len(flat[-1]))
+            flat.extend(set().union(*(known[w] for w in s.split() if w in known)))
+            s_ends.append(len(flat))
         d_ends.append(len(s_ends) - 1)
-    flat = np.concatenate(flat) if flat else np.zeros(0, np.int64)
-    s_ends, d_ends, y = np.array(s_ends), np.array(d_ends), table["toxic"].to_numpy(np.float64)
-    w, bias = np.zeros(len(frequent)), START
-    sq_w, sq_b = np.full(len(frequent), 1e-8), 1e-8
+    flat, s_ends, d_ends, y = np.array(flat, np.int64), np.array(s_ends), np.array(d_ends), table["toxic"].to_numpy(np.float64)
+    w, bias = np.zeros(len(names)), START
+    sq_w, sq_b = np.full(len(names), 1e-8), 1e-8
     step = max(1, min(256, len(y) // 8))
     for _ in range(EPOCHS):
         for a in range(0, len(y), step):
@@ -94,9 +83,8 @@ def _fit(table: pd.DataFrame) -> pd.DataFrame:
             w -= RATE * g / np.sqrt(sq_w)
             sq_b += g_s.sum() ** 2
             bias -= 0.1 * RATE * g_s.sum() / math.sqrt(sq_b)
-    names = np.array(list(index), object)[frequent] if len(frequent) else np.zeros(0, object)
-    strong = np.abs(w) > 0.01
-    return pd.DataFrame({"feature": ["", *names[strong]], "weight": [bias, *w[strong]]})
+    strong = [(f, x) for f, x in zip(names, w.tolist(), strict=True) if abs(x) > 0.01]
+    return pd.DataFrame({"feature": ["", *(f for f, _ in strong)], "weight": [bias, *(x for _, x in strong)]})
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
