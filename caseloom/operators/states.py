@@ -26,10 +26,11 @@ def intra_case_state(log: DataFrame) -> DataFrame:
     return s.select("event_id", "case_id", "ts_us", "resource", "idx", "gap_us", "elapsed_us", F.concat_ws("|", "activity", far, pause).alias("state"))
 
 
-def spine(log: DataFrame, width: int = DAY) -> DataFrame:
-    """bucket: every time bucket from the first event to the last."""
+def spine(log: DataFrame, width: int = DAY, of: DataFrame | None = None) -> DataFrame:
+    """bucket: every time bucket from the first event to the last; with of, for each of its rows."""
     ends = log.agg(F.floor(F.min("ts_us") / width).alias("a"), F.floor(F.max("ts_us") / width).alias("b"))
-    return ends.select(F.explode(F.sequence("a", "b")).alias("bucket"))
+    rows = ends if of is None else of.crossJoin(F.broadcast(ends))  # one row
+    return rows.select(*(of.columns if of is not None else []), F.explode(F.sequence("a", "b")).alias("bucket"))
 
 
 def resource_state(log: DataFrame, width: int = DAY, low: float = 0.25, high: float = 0.9) -> DataFrame:
@@ -40,8 +41,7 @@ def resource_state(log: DataFrame, width: int = DAY, low: float = 0.25, high: fl
         F.count(F.lit(1)).alias("events"), F.countDistinct("case_id").alias("cases"), F.countDistinct("activity").alias("activities"),
         F.sum((F.col("from") != F.col("resource")).cast("bigint")).alias("handovers"), (F.sum("wait").cast("double") / F.count("wait") / 1e6).alias("wait_s"),
     )
-    every = log.select("resource").distinct().crossJoin(F.broadcast(spine(log, width)))  # the spine has a row for each bucket of time
-    s = every.join(n, ["resource", "bucket"], "left").na.fill(0, ["events", "cases", "activities", "handovers"]).na.fill(0.0, ["wait_s"])
+    s = spine(log, width, log.select("resource").distinct()).join(n, ["resource", "bucket"], "left").na.fill(0, ["events", "cases", "activities", "handovers"]).na.fill(0.0, ["wait_s"])
     cut = s.agg(F.percentile("events", F.lit(low)).alias("lo"), F.percentile("events", F.lit(high)).alias("hi"))
     state = F.when(F.col("events") <= F.col("lo"), "idle").when(F.col("events") >= F.col("hi"), "busy").otherwise("normal")
     return s.crossJoin(F.broadcast(cut)).withColumn("state", state).drop("lo", "hi")  # one row of quantiles
@@ -64,7 +64,8 @@ def inter_case_state(log: DataFrame, width: int = 6 * HOUR) -> DataFrame:
 def state_frequency(states: DataFrame, at: str = "bucket", weight: str | None = None) -> DataFrame:
     """bucket, state, n (rows, or the sum of weight), share; states that a bucket lacks have zero."""
     n = states.groupBy(at, "state").agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
-    every = states.select(at).distinct().crossJoin(F.broadcast(states.select("state").distinct()))  # few states
+    all_states = states.agg(F.array_sort(F.collect_set("state")).alias("_states"))  # one row
+    every = states.select(at).distinct().crossJoin(F.broadcast(all_states)).select(at, F.explode("_states").alias("state"))
     full = every.join(n, [at, "state"], "left").na.fill(0, ["n"])
     return full.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(at)))
 
