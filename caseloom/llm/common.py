@@ -48,6 +48,25 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+_held: dict = {}
+
+
+def held(key, build):
+    """What this Python worker keeps between tasks: one thing at a time, so that the stages of a long job don't add up."""
+    if key not in _held:
+        release()
+        _held[key] = build()
+    return _held[key]
+
+
+def release() -> None:
+    """Give back what was kept, before a task that needs its memory for something else."""
+    import pyarrow as pa
+
+    _held.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def text_slices(batches, column: str, most: int = 2_000_000):
     """Cut Arrow batches into slices of some megabytes of text, so that one batch of long texts stays small."""
     import pyarrow.compute as pc

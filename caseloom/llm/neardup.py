@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import small, staged, text_slices
+from caseloom.llm.common import release, small, staged, text_slices
 
 COORDINATES, MATCHES, MINIMA = 40, 5, 3
 #: Single minima that must agree, of COORDINATES * MINIMA.
@@ -97,6 +97,7 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
 
 def _signatures(k: int):
     def run(batches):
+        release()
         for batch in text_slices(batches, "text", 1_000_000):
             with np.errstate(over="ignore"):
                 texts = pc.ascii_lower(batch.column("text")).cast(pa.binary()).to_pylist()

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import text_slices
+from caseloom.llm.common import held, text_slices
 from caseloom.llm.tokens import byte_letters, tokenizer_path
 
 BYTE_TOKENIZER = "byte_bpe_50k.json"
@@ -30,8 +30,6 @@ MEMO = 250_000
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 SPACES = frozenset(map(chr, [*range(9, 14), 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]))
 
-_held: dict = {}
-
 
 class PrefixCounter:
     def __init__(self, name: str):
@@ -170,9 +168,7 @@ def _changes(counts: list[int]) -> bytes:
 
 
 def counter(name: str = BYTE_TOKENIZER) -> PrefixCounter:
-    if name not in _held:
-        _held[name] = PrefixCounter(name)
-    return _held[name]
+    return held(("prefixes", name), lambda: PrefixCounter(name))
 
 
 def _count(name: str):

@@ -12,13 +12,13 @@ import re
 import sys
 from array import array
 
-MEMO = 500_000
+from caseloom.llm.common import held
+
+MEMO = 350_000
 WORD_TOKENIZER = "word_bpe_49k.json"
 #: Words that the tokenizer's normaliser and split pattern leave whole (lower-case letters of ASCII and Latin-1), and the marks after them.
 PLAIN = re.compile("([a-zß-öø-ÿ]+)([!-/:-@[-`{-~]*)")
 
-_held: dict = {}
-
 assert sys.byteorder == "little" and array("I").itemsize == 4
 
 
@@ -84,6 +84,4 @@ class WordEncoder(dict):
 
 def encoder(name: str = WORD_TOKENIZER) -> WordEncoder:
     """This worker's encoder."""
-    if name not in _held:
-        _held[name] = WordEncoder(name)
-    return _held[name]
+    return held(("words", name), lambda: WordEncoder(name))

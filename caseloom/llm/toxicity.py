@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import text_slices
+from caseloom.llm.common import held, release, text_slices
 
 #: The bound of the sample that the classifier is fitted on, in documents.
 SAMPLE = 12_000
 #: A feature must occur in toxic documents so often (once for each document and word), and so many standard deviations more often than by their share of all.
 LEAST_DOCS, LEAST_Z = 4, 5.0
 EPOCHS, RATE, DECAY, START = 30, 0.5, 1e-6, -7.0
-MEMO = 300_000
+MEMO = 150_000
 SCORE, SPANS = "toxicity", "toxic_spans"
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 STRIP = "\"'()[]{}<>.,;:!?-_*#«»¿¡"
@@ -41,6 +41,7 @@ def features(word: str) -> list[str]:
 
 def _fit(table: pd.DataFrame) -> pd.DataFrame:
     """text, toxic -> feature, weight; the bias has the empty feature."""
+    release()
     # Documents that have a word, and toxic ones among them in the high bits; then the same by feature, of words that toxic documents have.
     seen: dict[str, int] = {}
     for text, toxic in zip(table["text"], table["toxic"], strict=True):
@@ -134,15 +135,9 @@ class Scorer:
         return max(0.0, -math.expm1(clean)), spans
 
 
-_held: dict = {}
-
-
 def _score(key: str, shared, text_col: str, keep: bool, names: tuple[str, str]):
     def score(batches):
-        if key not in _held:
-            _held.clear()
-            _held[key] = Scorer(shared.value)
-        scorer = _held[key]
+        scorer = held(("toxicity", key), lambda: Scorer(shared.value))
         for batch in text_slices(batches, text_col):
             got = [scorer.document(t or "") for t in batch.column(text_col).to_pylist()]
             spans = pa.array([[{"start": a, "end": b, "score": p} for a, b, p in s] for _, s in got], pa.list_(pa.struct({"start": pa.int32(), "end": pa.int32(), "score": pa.float64()})))
