@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.llm.common import WORD, release, small, staged
-from caseloom.llm.neardup import likely_copies
+from caseloom.llm.neardup import confirmed, likely_copies
 
 #: A common block is deleted if it has so many words.
 LEAST_WORDS = 10
@@ -101,8 +101,9 @@ def _align(least: int):
 def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS, spare: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Return doc_id and gone, the positions of lines to delete, for the documents that have any.
 
-    With spare, pairs whose texts are this similar as wholes, by their signatures, are not aligned: they are left to deduplication of documents,
-    which could no longer see what they were after some of their lines had gone.
+    With spare, pairs whose texts are this similar as wholes, by their full sets of five-word shingles, are not aligned: they are left to
+    deduplication of documents, which could no longer see what they were after some of their lines had gone. Pairs that are less similar
+    after other pairs' blocks have gone from their texts are aligned after all.
     """
     lines = F.split(F.col(text_col), "\n", -1)
     trimmed = F.transform(lines, lambda x: F.trim(x))
@@ -119,16 +120,38 @@ def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS, spare: float
     shared = held.groupBy("h", "c").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").drop("last_id")
     shared = small(staged(shared, "lines-shared"))
     pairs = held.join(shared, ["h", "c"]).where("doc_id > first_id").select("doc_id", "first_id").distinct()
-    if spare is not None:
-        pairs = staged(pairs, "lines-pairs")
-        texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        alike = likely_copies(pairs.select(F.col("doc_id").alias("a"), F.col("first_id").alias("b")), texts, spare)
-        pairs = pairs.join(alike.select(F.col("a").alias("doc_id"), F.col("b").alias("first_id")), ["doc_id", "first_id"], "left_anti")
     # Lines shared with the first document are few beside all lines: only rows in a pair are fetched.
     texts = rows.select("doc_id", F.transform("lines", lambda x: F.coalesce(x, F.struct(F.lit(None).cast("bigint").alias("h"), F.lit(None).cast("bigint").alias("c")))).alias("lines"), "words").dropDuplicates(["doc_id", "lines"])
-    both = pairs.join(texts.select("doc_id", F.col("lines").alias("later"), "words"), "doc_id").join(texts.select(F.col("doc_id").alias("first_id"), F.col("lines").alias("first")), "first_id")
-    gone = both.select("doc_id", "words", "later", "first").mapInArrow(_align(least_words), "doc_id long, gone array<int>")
-    return gone.where(F.size("gone") > 0).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+
+    def aligned(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(texts.select("doc_id", F.col("lines").alias("later"), "words"), "doc_id").join(texts.select(F.col("doc_id").alias("first_id"), F.col("lines").alias("first")), "first_id")
+        return both.select("doc_id", "words", "later", "first").mapInArrow(_align(least_words), "doc_id long, gone array<int>").where(F.size("gone") > 0)
+
+    def of_document(gone: DataFrame) -> DataFrame:
+        return gone.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+
+    if spare is None:
+        return of_document(aligned(pairs))
+    pairs = staged(pairs, "lines-pairs")
+    whole = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # An estimate may fall short by as much as near_groups allows for; the full sets decide.
+    alike = staged(likely_copies(pairs.select(F.col("doc_id").alias("b"), F.col("first_id").alias("a")), whole, max(spare - 0.2, 0.0)), "lines-alike")
+    spared = staged(confirmed(alike, whole, 5, round(spare * 100)), "lines-spared")
+    as_pairs = lambda p: p.select(F.col("b").alias("doc_id"), F.col("a").alias("first_id"))
+    gone = staged(of_document(aligned(pairs.join(as_pairs(spared), ["doc_id", "first_id"], "left_anti"))), "lines-cut")
+    while True:
+        ids = small(gone.select("doc_id"))
+        touched = staged(spared.join(ids.withColumnRenamed("doc_id", "a"), "a", "left_semi").unionAll(spared.join(ids.withColumnRenamed("doc_id", "b"), "b", "left_semi").select("a", "b")).distinct(), "lines-touched")
+        cut = whole.join(small(gone), "doc_id", "left").select("doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("gone"))).alias("text"))
+        lost = staged(touched.join(confirmed(touched, cut, 5, round(spare * 100)), ["a", "b"], "left_anti"), "lines-lost")
+        if lost.isEmpty():
+            return gone
+        gone = staged(of_document(gone.unionAll(aligned(as_pairs(lost)))), "lines-cut")
+        spared = staged(spared.join(lost, ["a", "b"], "left_anti"), "lines-spared")
+
+
+def _without(text, gone):
+    return F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(gone, i)), "\n")
 
 
 def delete_repeated(docs: DataFrame, least_words: int = LEAST_WORDS, spare: float | None = None, counts: tuple[str, str] = ("n_lines", "n_deleted"), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,7 +165,7 @@ def delete_repeated(docs: DataFrame, least_words: int = LEAST_WORDS, spare: floa
     lines = F.split(F.col(text_col), "\n", -1)
     out = docs.drop(*counts).join(gone, F.col(id_col) == F.col("_gone_id"), "left")
     some = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
+    kept = _without(F.col(text_col), F.col("_gone"))
     out = out.withColumns({counts[0]: some(lines), counts[1]: some(F.col("_gone"))})
     return out.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)).drop("_gone_id", "_gone")
 

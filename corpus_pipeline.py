@@ -12,8 +12,8 @@ from caseloom.llm import linedup, mixing, neardup, packing, toxicity
 from caseloom.llm.common import WORD, shared_path, small, staged
 
 
-#: Documents with this share of equal signature minima are copies as wholes: below the 0.8 of the stage that removes them, for it is an estimate.
-SPARE = 0.7
+#: Documents with this similarity in five-word shingles are copies as wholes: that of the stage that removes them.
+SPARE = 0.8
 
 
 def toxic_documents(spark, docs, sf_dir):

@@ -70,3 +70,33 @@ def test_near_copies_can_be_spared(spark):
     cut = {r.doc_id: r.n_deleted for r in linedup.delete_repeated(df).collect()}
     spared = {r.doc_id: r.n_deleted for r in linedup.delete_repeated(df, spare=0.7).collect()}
     assert cut == {1: 0, 2: 9, 3: 1} and spared == {1: 0, 2: 0, 3: 1}
+
+
+def jaccard(s, t):
+    x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (s.split(), t.split()))
+    return len(x & y) / len(x | y)
+
+
+def test_only_confirmed_copies_are_spared(spark):
+    """A pair between 0.7 and 0.8 is aligned; so is one that falls below 0.8 when other blocks go."""
+    lines = lambda name, n: [" ".join(f"{name}{i}x{k}" for k in range(20)) for i in range(n)]
+    base, other = lines("a", 20), lines("o", 3)
+    rows = [(1, base), (2, base[:17] + lines("b", 3)), (3, other), (4, [*lines("c", 20), *other[:2]]), (5, [*lines("c", 20), *lines("d", 3)])]
+    rows = [(i, "\n".join(x)) for i, x in rows]
+    assert 0.7 < jaccard(rows[0][1], rows[1][1]) < 0.8 < jaccard("\n".join(lines("c", 20)), rows[4][1])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_deleted for r in linedup.delete_repeated(df, spare=0.8).collect()}
+    # 5 is 0.8 or more from what is left of 4 only.
+    assert jaccard(rows[3][1], rows[4][1]) < 0.8
+    assert got == {1: 0, 2: 17, 3: 0, 4: 2, 5: 20}
+    rows = [(1, other), (2, [*base, *other]), (3, [*base[:10], *other, *base[10:]])]
+    df = spark.createDataFrame([(i, "\n".join(x)) for i, x in rows], "doc_id long, text string")
+    got = {r.doc_id: r.n_deleted for r in linedup.delete_repeated(df, spare=0.8).collect()}
+    assert got == {1: 0, 2: 3, 3: 3}
+    # A passage of 3 that 2 lacks goes to 1, and with it a third of what made 3 a copy of 2.
+    rows = [(1, base[:8]), (2, [*base, *lines("e", 1)]), (3, [*base, *lines("f", 1), *lines("g", 1)])]
+    df = spark.createDataFrame([(i, "\n".join(x)) for i, x in rows], "doc_id long, text string")
+    got = {r.doc_id: r.n_deleted for r in linedup.delete_repeated(df, spare=0.8).collect()}
+    left = ["\n".join(x) for x in ([*base[8:], *lines("e", 1)], [*base[8:], *lines("f", 1), *lines("g", 1)])]
+    assert jaccard(*("\n".join(x) for _, x in rows[1:])) > 0.8 > jaccard(*left)
+    assert got == {1: 0, 2: 8, 3: 20}
