@@ -5,10 +5,13 @@ Each job is a function of a streaming (or batch) DataFrame with ts (a timestamp
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -79,12 +82,42 @@ def running_cases(events: DataFrame, silence: int = 86_400, late: str = "1 hour"
     return e.groupBy("case_id").transformWithStateInPandas(statefulProcessor=RunningCase(silence * 1000), outputStructType=RUNNING, outputMode="Append", timeMode="EventTime")
 
 
+#: The counts of the last closed window, and the batch that left them.
+LAST = "number long, start timestamp, activity string, events long"
+
+
 def drift_alarm(counts: DataFrame, alarm: Callable[[DataFrame, int], None], limit: float = 0.3, checkpoint: str | None = None):
-    """Start a query on tumbling_counts that calls alarm with the windows whose activities are further than limit (total variation) from the window before."""
+    """Start a query on tumbling_counts that calls alarm with the windows whose activities are further than limit (total variation) from the window before.
+
+    The last closed window's counts outlive a batch, and with checkpoint the query, as a table in a folder beside Spark's own. Batches write to
+    two folders in turn, so that one that is run again finds what the batch before it left.
+    """
+    spark = counts.sparkSession
+    base = checkpoint or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    kept = f"{base.rstrip('/')}/last-window" + ("" if checkpoint else f"-{uuid.uuid4().hex}")
+
+    def last(session: SparkSession, number: int) -> DataFrame:
+        none = session.createDataFrame([], LAST)
+        if number == 0:
+            return none
+        try:
+            held = session.read.schema(LAST).parquet(f"{kept}-{(number - 1) % 2}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return none  # a checkpoint from before windows were kept
+        return held.where(F.col("number") == number - 1)
 
     def check(batch: DataFrame, number: int) -> None:
-        shares = state_frequency(batch.select(F.col("start").alias("bucket"), F.col("activity").alias("state"), "events"), weight="events")
-        alarm(window_distance(shares).where(F.col("tv") > limit), number)
+        new = batch.select(F.lit(number).cast("long").alias("number"), "start", "activity", F.col("events").cast("long").alias("events"))
+        windows = last(batch.sparkSession, number).unionByName(new).persist()
+        try:
+            shares = state_frequency(windows.select(F.col("start").alias("bucket"), F.col("activity").alias("state"), "events"), weight="events")
+            alarm(window_distance(shares).where(F.col("tv") > limit), number)
+            newest = windows.join(F.broadcast(windows.agg(F.max("start").alias("start"))), "start")
+            newest.select(F.lit(number).cast("long").alias("number"), "start", "activity", "events").coalesce(1).write.mode("overwrite").parquet(f"{kept}-{number % 2}")
+        finally:
+            windows.unpersist()
 
     out = counts.writeStream.outputMode("append").foreachBatch(check)
     return (out.option("checkpointLocation", checkpoint) if checkpoint else out).start()

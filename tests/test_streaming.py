@@ -65,3 +65,23 @@ def test_alarm(spark, tmp_path):
     finally:
         q.stop()
     assert T0 + dt.timedelta(days=2) in found
+
+
+def test_alarm_across_batches_and_restarts(spark, tmp_path):
+    """One window a batch; the change from day 1 to day 2 lies between batches, that from day 3 to day 4 between two runs of the query."""
+    days = ["x", "x", "y", "y", "x", "x"]
+    schema, found = "case_id string, activity string, ts timestamp", []
+
+    def run(numbers):
+        for i in numbers:
+            rows = [("a", days[i], T0 + dt.timedelta(days=i, hours=h)) for h in range(24)]
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+            if i == numbers[0]:
+                q = jobs.drift_alarm(jobs.tumbling_counts(stream, "1 day"), lambda df, n: found.append([r.bucket for r in df.collect()]), checkpoint=str(tmp_path / "checkpoint"))
+            q.processAllAvailable()
+        q.stop()
+
+    run([0, 1, 2, 3])
+    run([4, 5])
+    assert [x for x in found if x] == [[T0 + dt.timedelta(days=2)], [T0 + dt.timedelta(days=4)]]
