@@ -1,7 +1,9 @@
 """Line-level deduplication by pairwise alignment.
 
-Each line that several documents hold links every later document to the first one that holds it; so there are
-never more pairs than shared lines. Each pair is aligned by patience diff, anchored at the lines that are rarest: those that
+A run is a stretch of lines of enough words that has too few without its first or its last line. Each run that several
+documents hold links every later document to the first one that holds it; so there are never more pairs than shared runs.
+Every line of a common block of enough words lies in a run within the block, so no block is missed, whichever documents hold
+its lines one by one. Each pair is aligned by patience diff, anchored at the lines that are rarest: those that
 either document holds once. Common blocks of enough words are deleted from the later document
 (the one with the larger doc_id). Alignment works on line hashes alone; texts are read once more to delete.
 """
@@ -10,12 +12,13 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.llm.common import WORD, release, small, staged
-from caseloom.llm.neardup import confirmed, likely_copies
+from caseloom.llm.neardup import _STEP, _mix, confirmed, likely_copies
 
 #: A common block is deleted if it has so many words.
 LEAST_WORDS = 10
@@ -87,6 +90,38 @@ def common_blocks(later: list, words: list[int], first: list, least: int) -> lis
             return sorted(gone)
 
 
+def runs(words: np.ndarray, borders: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of all runs of at least so many words, shortest from either side. Lines have words; borders are those of documents."""
+    sums = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    n, least = np.arange(len(words)), max(least, 1)
+    of = np.searchsorted(borders, n, "right")
+    ends = np.searchsorted(sums, sums[:-1] + least, "left")
+    starts = np.searchsorted(sums, sums[1:] - least, "right") - 1
+    ahead, back = ends <= borders[of], starts >= borders[of - 1]
+    both = np.unique(np.stack([np.concatenate([n[ahead], starts[back]]), np.concatenate([ends[ahead], n[back] + 1])]), axis=1)
+    return both[0], both[1]
+
+
+def _run_keys(least: int):
+    def run(batches):
+        release()
+        for batch in batches:
+            lines, words = batch.column("hashes"), batch.column("words").flatten().to_numpy()
+            sizes = lines.value_lengths().to_numpy()
+            borders = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+            hashes = lines.flatten().to_numpy().view(np.uint64)
+            starts, ends = runs(words, borders, least)
+            keys = (ends - starts).astype(np.uint64)
+            for k in range(int((ends - starts).max(initial=0))):
+                more = np.flatnonzero(starts + k < ends)
+                keys[more] = _mix(keys[more] * _STEP + hashes[starts[more] + k])
+            ids = batch.column("doc_id").to_numpy()[np.searchsorted(borders, starts, "right") - 1]
+            out = pa.table({"doc_id": ids, "run": keys.view(np.int64)}).group_by(["doc_id", "run"]).aggregate([])
+            yield from out.select(["doc_id", "run"]).to_batches()
+
+    return run
+
+
 def _align(least: int):
     def run(batches):
         release()
@@ -115,12 +150,13 @@ def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS, spare: float
         ),
         "lines",
     )
-    held = rows.select("doc_id", F.explode(F.array_distinct("lines")).alias("line")).where(F.col("line").isNotNull())
-    held = held.select("doc_id", F.col("line.h").alias("h"), F.col("line.c").alias("c"))
-    shared = held.groupBy("h", "c").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").drop("last_id")
+    solid = F.filter(F.arrays_zip("lines", "words"), lambda x: x["lines"].isNotNull() & (x["words"] > 0))
+    held = rows.select("doc_id", F.transform(solid, lambda x: x["lines"]["h"]).alias("hashes"), F.transform(solid, lambda x: x["words"]).alias("words"))
+    held = staged(held.mapInArrow(_run_keys(least_words), "doc_id long, run long"), "lines-runs")
+    shared = held.groupBy("run").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").drop("last_id")
     shared = small(staged(shared, "lines-shared"))
-    pairs = held.join(shared, ["h", "c"]).where("doc_id > first_id").select("doc_id", "first_id").distinct()
-    # Lines shared with the first document are few beside all lines: only rows in a pair are fetched.
+    pairs = held.join(shared, "run").where("doc_id > first_id").select("doc_id", "first_id").distinct()
+    # Runs shared with the first document are few beside all lines: only rows in a pair are fetched.
     texts = rows.select("doc_id", F.transform("lines", lambda x: F.coalesce(x, F.struct(F.lit(None).cast("bigint").alias("h"), F.lit(None).cast("bigint").alias("c")))).alias("lines"), "words").dropDuplicates(["doc_id", "lines"])
 
     def aligned(pairs: DataFrame) -> DataFrame:

@@ -100,3 +100,12 @@ def test_only_confirmed_copies_are_spared(spark):
     left = ["\n".join(x) for x in ([*base[8:], *lines("e", 1)], [*base[8:], *lines("f", 1), *lines("g", 1)])]
     assert jaccard(*("\n".join(x) for _, x in rows[1:])) > 0.8 > jaccard(*left)
     assert got == {1: 0, 2: 8, 3: 20}
+
+
+def test_blocks_whose_lines_first_occur_elsewhere(spark):
+    p, q = "P p p p p p", "Q q q q q q"
+    rows = [(1, p), (2, q), (3, f"{p}\n{q}\nb"), (4, f"c\n{p}\n{q}"), (5, f"{p}\n{q}\n{p}")]
+    # The last line of 8 is in a block with 7 only, the long line before it first in 6.
+    rows += [(6, "one line of more than ten words that documents have in common"), (7, "one line of more than ten words that documents have in common\nits end"), (8, "start\none line of more than ten words that documents have in common\nits end"), (9, "its end")]
+    got = {r.doc_id: r.text for r in linedup.delete_repeated(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == dict(rows) | {4: "c", 5: p, 7: "its end", 8: "start"}
