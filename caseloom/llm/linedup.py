@@ -71,23 +71,35 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
 
 
 def common_blocks(later: list, words: list[int], first: list, least: int) -> list[int]:
-    """Lines of later that lie in a common block of at least so many words; blocks that moved are found by aligning what is left again."""
-    later, gone = list(later), []
-    while True:
-        pairs = patience(later, first)
+    """Lines of later that lie in a common block of at least so many words; blocks that moved are found by aligning what is left again.
+
+    Blocks pass over blank lines (None), which are no part of them. An aligned block that is too small may be bound to the wrong one of
+    several equal lines, or be cut off from a larger one: then all runs of later are looked up in first.
+    """
+    at = [i for i, x in enumerate(later) if x is not None]
+    sizes = [words[i] for i in at]
+    a, b = [later[i] for i in at], [x for x in first if x is not None]
+    left, gone = list(a), []
+    while pairs := patience(left, b):
         block: list[int] = []
-        hit = False
         for n, (i, j) in enumerate(pairs):
             block.append(i)
             if n + 1 == len(pairs) or pairs[n + 1] != (i + 1, j + 1):
-                if sum(words[k] for k in block) >= least:
-                    gone += block
-                    hit = True
+                if sum(sizes[k] for k in block) < least:
+                    return [at[k] for k in _in_common_runs(a, sizes, b, least)]
+                gone += block
                 for k in block:
-                    later[k] = None
+                    left[k] = None
                 block = []
-        if not pairs or not (hit or any(x is not None for x in later)):
-            return sorted(gone)
+    return [at[k] for k in sorted(gone)]
+
+
+def _in_common_runs(a: list, words: list[int], b: list, least: int) -> list[int]:
+    """Lines of a that lie in a run of at least so many words which b has too."""
+    starts, ends = runs(np.array(words), np.array([0, len(words)]), least)
+    spans = list(zip(starts.tolist(), ends.tolist(), strict=True))
+    held = {n: {tuple(b[j : j + n]) for j in range(len(b) - n + 1)} for n in {e - s for s, e in spans}}
+    return sorted({k for s, e in spans if tuple(a[s:e]) in held[e - s] for k in range(s, e)})
 
 
 def runs(words: np.ndarray, borders: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,11 +135,12 @@ def _run_keys(least: int):
 
 
 def _align(least: int):
+    keys = lambda lines: [None if x["h"] is None else (x["h"], x["c"]) for x in lines]
+
     def run(batches):
         release()
         for batch in batches:
-            rows = batch.to_pylist()
-            gone = [common_blocks(list(map(tuple, (x.values() for x in r["later"]))), r["words"], list(map(tuple, (x.values() for x in r["first"]))), least) for r in rows]
+            gone = [common_blocks(keys(r["later"]), r["words"], keys(r["first"]), least) for r in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(gone, pa.list_(pa.int32()))], ["doc_id", "gone"])
 
     return run
@@ -145,12 +158,12 @@ def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS, spare: float
     rows = staged(
         docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
             F.col(id_col).cast("bigint").alias("doc_id"),
-            F.transform(trimmed, lambda x: F.when(x != "", F.struct(F.xxhash64(x).alias("h"), F.crc32(x.cast("binary")).alias("c")))).alias("lines"),
+            F.transform(trimmed, lambda x: F.when(x.rlike(WORD), F.struct(F.xxhash64(x).alias("h"), F.crc32(x.cast("binary")).alias("c")))).alias("lines"),
             F.transform(lines, lambda x: F.regexp_count(x, F.lit(WORD))).alias("words"),
         ),
         "lines",
     )
-    solid = F.filter(F.arrays_zip("lines", "words"), lambda x: x["lines"].isNotNull() & (x["words"] > 0))
+    solid = F.filter(F.arrays_zip("lines", "words"), lambda x: x["lines"].isNotNull())
     held = rows.select("doc_id", F.transform(solid, lambda x: x["lines"]["h"]).alias("hashes"), F.transform(solid, lambda x: x["words"]).alias("words"))
     held = staged(held.mapInArrow(_run_keys(least_words), "doc_id long, run long"), "lines-runs")
     shared = held.groupBy("run").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").drop("last_id")
@@ -193,7 +206,7 @@ def _without(text, gone):
 def delete_repeated(docs: DataFrame, least_words: int = LEAST_WORDS, spare: float | None = None, counts: tuple[str, str] = ("n_lines", "n_deleted"), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with their columns, and common blocks deleted from the text of the later document of each pair.
 
-    Two more columns, named by counts: its lines, and those deleted. Blank lines match nothing and stay. Null texts stay null, with no
+    Two more columns, named by counts: its lines, and those deleted. Blank lines (without words) match nothing and stay; blocks pass over them. Null texts stay null, with no
     lines; rows without doc_id stay as they are. Rows that repeat a doc_id are one document for this purpose. An empty table gives an
     empty result. Columns of docs that have the names of those two are replaced.
     """

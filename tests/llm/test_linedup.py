@@ -109,3 +109,48 @@ def test_blocks_whose_lines_first_occur_elsewhere(spark):
     rows += [(6, "one line of more than ten words that documents have in common"), (7, "one line of more than ten words that documents have in common\nits end"), (8, "start\none line of more than ten words that documents have in common\nits end"), (9, "its end")]
     got = {r.doc_id: r.text for r in linedup.delete_repeated(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     assert got == dict(rows) | {4: "c", 5: p, 7: "its end", 8: "start"}
+
+
+def test_small_blocks_are_extended():
+    P, Q = "P", "Q"
+    assert linedup.common_blocks([P, Q, "n"], [6, 6, 1], [P, "z", P, Q, "m"], 10) == [0, 1]
+    assert linedup.common_blocks([P, Q, "x"], [6, 6, 1], [P, "z", Q, "w", P, Q, "y"], 10) == [0, 1]
+    assert linedup.common_blocks([P, None, Q], [6, 0, 6], [None, "a", P, Q], 10) == [0, 2]
+    assert linedup.common_blocks([None, P], [0, 6], [None, P], 10) == []
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), max_size=10), st.lists(st.sampled_from("abcd"), max_size=10), st.integers(1, 14))
+def test_common_blocks_are_all_common_runs(later, first, least):
+    words = ["abcd".index(x) * 2 + 1 for x in later]
+    spans = [(s, e) for s in range(len(later)) for e in range(s + 1, len(later) + 1) if sum(words[s:e]) >= least]
+    want = {k for s, e in spans if any(later[s:e] == first[j : j + e - s] for j in range(len(first))) for k in range(s, e)}
+    assert linedup.common_blocks(later, words, first, least) == sorted(want)
+
+
+def test_blank_lines_stay(spark):
+    p, q = "p1 p2 p3 p4 p5 p6", "q1 q2 q3 q4 q5 q6"
+    rows = [(1, f"{p}\n\n{q}\n\t\n \nend"), (2, f"new\n{p}\n\n\n{q}\n\t\nother"), (3, f"{p}\n\nown")]
+    got = {r.doc_id: r.text for r in linedup.delete_repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(rows) | {2: "new\n\n\n\t\nother"}
+
+
+def test_equals_alignment_with_all_earlier_documents(spark):
+    """Blocks of short lines whose lines first occur elsewhere, one by one, are found too."""
+    rnd = random.Random(5)
+    pool = [" ".join(f"s{i}" for _ in range(rnd.randint(2, 8))) for i in range(12)]
+    rows = [(i, x) for i, x in enumerate(pool)]
+    rows += [(i, "\n".join(rnd.choice(pool) if rnd.random() < 0.7 else f"own {i} {n}" for n in range(rnd.randint(1, 8)))) for i in range(20, 120)]
+    rows += [(500, "P p p p p p"), (501, "Q q q q q q"), (502, "P p p p p p\nQ q q q q q\nb"), (503, "c\nP p p p p p\nQ q q q q q")]
+    seqs, want = {}, {}
+    for i, text in rows:
+        lines = text.split("\n")
+        words = [len(x.split()) for x in lines]
+        spans = [(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines) + 1) if sum(words[a:b]) >= linedup.LEAST_WORDS]
+        inside = lambda run: any(run == s[k : k + len(run)] for s in seqs.values() for k in range(len(s)))
+        gone = {k for a, b in spans if inside(lines[a:b]) for k in range(a, b)}
+        want[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+        seqs[i] = lines
+    got = {r.doc_id: r.text for r in linedup.delete_repeated(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got[503] == "c"
+    assert {i for i in want if got[i] != want[i]} == set()
