@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +21,12 @@ BROADCAST_ROWS = 200_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none, as in local tests, a folder of this machine is chosen.
+    Only a local session that names none, as in tests, gets a folder of this machine; a cluster without one is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -38,11 +43,85 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a staged table that nothing reads any more, such as the last round's of a loop."""
+    jvm = df.sparkSession._jvm
+    for file in df.inputFiles()[:1]:
+        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df, a staged table, marked for broadcast if its counted rows are few; Spark's own choice otherwise."""
+    """df, a staged table of a few numbers a row, marked for broadcast if its counted rows are few; Spark's own choice otherwise.
+
+    For joins of narrow tables only. Where the other side holds texts, see only() and without().
+    """
     return F.broadcast(df) if df.count() <= limit else df
 
 
+#: Bits of a Bloom filter: so many for each key, and never more than in all (64 MB). A fuller filter lets more rows pass, and loses none.
+KEY_BITS, ALL_BITS, CHUNK = 16, 29, 1 << 16
+
+
+def _probes(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
+    h = hashes.view(np.uint64)
+    step = (h >> np.uint64(32)) | np.uint64(1)
+    return [((h + np.uint64(i) * step) & np.uint64((1 << bits) - 1)).astype(np.int64) for i in range(5)]
+
+
+def _bloom_chunks(bits: int):
+    def run(batches):
+        found = np.zeros(1 << bits - 3, np.uint8)
+        for batch in batches:
+            for at in _probes(batch.column("key").to_numpy(), bits):
+                for b in range(8):
+                    found[at[at & 7 == b] >> 3] |= 1 << b
+        for i in range(0, len(found), CHUNK):
+            if found[i : i + CHUNK].any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([found[i : i + CHUNK].tobytes()], pa.binary())], ["at", "part"])
+
+    return run
+
+
+def _or(table: pa.Table) -> pa.Table:
+    found = np.zeros(0, np.uint8)
+    for x in table.column("part"):
+        part = np.frombuffer(x.as_py(), np.uint8)
+        found = found | part if len(found) else part
+    return pa.table([pa.array([table.column("at")[0].as_py()], pa.int64()), pa.array([found.tobytes()], pa.binary())], names=["at", "part"])
+
+
+def may_be_among(ids: DataFrame, key: str) -> Column:
+    """A condition on column key of another table: whether its value may be one of the staged ids' (always true for those).
+
+    So a semi- or anti-join moves only the rows that matter, whatever their number; the filter's size is bounded, and nothing else is sent around.
+    """
+    bits = min(ALL_BITS, max(CHUNK.bit_length() + 2, (KEY_BITS * ids.count()).bit_length()))
+    parts = ids.select(F.xxhash64(key).alias("key")).mapInArrow(_bloom_chunks(bits), "at long, part binary").groupBy("at").applyInArrow(_or, "at long, part binary")
+    filled = np.zeros(1 << bits - 3, np.uint8)
+    for r in parts.toLocalIterator():
+        filled[r["at"] : r["at"] + len(r["part"])] = np.frombuffer(r["part"], np.uint8)
+    shared = ids.sparkSession.sparkContext.broadcast(filled)
+
+    @F.pandas_udf("boolean")
+    def among(hashes: pd.Series) -> pd.Series:
+        return pd.Series(np.logical_and.reduce([shared.value[at >> 3] >> (at & 7) & 1 for at in _probes(hashes.to_numpy(), bits)]).astype(bool))
+
+    return among(F.xxhash64(key))
+
+
+def only(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of df whose key is among the staged ids (a null key: if a null is). Texts of other rows don't move."""
+    ids = ids.select(F.col(key).alias("__id"))
+    return df.where(may_be_among(ids.withColumnRenamed("__id", key), key)).join(ids, F.col(key).eqNullSafe(F.col("__id")), "left_semi")
+
+
+def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of df whose key is not among the staged ids. Only rows whose key may be are joined; the others pass as they are."""
+    there = may_be_among(ids, key)
+    return df.where(~there).unionByName(df.where(there).join(ids.select(F.col(key).alias("__id")), F.col(key) == F.col("__id"), "left_anti"))
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -61,8 +140,6 @@ def held(key, build):
 
 def release() -> None:
     """Give back what was kept, before a task that needs its memory for something else."""
-    import pyarrow as pa
-
     _held.clear()
     pa.default_memory_pool().release_unused()
 
