@@ -1,6 +1,7 @@
 """Line-level deduplication by pairwise alignment.
 
-A run is a stretch of lines of enough words that has too few without its first or its last line. Each run that several
+A run is a stretch of lines of enough words that has too few without its first or its last line; as a whole it is at most as frequent as its
+rarest line, so runs are the rare keys by which overlapping documents are found. Each run that several
 documents hold links every later document to the first one that holds it; so there are never more pairs than shared runs.
 Every line of a common block of enough words lies in a run within the block, so no block is missed, whichever documents hold
 its lines one by one. Each pair is aligned by patience diff, anchored at the lines that are rarest: those that
@@ -17,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import WORD, release, small, staged
+from caseloom.llm.common import WORD, may_be_among, only, release, small, staged
 from caseloom.llm.neardup import _STEP, _mix, confirmed, likely_copies
 
 #: A common block is deleted if it has so many words.
 LEAST_WORDS = 10
+#: Later documents that are aligned with one earlier document by one task, about.
+ALIGN_ROWS = 512
 
 
 def longest_rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -138,85 +141,124 @@ def _align(least: int):
     keys = lambda lines: [None if x["h"] is None else (x["h"], x["c"]) for x in lines]
 
     def run(batches):
+        """Rows in order of (first_id, part): the lines of the first document, then those of later ones -> doc_id, row, at (a line to delete)."""
         release()
+        key, firsts = None, []
         for batch in batches:
-            gone = [common_blocks(keys(r["later"]), r["words"], keys(r["first"]), least) for r in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(gone, pa.list_(pa.int32()))], ["doc_id", "gone"])
+            out: list[tuple[int, int, int]] = []
+            for r in batch.to_pylist():
+                if (r["first_id"], r["part"]) != key:
+                    key, firsts = (r["first_id"], r["part"]), []
+                lines = keys(r["lines"])
+                if r["doc_id"] is None:
+                    firsts.append(lines)
+                else:
+                    gone = {i for first in firsts for i in common_blocks(lines, r["words"], first, least)}
+                    out += [(r["doc_id"], r["row"], i) for i in sorted(gone)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], ["doc_id", "row", "at"])
 
     return run
 
 
 def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS, spare: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Return doc_id and gone, the positions of lines to delete, for the documents that have any.
+    """Return doc_id, row (a hash of the text) and gone, the positions of lines to delete, for the rows that have any.
 
     With spare, pairs whose texts are this similar as wholes, by their full sets of five-word shingles, are not aligned: they are left to
     deduplication of documents, which could no longer see what they were after some of their lines had gone. Pairs that are less similar
-    after other pairs' blocks have gone from their texts are aligned after all.
+    after other pairs' blocks have gone from their texts are aligned after all. Null ids and texts take no part; an empty table gives an empty result.
     """
     lines = F.split(F.col(text_col), "\n", -1)
     trimmed = F.transform(lines, lambda x: F.trim(x))
+    none = F.struct(F.lit(None).cast("bigint").alias("h"), F.lit(None).cast("bigint").alias("c"))
     rows = staged(
         docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
             F.col(id_col).cast("bigint").alias("doc_id"),
-            F.transform(trimmed, lambda x: F.when(x.rlike(WORD), F.struct(F.xxhash64(x).alias("h"), F.crc32(x.cast("binary")).alias("c")))).alias("lines"),
+            F.xxhash64(text_col).alias("row"),
+            F.transform(trimmed, lambda x: F.when(x.rlike(WORD), F.struct(F.xxhash64(x).alias("h"), F.crc32(x.cast("binary")).alias("c"))).otherwise(none)).alias("lines"),
             F.transform(lines, lambda x: F.regexp_count(x, F.lit(WORD))).alias("words"),
         ),
         "lines",
     )
-    solid = F.filter(F.arrays_zip("lines", "words"), lambda x: x["lines"].isNotNull())
+    solid = F.filter(F.arrays_zip("lines", "words"), lambda x: x["lines"]["h"].isNotNull())
     held = rows.select("doc_id", F.transform(solid, lambda x: x["lines"]["h"]).alias("hashes"), F.transform(solid, lambda x: x["words"]).alias("words"))
     held = staged(held.mapInArrow(_run_keys(least_words), "doc_id long, run long"), "lines-runs")
     shared = held.groupBy("run").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").drop("last_id")
     shared = small(staged(shared, "lines-shared"))
-    pairs = held.join(shared, "run").where("doc_id > first_id").select("doc_id", "first_id").distinct()
-    # Runs shared with the first document are few beside all lines: only rows in a pair are fetched.
-    texts = rows.select("doc_id", F.transform("lines", lambda x: F.coalesce(x, F.struct(F.lit(None).cast("bigint").alias("h"), F.lit(None).cast("bigint").alias("c")))).alias("lines"), "words").dropDuplicates(["doc_id", "lines"])
+    pairs = staged(held.join(shared, "run").where("doc_id > first_id").select("doc_id", "first_id").distinct(), "lines-pairs")
+    texts = rows.dropDuplicates(["doc_id", "row"])
 
     def aligned(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(texts.select("doc_id", F.col("lines").alias("later"), "words"), "doc_id").join(texts.select(F.col("doc_id").alias("first_id"), F.col("lines").alias("first")), "first_id")
-        return both.select("doc_id", "words", "later", "first").mapInArrow(_align(least_words), "doc_id long, gone array<int>").where(F.size("gone") > 0)
-
-    def of_document(gone: DataFrame) -> DataFrame:
-        return gone.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+        """doc_id, row, at. The pairs of one first document are dealt into parts; each has its lines once, and later documents stream past."""
+        parts = pairs.groupBy("first_id").agg(F.ceil(F.count(F.lit(1)) / ALIGN_ROWS).alias("parts")).where("parts > 1")
+        dealt = pairs.join(small(staged(parts, "lines-parts")), "first_id", "left").select("doc_id", "first_id", F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1))).alias("part"))
+        no = F.lit(None).cast("bigint")
+        heads = dealt.select("first_id", "part").distinct().join(texts.withColumnRenamed("doc_id", "first_id"), "first_id").select("first_id", "part", no.alias("doc_id"), "row", "lines", "words")
+        later = dealt.join(texts, "doc_id").select("first_id", "part", "doc_id", "row", "lines", "words")
+        both = heads.unionAll(later).repartition("first_id", "part").sortWithinPartitions("first_id", "part", F.col("doc_id").asc_nulls_first())
+        return both.mapInArrow(_align(least_words), "doc_id long, row long, at int")
+
+    def of_row(gone: DataFrame) -> DataFrame:
+        return gone.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("at")).alias("gone"))
 
     if spare is None:
-        return of_document(aligned(pairs))
-    pairs = staged(pairs, "lines-pairs")
+        return of_row(aligned(pairs))
+    percent = round(spare * 100)
     whole = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # An estimate may fall short by as much as near_groups allows for; the full sets decide.
-    alike = staged(likely_copies(pairs.select(F.col("doc_id").alias("b"), F.col("first_id").alias("a")), whole, max(spare - 0.2, 0.0)), "lines-alike")
-    spared = staged(confirmed(alike, whole, 5, round(spare * 100)), "lines-spared")
+    alike = staged(likely_copies(pairs.select(F.col("doc_id").alias("b"), F.col("first_id").alias("a")), whole, 5, percent), "lines-alike")
+    spared = staged(confirmed(alike, whole, 5, percent), "lines-spared")
     as_pairs = lambda p: p.select(F.col("b").alias("doc_id"), F.col("a").alias("first_id"))
-    gone = staged(of_document(aligned(pairs.join(as_pairs(spared), ["doc_id", "first_id"], "left_anti"))), "lines-cut")
+    gone = staged(aligned(pairs.join(as_pairs(spared), ["doc_id", "first_id"], "left_anti")), "lines-cut")
     while True:
-        ids = small(gone.select("doc_id"))
+        ids = small(staged(gone.select("doc_id").distinct(), "lines-cut-ids"))
         touched = staged(spared.join(ids.withColumnRenamed("doc_id", "a"), "a", "left_semi").unionAll(spared.join(ids.withColumnRenamed("doc_id", "b"), "b", "left_semi").select("a", "b")).distinct(), "lines-touched")
-        cut = whole.join(small(gone), "doc_id", "left").select("doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("gone"))).alias("text"))
-        lost = staged(touched.join(confirmed(touched, cut, 5, round(spare * 100)), ["a", "b"], "left_anti"), "lines-lost")
+        if touched.isEmpty():
+            return of_row(gone)
+        wanted = staged(touched.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "lines-touched-ids")
+        cut = _deleted(only(whole, wanted, "doc_id"), of_row(gone), "doc_id", "text")
+        lost = staged(touched.join(confirmed(touched, cut, 5, percent), ["a", "b"], "left_anti"), "lines-lost")
         if lost.isEmpty():
-            return gone
-        gone = staged(of_document(gone.unionAll(aligned(as_pairs(lost)))), "lines-cut")
+            return of_row(gone)
+        gone = staged(gone.unionAll(aligned(as_pairs(lost))), "lines-cut")
         spared = staged(spared.join(lost, ["a", "b"], "left_anti"), "lines-spared")
 
 
-def _without(text, gone):
-    return F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(gone, i)), "\n")
+def _masks(batches):
+    """The lines to delete as a list of booleans, so that a line is looked up at once."""
+    for batch in batches:
+        masks = []
+        for gone in batch.column("gone").to_pylist():
+            mask = np.zeros(gone[-1] + 1, bool)
+            mask[gone] = True
+            masks.append(mask)
+        ends = np.cumsum([0, *map(len, masks)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(masks) if masks else np.zeros(0, bool)))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), lists], ["__gone_id", "__gone_row", "__gone"])
+
+
+def _deleted(df: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """df without those lines; column __gone says which they were."""
+    masks = gone.mapInArrow(_masks, "`__gone_id` long, `__gone_row` long, `__gone` array<boolean>")
+    out = df.join(masks, (F.col(id_col).cast("bigint") == F.col("__gone_id")) & (F.xxhash64(text_col) == F.col("__gone_row")), "left").drop("__gone_id", "__gone_row")
+    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.coalesce(F.try_element_at("__gone", i + 1), F.lit(False)))
+    return out.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
 
 
 def delete_repeated(docs: DataFrame, least_words: int = LEAST_WORDS, spare: float | None = None, counts: tuple[str, str] = ("n_lines", "n_deleted"), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with their columns, and common blocks deleted from the text of the later document of each pair.
 
     Two more columns, named by counts: its lines, and those deleted. Blank lines (without words) match nothing and stay; blocks pass over them. Null texts stay null, with no
-    lines; rows without doc_id stay as they are. Rows that repeat a doc_id are one document for this purpose. An empty table gives an
-    empty result. Columns of docs that have the names of those two are replaced.
+    lines; rows without doc_id stay as they are. Rows that repeat a doc_id are aligned each with documents of smaller doc_id, not with each other. An empty table gives an
+    empty result. Columns of docs that have the names of those two are replaced; names that begin with __gone are this function's own.
     """
-    gone = small(staged(repeated_lines(docs, least_words, spare, id_col, text_col), "lines-gone")).select(F.col("doc_id").alias("_gone_id"), F.col("gone").alias("_gone"))
-    lines = F.split(F.col(text_col), "\n", -1)
-    out = docs.drop(*counts).join(gone, F.col(id_col) == F.col("_gone_id"), "left")
-    some = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
-    kept = _without(F.col(text_col), F.col("_gone"))
-    out = out.withColumns({counts[0]: some(lines), counts[1]: some(F.col("_gone"))})
-    return out.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)).drop("_gone_id", "_gone")
+    gone = staged(repeated_lines(docs, least_words, spare, id_col, text_col), "lines-gone")
+    docs = docs.drop(*counts)
+    # Only texts that may lose lines are joined; the others pass as they are.
+    there = may_be_among(gone.select(F.col("doc_id").alias(id_col)), id_col)
+    count = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+    lines = count(F.split(F.col(text_col), "\n", -1))
+    same = docs.where(~there).withColumns({counts[0]: lines, counts[1]: F.lit(0)})
+    cut = _deleted(docs.where(there).withColumn(counts[0], lines), gone, id_col, text_col)
+    return same.unionByName(cut.withColumn(counts[1], count(F.filter("__gone", lambda x: x))).drop("__gone"))
 
 
 def op8_patience_lines(spark, sf_dir):

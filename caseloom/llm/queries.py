@@ -19,5 +19,6 @@ QUERIES = {
 
 ORACLES = {
     "op1_pareto_mix": mixing.ORACLE,
+    "op3_coordinate_join": neardup.ORACLE,
     "op4_golomb_exact": exact.ORACLE,
 }

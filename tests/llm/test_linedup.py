@@ -4,6 +4,7 @@ import re
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from caseloom.llm import linedup
 
@@ -25,20 +26,18 @@ def test_moved_blocks_are_found():
 
 
 def brute(rows, least):
-    """In order of doc_id: align with each first holder of one of its lines."""
-    seqs, first, out = {}, {}, {}
+    """Every stretch of lines of enough words that any earlier document has goes; blank lines count for nothing."""
+    seqs, out = [], {}
     for i, text in sorted((r for r in rows if r[0] is not None and r[1] is not None), key=lambda r: r[0]):
         lines = text.split("\n")
-        keys = [x.strip(" ") or None for x in lines]
-        words = [len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in lines]
-        gone = set()
-        for p in {first[x] for x in keys if x in first} - {i}:
-            gone |= set(linedup.common_blocks(keys, words, seqs[p], least))
-        for x in keys:
-            if x:
-                first.setdefault(x, i)
-        seqs[i] = keys
+        at = [n for n, x in enumerate(lines) if re.search(r"[^\x20\x09-\x0D]", x)]
+        keys = [lines[n].strip(" ") for n in at]
+        words = [len(re.findall(r"[^\x20\x09-\x0D]+", lines[n])) for n in at]
+        spans = [(a, b) for a in range(len(at)) for b in range(a + 1, len(at) + 1) if sum(words[a:b]) >= least]
+        inside = lambda run: any(run == s[k : k + len(run)] for s in seqs for k in range(len(s)))
+        gone = {at[k] for a, b in spans if inside(keys[a:b]) for k in range(a, b)}
         out[i] = "\n".join(x for n, x in enumerate(lines) if n not in gone)
+        seqs.append(keys)
     return out
 
 
@@ -46,6 +45,7 @@ def brute(rows, least):
 def test_equals_brute_force(spark, monkeypatch, joined):
     if joined:
         monkeypatch.setattr(linedup, "small", lambda df, limit=0: df)
+        monkeypatch.setattr(linedup, "ALIGN_ROWS", 4)
     rnd = random.Random(3)
     pool = [" ".join(rnd.choice("abcdefgh") * 3 for _ in range(rnd.randint(1, 14))) for _ in range(60)]
     rows = [(i, "\n".join([rnd.choice(pool) if rnd.random() < 0.4 else f"own line {i} {n} with a few words of its own" for n in range(rnd.randint(0, 9))] + (["the hot line that every third document has, of twelve words or so"] if i % 3 == 0 else []))) for i in range(150)]
@@ -142,15 +142,22 @@ def test_equals_alignment_with_all_earlier_documents(spark):
     rows = [(i, x) for i, x in enumerate(pool)]
     rows += [(i, "\n".join(rnd.choice(pool) if rnd.random() < 0.7 else f"own {i} {n}" for n in range(rnd.randint(1, 8)))) for i in range(20, 120)]
     rows += [(500, "P p p p p p"), (501, "Q q q q q q"), (502, "P p p p p p\nQ q q q q q\nb"), (503, "c\nP p p p p p\nQ q q q q q")]
-    seqs, want = {}, {}
-    for i, text in rows:
-        lines = text.split("\n")
-        words = [len(x.split()) for x in lines]
-        spans = [(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines) + 1) if sum(words[a:b]) >= linedup.LEAST_WORDS]
-        inside = lambda run: any(run == s[k : k + len(run)] for s in seqs.values() for k in range(len(s)))
-        gone = {k for a, b in spans if inside(lines[a:b]) for k in range(a, b)}
-        want[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
-        seqs[i] = lines
+    want = brute(rows, linedup.LEAST_WORDS)
     got = {r.doc_id: r.text for r in linedup.delete_repeated(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     assert got[503] == "c"
     assert {i for i in want if got[i] != want[i]} == set()
+
+
+def test_four_documents_without_a_common_first_holder(spark):
+    p, q = "P p p p p p", "Q q q q q q"
+    rows = [(1, p), (2, q), (3, f"{p}\n{q}"), (4, f"{p}\n{q}")]
+    got = {r.doc_id: r.n_deleted for r in linedup.delete_repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 0, 4: 2}
+
+
+def test_repeated_ids_and_clashing_names(spark):
+    line = "a line of more than ten words that two documents have in common"
+    rows = [(1, line, 7), (5, f"own words\n{line}", 8), (5, f"{line}\nother words\n{line}", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _gone int").withColumns({c: F.lit(0) for c in ("_gone_id", "gone", "row", "at", "part", "lines")})
+    got = {r._gone: (r.text, r.n_deleted) for r in linedup.delete_repeated(df).collect()}
+    assert got == {7: (line, 0), 8: ("own words", 1), 9: ("other words", 2)}

@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import duckdb
 import pytest
 
 from caseloom.llm import neardup
@@ -56,6 +57,7 @@ def test_equals_brute_force(spark, corpus, monkeypatch, block, k):
     monkeypatch.setattr(neardup, "BLOCK", block)
     if block == 8:
         monkeypatch.setattr(neardup, "small", lambda df, limit=0: df)
+        monkeypatch.setattr(neardup, "CONFIRM_ROWS", 3)
     got = found(spark.createDataFrame(corpus, "doc_id long, text string").repartition(5), k)
     assert got == brute(corpus, k)
 
@@ -70,3 +72,38 @@ def test_odd_rows(odd, none):
 def test_long_chains_are_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     assert {(r.id, r.comp) for r in neardup.components(edges).collect()} == {(i, 0) for i in range(1, 61)} | {(101, 100)}
+
+
+def test_repeated_ids_are_one_document(spark):
+    x, y = " ".join(f"x{i}" for i in range(30)), " ".join(f"y{i}" for i in range(30))
+    df = spark.createDataFrame([(1, x), (5, x), (5, y), (7, y), (8, "none of these")], "doc_id long, text string")
+    got = {(r.doc_id, r.component_id, r.kept) for r in neardup.near_groups(df, 4).collect()}
+    assert got == {(1, 1, True), (5, 1, False), (7, 1, False), (8, 8, True)}
+
+
+def test_matches_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.op3_coordinate_join(spark, sf).collect())
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    assert got == sorted(c.sql(f"SELECT doc_id, n_shingles, component_id, kept FROM ({neardup.ORACLE})").fetchall())
+
+
+def test_collisions_are_counted_in_cells():
+    """Merged posting lists give the pairs that comparing all signatures would give."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 60, (6, neardup.COORDINATES))
+    keys = base[rng.integers(0, 6, 60)]
+    keys = np.where(rng.random(keys.shape) < 0.6, rng.integers(0, 1 << 60, keys.shape), keys)
+    keys[:, 2] = 77
+    low = np.arange(9, dtype="<u4").tobytes()
+    for own in (True, False):
+        rows = [{"rid": i, "comp": i % 50, "side": 0 if own else i % 2, "own": own, "c": 2, "n": 9, "sig": keys[i].astype("<i8").tobytes(), "low": low} for i in range(60)]
+        want = set()
+        for i, j in itertools.combinations(range(60), 2):
+            same = keys[i] == keys[j]
+            if same.sum() >= neardup.MATCHES and same.argmax() == 2 and i % 50 != j % 50 and (own or i % 2 != j % 2):
+                want.add((i, j))
+        assert set(neardup._cell_pairs(rows, 80)) == want and want
