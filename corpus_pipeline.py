@@ -9,15 +9,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from caseloom.llm import linedup, mixing, neardup, packing, toxicity
-from caseloom.llm.common import WORD, shared_path, small, staged
-
+from caseloom.llm.common import WORD, shared_path, staged, without
 
 #: Documents with this similarity in five-word shingles are copies as wholes: that of the stage that removes them.
 SPARE = 0.8
 
 
 def toxic_documents(spark, docs, sf_dir):
-    """Documents whose toxicity is at least one half go. The model is fitted on a bounded sample of the labelled documents."""
+    """Documents whose toxicity is at least one half go. The model is fitted on a bounded sample of the labelled documents.
+
+    Null and empty texts have no sentence and stay; so do rows without doc_id, if their text is clean. Repeated rows are scored each. An empty
+    table gives an empty result; columns of other names stay as they are.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(toxicity.labelled_documents(docs, labels))
     scored = toxicity.score(spark, docs, model, keep=True, names=("__toxicity", "__spans"))
@@ -27,7 +30,8 @@ def toxic_documents(spark, docs, sf_dir):
 def line_duplicates(spark, docs, sf_dir):
     """Blocks of lines that an earlier document has too are deleted; a document of which nothing is left goes. n_chars follows the text.
 
-    Documents that are near copies as wholes are left to the next stage.
+    Documents that are near copies as wholes, by their full sets of five-word shingles, are left to the next stage. Null, empty and blank texts and
+    rows without doc_id stay as they are; a row that repeats a doc_id is aligned with documents of smaller doc_id. An empty table gives an empty result.
     """
     out = linedup.delete_repeated(docs, spare=SPARE, counts=("__lines", "__deleted"))
     out = out.where((F.col("__deleted") == 0) | F.col("text").rlike(WORD))
@@ -37,18 +41,25 @@ def line_duplicates(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """Of documents linked by a similarity of 0.8 in five-word shingles, the smallest doc_id stays."""
-    gone = small(staged(neardup.near_groups(docs, k=5).where("NOT kept").select("doc_id").distinct(), "near-gone"))
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of documents linked by a similarity of 0.8 in five-word shingles, the smallest doc_id stays.
+
+    Texts that are null or without words are linked with nothing and stay, as do rows without doc_id. Rows that repeat a doc_id are one document:
+    they stay or go together. An empty table gives an empty result.
+    """
+    gone = staged(neardup.near_groups(docs, k=5).where("NOT kept").select("doc_id").distinct(), "near-gone")
+    return without(docs, gone, "doc_id").select(*docs.columns)
 
 
 def mixed_sources(spark, docs, sf_dir):
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it.
+
+    Texts without words are in no mix and are taken zero times; a null source is a source of its own. An empty table gives an empty result.
+    """
     return mixing.repeated(docs)
 
 
 def packed_sequences(spark, docs, sf_dir):
-    """All documents, as pieces of sequences."""
+    """All documents, as pieces of sequences; a null text holds the end id alone. An empty table gives an empty result."""
     return packing.pack(docs)
 
 
@@ -60,7 +71,7 @@ STAGES = [
     ("packing", packed_sequences),
 ]
 
-#: SQL can express neither the classifier nor the alignment; tests hold the stages against brute force instead.
+#: SQL can express neither the classifier nor the alignment; tests/llm/test_pipeline.py holds each stage against a plain version instead.
 ORACLE_SQL = None
 
 
