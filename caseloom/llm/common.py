@@ -99,7 +99,7 @@ def may_be_among(ids: DataFrame, key: str) -> Column:
     bits = min(ALL_BITS, max(CHUNK.bit_length() + 2, (KEY_BITS * ids.count()).bit_length()))
     parts = ids.select(F.xxhash64(key).alias("key")).mapInArrow(_bloom_chunks(bits), "at long, part binary").groupBy("at").applyInArrow(_or, "at long, part binary")
     filled = np.zeros(1 << bits - 3, np.uint8)
-    for r in parts.toLocalIterator():
+    for r in parts.collect():  # bounded by the filter's size
         filled[r["at"] : r["at"] + len(r["part"])] = np.frombuffer(r["part"], np.uint8)
     shared = ids.sparkSession.sparkContext.broadcast(filled)
 

@@ -33,6 +33,8 @@ PREFIX = COORDINATES - MATCHES + 1
 BLOCK = 2048
 #: Hashes of a set that travel with its signature; by how many standard deviations an estimate from them may fall short.
 LOWEST, SLACK = 256, 5.5
+#: Rows by rows of a cell whose collisions are counted without merging lists.
+SMALL_CELL = 4096
 #: Pairs of one document that are confirmed together, about; those of a document with more are dealt out.
 CONFIRM_ROWS = 512
 #: Lists (a key and an id each) up to this many may be broadcast.
@@ -179,23 +181,31 @@ def _cell_pairs(rows: list[dict], percent: int) -> list[tuple[int, int]]:
     own, c = rows[0]["own"], rows[0]["c"]
     left = np.flatnonzero(side == 0)
     right = left if own else np.flatnonzero(side == 1)
-    # Posting lists of the right side: for each coordinate the rows in order of their values, and where those of each left row are.
-    order = np.argsort(keys[right], axis=0, kind="stable")
-    values = np.take_along_axis(keys[right], order, 0)
-    ends = [[np.searchsorted(values[:, j], keys[left, j], e).tolist() for j in range(keys.shape[1])] for e in ("left", "right")]
+    if len(left) * len(right) <= SMALL_CELL:
+        collisions = (keys[left][:, None] == keys[right][None]).sum(2)
+    else:
+        collisions = _merged(keys[left], keys[right])
+    far = (collisions >= MATCHES) & (comp[left][:, None] != comp[right][None]) & (ids[left][:, None] != ids[right][None])
+    x, y = np.nonzero(np.triu(far, 1) if own else far)
+    x, y = left[x], right[y]
+    here = (keys[x] == keys[y]).argmax(1) == c if len(x) else np.zeros(0, bool)
     out = []
-    for x, i in enumerate(left.tolist()):
-        lists = [order[a[x] : b[x], j] for j, (a, b) in enumerate(zip(*ends, strict=True)) if a[x] < b[x]]
-        if not lists:
-            continue
-        others = right[np.flatnonzero(np.bincount(np.concatenate(lists), minlength=len(right)) >= MATCHES)]
-        others = others[(comp[others] != comp[i]) & (ids[others] != ids[i])]
-        if own:
-            others = others[others > i]
-        if len(others):
-            for j in others[(keys[others] == keys[i]).argmax(1) == c].tolist():
-                if _may_link(low[i], rows[i]["n"], low[j], rows[j]["n"], percent):
-                    out.append((min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))))
+    for i, j in zip(x[here].tolist(), y[here].tolist(), strict=True):
+        if _may_link(low[i], rows[i]["n"], low[j], rows[j]["n"], percent):
+            out.append((min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))))
+    return out
+
+
+def _merged(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Collisions of each left row with each right one, by merging the posting lists that hold the left row: only what collides is touched."""
+    order = np.argsort(right, axis=0, kind="stable")
+    values = np.take_along_axis(right, order, 0)
+    starts, ends = (np.stack([np.searchsorted(values[:, j], left[:, j], side) for j in range(left.shape[1])], 1) for side in ("left", "right"))
+    out = np.zeros((len(left), len(right)), np.uint8)
+    for i in range(len(left)):
+        lists = [order[starts[i, j] : ends[i, j], j] for j in np.flatnonzero(starts[i] < ends[i])]
+        if lists:
+            out[i] = np.bincount(np.concatenate(lists), minlength=len(right))
     return out
 
 

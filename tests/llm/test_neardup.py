@@ -2,6 +2,7 @@ import itertools
 import random
 
 import duckdb
+import numpy as np
 import pytest
 
 from caseloom.llm import neardup
@@ -89,10 +90,10 @@ def test_matches_sql(spark):
     assert got == sorted(c.sql(f"SELECT doc_id, n_shingles, component_id, kept FROM ({neardup.ORACLE})").fetchall())
 
 
-def test_collisions_are_counted_in_cells():
+@pytest.mark.parametrize("small", [0, 4096])
+def test_collisions_are_counted_in_cells(monkeypatch, small):
     """Merged posting lists give the pairs that comparing all signatures would give."""
-    import numpy as np
-
+    monkeypatch.setattr(neardup, "SMALL_CELL", small)
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 60, (6, neardup.COORDINATES))
     keys = base[rng.integers(0, 6, 60)]
