@@ -2,15 +2,19 @@
 
 Texts become pieces of at most ``capacity`` tokens; a full piece is a sequence of its own. The others are dealt at
 random into blocks of bounded size (a block costs at most one sequence), and each block is packed by branch and
-bound: the incumbent is the best-fit-decreasing packing; then, sequence by sequence, fillings around the largest piece left are
-enumerated, those that a larger piece in some place would beat are left out, and a branch is dropped once its waste
-exceeds what a packing better than the incumbent may waste. ``NODES`` limits the search, never the pieces.
+bound. The incumbent is the best-fit-decreasing packing. Then, sequence by sequence, fillings around the largest piece left are
+enumerated, least waste first; a filling is left out if it is dominated (one or several of its pieces could be exchanged for one larger
+piece that is left and still fits), and a branch is dropped once its waste exceeds what a packing better than the incumbent may
+waste. The search ends when no branch is left, when the incumbent has as few sequences as the tokens need, or
+after ``budget`` steps: that bounds the time, never the pieces, and None searches to the end.
 """
 
 from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, bisect_right, insort
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +28,8 @@ from caseloom.llm.tokens import WORD_TOKENIZER, encoder
 CAPACITY = 4096
 END_ID = 1
 BLOCK = 10_000
-#: Of the search for the fillings of one sequence; sequences tried again after backtracking, for each in the incumbent.
-NODES, RETRIES = 150, 2
+#: Steps of the search for a block whose best-fit packing is above the least number of sequences (a second or two).
+BUDGET = 400_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, place long"
 
@@ -67,41 +71,79 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def fillings(sizes: list[int], count: dict[int, int], room: int, most: int) -> list[tuple[int, tuple[int, ...]]]:
-    """Up to four undominated fillings of room, least waste first: each place takes the largest piece first, the last the largest that fits."""
-    found: list[tuple[int, tuple[int, ...]]] = []
-    used: dict[int, int] = {}
-    nodes = 0
-
-    def go(left: int, top: int, taken: tuple[int, ...]) -> bool:
-        nonlocal nodes
-        nodes += 1
-        at = bisect_right(sizes, min(left, top)) - 1
-        tried = False
-        while at >= 0 and nodes <= NODES:
-            n = sizes[at]
-            if count[n] > used.get(n, 0):
-                tried = True
-                used[n] = used.get(n, 0) + 1
-                done = go(left - n, n, (*taken, n)) if left > n else (found.append((0, (*taken, n))) or True)
-                used[n] -= 1
-                if done:
-                    return True
-            at -= 1
-        if not tried and left <= most:
-            found.append((left, taken))
-        return False
-
-    go(room, room, ())
-    found.sort(key=lambda f: (f[0], len(f[1])))
-    return [f for i, f in enumerate(found) if i == 0 or f != found[i - 1]][:4]
-
-
-def complete_bins(lengths: list[int], capacity: int) -> list[list[int]]:
-    """Sequences, as lists of lengths, holding all lengths."""
+def reachable(sizes: list[int], count: dict[int, int], room: int) -> list[int]:
+    """For each number of the smallest sizes: the sums up to room that their pieces can have, as bits."""
+    within, out = (1 << room + 1) - 1, [1]
+    for n in sizes:
+        sums, copies, k = out[-1], count[n], 1
+        while copies and n <= room and sums != within:
+            k = min(k, copies)
+            sums |= sums << k * n & within
+            copies, k = copies - k, 2 * k
+        out.append(sums)
+    return out
+
+
+def dominated(filling: tuple[int, ...], left: int, others: int) -> bool:
+    """Whether a piece of others (bits of sizes) still fits, or could take the place of one or several smaller ones of the filling, which go elsewhere then.
+
+    left: the room that the filling leaves.
+    """
+    single = several = 0
+    for n in filling:
+        several |= (single | several) << n
+        single |= 1 << n
+    # A piece alone, or none, must be exchanged for a larger one; several, for one at least as large as they are together.
+    reach, width = (single | several | 1) << 1 if left else 0, 1
+    while width < left:
+        step = min(width, left - width)
+        reach |= reach << step
+        width += step
+    return bool((reach | several) & others)
+
+
+def fillings(sizes: list[int], count: dict[int, int], room: int, most, spend) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """All undominated fillings of room, least waste first, as (waste, pieces). most() is the waste allowed by now; spend(n) counts steps.
+
+    A depth-first search over the sums that can still be reached, so no branch of it ends in vain; pieces of one size are taken together.
+    """
+    sums = reachable(sizes, count, room)
+    spend(len(sizes) // 8)
+    waste, fitting = 0, sum(1 << n for n in sizes if n <= room)
+    while waste <= min(most(), room):
+        if sums[-1] >> room - waste & 1:
+            # (sizes that may still be used, sum still to fill, pieces so far)
+            todo = [(len(sizes), room - waste, ())]
+            while todo:
+                top, want, taken = todo.pop()
+                spend(1)
+                if not want:
+                    used = Counter(taken)
+                    if not dominated(taken, waste, fitting - sum(1 << n for n, k in used.items() if k == count[n])):
+                        yield waste, taken
+                        if waste > most():
+                            return
+                    continue
+                top = bisect_right(sizes, want, 0, top)
+                if not top or not sums[top] >> want & 1:
+                    continue
+                n = sizes[top - 1]
+                # Fewest pieces of the largest size first onto the stack, so that most of them are tried first.
+                for k in range(min(count[n], want // n) + 1):
+                    if sums[top - 1] >> want - k * n & 1:
+                        todo.append((top - 1, want - k * n, taken + (n,) * k))
+        waste += 1
+
+
+class _Spent(Exception):
+    """The budget of the search is used up."""
+
+
+def complete_bins(lengths: list[int], capacity: int, budget: int | None = BUDGET) -> list[list[int]]:
+    """Sequences, as lists of lengths, holding all lengths: as few as possible, if the search ends within the budget; never more than best fit takes."""
     lengths = sorted(lengths, reverse=True)
     incumbent = best_fit(lengths, capacity)
-    total = sum(lengths)
+    total, spent = sum(lengths), 0
     least = -(-total // capacity)
     if len(incumbent) <= least:
         return incumbent
@@ -120,43 +162,55 @@ def complete_bins(lengths: list[int], capacity: int) -> list[list[int]]:
             insort(sizes, n)
         count[n] += 1
 
-    may_waste = (len(incumbent) - 1) * capacity - total
+    def spend(n: int) -> None:
+        nonlocal spent
+        spent += n
+        if budget is not None and spent > budget:
+            raise _Spent
+
+    wasted, may_waste = 0, (len(incumbent) - 1) * capacity - total
     bins: list[tuple[int, tuple[int, ...]]] = []
-    other: list[list[tuple[int, tuple[int, ...]]]] = []
-    wasted, tries = 0, (1 + RETRIES) * len(incumbent)
-    while True:
-        if not sizes:
+    options: list[Iterator[tuple[int, tuple[int, ...]]]] = []
+
+    def around_largest() -> Iterator[tuple[int, tuple[int, ...]]]:
+        top = sizes[-1]
+        rest = {n: c - (n == top) for n, c in count.items() if c > (n == top)}
+        return ((w, (top, *f)) for w, f in fillings(sorted(rest), rest, capacity - top, lambda: may_waste - wasted, spend))
+
+    try:
+        options.append(around_largest())
+        while options:
+            option = next(options[-1], None)
+            if option is None or wasted + option[0] > may_waste:
+                # No filling of this sequence is left that may lead to fewer: undo the one before.
+                options.pop()
+                if bins:
+                    w, b = bins.pop()
+                    wasted -= w
+                    for n in b:
+                        give(n)
+                continue
+            bins.append(option)
+            wasted += option[0]
+            for n in option[1]:
+                take(n)
+            if sizes:
+                options.append(around_largest())
+                continue
             incumbent = [list(b) for _, b in bins]
             if len(incumbent) <= least:
                 return incumbent
             may_waste = (len(incumbent) - 1) * capacity - total
-        elif tries > 0:
-            tries -= 1
-            top = sizes[-1]
-            take(top)
-            options = [(w, (top, *f)) for w, f in fillings(sizes, count, capacity - top, capacity)]
-            give(top)
-            other.append(options[::-1])
-            bins.append((0, ()))
-        # Take the next option of the deepest sequence whose waste is still allowed; undo those that have none.
-        while other:
             w, b = bins.pop()
             wasted -= w
             for n in b:
                 give(n)
-            option = other[-1].pop() if other[-1] else None
-            if option and wasted + option[0] <= may_waste:
-                bins.append(option)
-                wasted += option[0]
-                for n in option[1]:
-                    take(n)
-                break
-            other.pop()
-        if not other or (tries <= 0 and sizes):
-            return incumbent
-
-
-def _pack(capacity: int):
+    except _Spent:
+        pass
+    return incumbent
+
+
+def _pack(capacity: int, budget: int | None):
     def pack(table: pa.Table) -> pa.Table:
         lengths = table.column("length").to_numpy()
         order = np.argsort(lengths, kind="stable")
@@ -164,7 +218,7 @@ def _pack(capacity: int):
         for i in order.tolist():
             at.setdefault(int(lengths[i]), []).append(i)
         sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-        for k, b in enumerate(complete_bins(lengths.tolist(), capacity)):
+        for k, b in enumerate(complete_bins(lengths.tolist(), capacity, budget)):
             place = 0
             for n in b:
                 i = at[n].pop()
@@ -176,7 +230,7 @@ def _pack(capacity: int):
     return pack
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = WORD_TOKENIZER, end: int = END_ID, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = WORD_TOKENIZER, end: int = END_ID, with_ids: bool = False, budget: int | None = BUDGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Return a row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, as unsigned 32-bit bytes).
 
     Null and empty texts hold the end id alone. Only texts longer than a sequence are cut. Repeated rows are packed
@@ -190,19 +244,19 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = WORD_TOKENI
     blocks = max(1, -(-rest.count() // BLOCK))
     dealt = rest.select("place", "length", F.pmod(F.xxhash64("place"), F.lit(blocks)).alias("block"), *(c for c in pieces.columns if c not in ("place", "length")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema if f.name != "block") + ", sequence_id long, offset long"
-    packed = dealt.groupBy("block").applyInArrow(_pack(capacity), schema)
+    packed = dealt.groupBy("block").applyInArrow(_pack(capacity, budget), schema)
     return full.select(packed.columns).unionAll(packed).drop("place")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
-    """The sequences themselves, of a packing with ids: sequence_id, n_tokens, ids (unsigned 32-bit bytes) with the pieces in place."""
+    """The sequences themselves, of a packing with ids: sequence_id, n_tokens, ids (unsigned 32-bit bytes) with the pieces in place. An empty packing has none."""
     parts = packed.groupBy("sequence_id").agg(F.sum("length").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
     return parts.select("sequence_id", "n_tokens", F.expr("aggregate(parts, X'', (a, p) -> concat(a, p.ids))").alias("ids"))
 
 
 def waste(packed: DataFrame) -> DataFrame:
-    """Sequences, tokens and the fewest sequences that could hold them, in one row."""
-    used = packed.agg(F.countDistinct("sequence_id").alias("sequences"), F.sum("length").alias("tokens"))
+    """Sequences, tokens and the fewest sequences that could hold them, in one row; zeros for an empty packing."""
+    used = packed.agg(F.countDistinct("sequence_id").alias("sequences"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens"))
     return used.withColumn("least", F.ceil(F.col("tokens") / CAPACITY))
 
 

@@ -90,11 +90,62 @@ def test_bin_completion_holds_all_within_capacity(lengths):
     assert -(-sum(lengths) // 100) <= len(bins) <= len(packing.best_fit(sorted(lengths, reverse=True), 100))
 
 
+def optimum(lengths, capacity):
+    """The fewest sequences, by dynamic programming over all subsets: (sequences, room used in the last)."""
+    best = {0: (1, 0)}
+    for done in range(1 << len(lengths)):
+        bins, used = best[done]
+        for i, n in enumerate(lengths):
+            if not done >> i & 1:
+                new = (bins, used + n) if used + n <= capacity else (bins + 1, n)
+                best[done | 1 << i] = min(best.get(done | 1 << i, (99, 0)), new)
+    return best[(1 << len(lengths)) - 1][0]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(8, 60), min_size=1, max_size=10))
+def test_bin_completion_is_optimal(lengths):
+    assert len(packing.complete_bins(lengths, 100, budget=None)) == optimum(lengths, 100)
+
+
 def test_bin_completion_beats_best_fit():
-    lengths = [44, 43, 28, 27, 29, 28, 57, 57]  # 44+28+28, 43+57, 57+... against the greedy order
+    """Random cases in which best fit is not optimal, with every one solved to the optimum."""
+    rng, beaten = np.random.default_rng(4), 0
+    for _ in range(400):
+        lengths = rng.integers(10, 55, 10).tolist()
+        greedy, best = len(packing.best_fit(sorted(lengths, reverse=True), 100)), optimum(lengths, 100)
+        beaten += greedy > best
+        assert len(packing.complete_bins(lengths, 100, budget=None)) == best
+    assert beaten >= 5
     exact = [60, 50, 30, 20, 20, 20]  # best fit: 60+30, 50+20+20, 20; completed: 60+20+20, 50+30+20
     assert len(packing.best_fit(sorted(exact, reverse=True), 100)) == 3 and len(packing.complete_bins(exact, 100)) == 2
-    assert len(packing.complete_bins(lengths, 100)) <= len(packing.best_fit(sorted(lengths, reverse=True), 100))
+    # Hundreds of pieces, packed without any waste.
+    big = [n for _ in range(40) for n in (44, 33, 23)] + [n for _ in range(40) for n in (47, 36, 17)]
+    assert len(packing.complete_bins(big, 100)) == 80
+
+
+def listed(sizes, room):
+    count = {n: sizes.count(n) for n in sizes}
+    return list(packing.fillings(sorted(count), count, room, lambda: room, lambda n: None))
+
+
+def test_fillings_are_undominated_and_complete():
+    assert listed([8, 9], 10) == [(1, (9,))]
+    assert listed([5, 5, 10], 10) == [(0, (10,))]
+    assert listed([1] * 4000, 4000) == [(0, (1,) * 4000)]
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        sizes, room = rng.integers(1, 30, 7).tolist(), int(rng.integers(10, 60))
+        subsets = {tuple(sorted((sizes[i] for i in range(7) if m >> i & 1), reverse=True)): m for m in range(1 << 7)}
+        fit = [f for f in subsets if sum(f) <= room]
+
+        def better(f):
+            """Whether some pieces of f could be exchanged for one other piece that is larger, or as large as several."""
+            rest = [n for i, n in enumerate(sizes) if not subsets[f] >> i & 1]
+            parts = [[f[i] for i in range(len(f)) if m >> i & 1] for m in range(1 << len(f))]
+            return any(sum(f) - sum(p) + x <= room and (x > sum(p) or (len(p) > 1 and x == sum(p))) for p in parts for x in rest)
+
+        assert sorted(f for _, f in listed(sizes, room)) == sorted(f for f in fit if not better(f))
 
 
 def test_packing_of_odd_rows(odd, none):
