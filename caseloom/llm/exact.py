@@ -1,8 +1,9 @@
 """Exact duplicates by an exchange of Golomb-coded fingerprints.
 
-1. One scan turns each text into its SHA-256. The rows are kept in units: one row for up to
-   UNIT documents, with the first 8 bytes of the hash (the fingerprint) in ascending order.
-2. A unit sends its distinct fingerprints to their owners (the leading bits choose the owner),
+1. One scan turns each text into its SHA-256. The rows are kept in units of up to UNIT documents, as one row with the hashes in ascending
+   order. Large tables join units to larger ones, so that units times owners, the most messages there can be, stay below the number of documents.
+2. The fingerprint is the hash's leading bits: SPARE more than the number of documents needs, so about one unique text in 2**SPARE is suspected.
+   A unit sends its distinct fingerprints to their owners (the leading bits choose the owner),
    as Golomb-Rice codes of the gaps. Owners answer with a bitmap of those that other units sent too.
 3. Documents whose fingerprint is repeated, by bitmap or within their unit, are suspects. Only their texts are
    shuffled, combined before the shuffle, and compared byte by byte.
@@ -19,10 +20,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import ascii_lower, small, staged, text_slices
+from caseloom.llm.common import ascii_lower, only, small, staged, text_slices
 
 UNIT = 1 << 15
 OWNER_ROWS = 1 << 18
+SPARE = 8
 
 
 def golomb_encode(values: np.ndarray) -> tuple[int, bytes]:
@@ -69,20 +71,30 @@ def _hash(batches):
         yield _unit(part << 32 | n, ids, shas)
 
 
-def _fingerprints(shas: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(shas, np.uint8).reshape(-1, 32)[:, :8]).view(">u8").reshape(-1).astype(np.uint64)
+def _join_units(table: pa.Table) -> pa.Table:
+    ids = [i for x in table.column("ids").to_pylist() for i in x]
+    shas = b"".join(table.column("shas").to_pylist())
+    return pa.Table.from_batches([_unit(table.column("sender")[0].as_py(), ids, [shas[i : i + 32] for i in range(0, len(shas), 32)])])
 
 
-def _send(owner_bits: int):
+def _fingerprints(shas: bytes, width: int) -> np.ndarray:
+    """The leading width bits (64 at most) of each hash."""
+    whole = np.ascontiguousarray(np.frombuffer(shas, np.uint8).reshape(-1, 32)[:, :8]).view(">u8").reshape(-1).astype(np.uint64)
+    return whole >> np.uint64(64 - width)
+
+
+def _send(width: int, owner_bits: int):
+    low = np.uint64(width - owner_bits)
+
     def send(batches):
         for batch in batches:
             out = []
             for unit, shas in zip(batch.column("unit").to_pylist(), batch.column("shas").to_pylist(), strict=True):
-                fps = np.unique(_fingerprints(shas))
-                owner = (fps >> np.uint64(64 - owner_bits)).astype(np.int64)
+                fps = np.unique(_fingerprints(shas, width))
+                owner = (fps >> low).astype(np.int64)
                 for block in np.split(fps, np.flatnonzero(np.diff(owner)) + 1):
-                    o = int(block[0] >> np.uint64(64 - owner_bits))
-                    k, code = golomb_encode(block - (np.uint64(o) << np.uint64(64 - owner_bits)))
+                    o = int(block[0] >> low)
+                    k, code = golomb_encode(block - (np.uint64(o) << low))
                     out.append((o, unit, len(block), k, code))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["owner", "unit", "n", "k", "code"])
 
@@ -100,26 +112,23 @@ def _answer(table: pa.Table) -> pa.Table:
     return pa.table([pa.array([x[i] for x in got], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["unit", "owner", "bits"])
 
 
-def _suspects(owner_bits: int):
+def _suspects(width: int, owner_bits: int):
+    """Units with their bitmaps -> a row for each document, with its hash and whether it is suspected."""
+
     def suspects(batches):
         for batch in batches:
             for ids, shas, marks in zip(batch.column("ids").to_pylist(), batch.column("shas").to_pylist(), batch.column("marks").to_pylist(), strict=True):
-                fps, inverse, counts = np.unique(_fingerprints(shas), return_inverse=True, return_counts=True)
-                hit, owner = counts > 1, (fps >> np.uint64(64 - owner_bits)).astype(np.int64)
+                fps, inverse, counts = np.unique(_fingerprints(shas, width), return_inverse=True, return_counts=True)
+                hit, owner = counts > 1, (fps >> np.uint64(width - owner_bits)).astype(np.int64)
                 for m in marks or ():
                     at = np.searchsorted(owner, [m["owner"], m["owner"] + 1])
                     hit[at[0] : at[1]] |= np.unpackbits(np.frombuffer(m["bits"], np.uint8))[: at[1] - at[0]].astype(bool)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in np.flatnonzero(hit[inverse])], pa.int64())], ["doc_id"])
+                hexes = pa.array([shas[i : i + 32].hex() for i in range(0, len(shas), 32)], pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), hexes, pa.array(hit[inverse])], ["doc_id", "text_sha256", "suspect"])
 
     return suspects
 
 
-def _rows(batches):
-    for batch in batches:
-        for ids, shas in zip(batch.column("ids").to_pylist(), batch.column("shas").to_pylist(), strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([shas[i : i + 32].hex() for i in range(0, len(shas), 32)], pa.string())], ["doc_id", "text_sha256"])
-
-
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Return a row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -129,19 +138,27 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     units = staged(docs.mapInArrow(_hash, "unit long, ids array<long>, shas binary"), "exact-units")
-    n = units.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0]
-    owner_bits = max(6, (int(n) // OWNER_ROWS).bit_length())
-    sent = units.select("unit", "shas").mapInArrow(_send(owner_bits), "owner long, unit long, n int, k int, code binary")
+    n = int(units.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0])
+    # Of a unit and of an owner, in documents: their product grows with n, so messages (n / unit * n / owner) do no more than n.
+    even = 1 << (64 * n).bit_length() // 2
+    if even > UNIT:
+        dealt = units.withColumn("sender", F.pmod(F.xxhash64("unit"), F.lit(max(1, n // even))))
+        units = staged(dealt.groupBy("sender").applyInArrow(_join_units, "unit long, ids array<long>, shas binary"), "exact-joined-units")
+    owner_bits = max(6, (n // max(OWNER_ROWS, even)).bit_length())
+    width = min(64, max(owner_bits + 1, n.bit_length() + SPARE))
+    sent = units.select("unit", "shas").mapInArrow(_send(width, owner_bits), "owner long, unit long, n int, k int, code binary")
     marks = sent.groupBy("owner").applyInArrow(_answer, "unit long, owner long, bits binary")
     marks = marks.groupBy("unit").agg(F.collect_list(F.struct("owner", "bits")).alias("marks"))
-    suspects = units.join(marks, "unit", "left").select("ids", "shas", "marks").mapInArrow(_suspects(owner_bits), "doc_id long")
-    suspects = small(staged(suspects.distinct(), "exact-suspects")).withColumnRenamed("doc_id", "suspect_id")
-    texts = docs.join(suspects, F.col("doc_id").eqNullSafe(F.col("suspect_id")), "left_semi").select("doc_id", ascii_lower(F.col("text")).alias("text"))
+    rows = units.join(marks, "unit", "left").select("ids", "shas", "marks").mapInArrow(_suspects(width, owner_bits), "doc_id long, text_sha256 string, suspect boolean")
+    rows = staged(rows, "exact-rows")
+    suspects = staged(rows.where("suspect").select("doc_id").distinct(), "exact-suspects")
+    texts = only(docs, suspects, "doc_id").select("doc_id", ascii_lower(F.col("text")).alias("text"))
     groups = texts.groupBy("text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
     groups = small(staged(groups.select(F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size"), "exact-groups"))
-    rows = units.select("ids", "shas").mapInArrow(_rows, "doc_id long, text_sha256 string").join(groups, "text_sha256", "left")
+    alone = rows.where("NOT suspect").select("doc_id", "text_sha256", F.lit(None).cast("bigint").alias("keep_id"), F.lit(None).cast("bigint").alias("group_size"))
+    found = rows.where("suspect").drop("suspect").join(groups, "text_sha256", "left").select(alone.columns).unionAll(alone)
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return rows.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
+    return found.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
 
 ORACLE = """
