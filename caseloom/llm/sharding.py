@@ -3,7 +3,7 @@
 Documents are ordered by the hash of their text (equal texts stand together), then by the hash of
 their doc_id. Boundaries between shards are found by counting: exact bytes are summed below probes that divide the key
 space evenly, the interval holding each wanted boundary is divided again, and so on until all boundaries are
-within tolerance. Only then are the rows exchanged, once.
+within tolerance. Only then are the rows exchanged, once, into ranges of the key; places in a shard follow from the order within each range.
 
 What reaches the driver is a histogram of at most ``(shards - 1) * 2**STEP`` sums a round, at any size of input, and at last
 at most FEW keys for each boundary.
@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import staged
+from caseloom.llm.common import small, staged
 
 SHARDS = 16
 #: Bits of the key (60 of each hash) that a round of probes refines.
@@ -29,8 +29,8 @@ TOLERANCE = 0.001
 GROUP_TOLERANCE = 0.01
 #: An interval with so few rows is settled by its rows themselves.
 FEW = 1000
-#: Rows that one task orders within a shard, about.
-RUN_ROWS = 100_000
+#: Rows that one task orders, about.
+RUN_ROWS = 20_000
 
 
 def _digit(level: int) -> Column:
@@ -107,7 +107,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, i
 
     The law is ``bytes``: sizes (UTF-8 bytes plus one; null text: one) near equal. Equal texts stand together, so a group is divided only
     where a boundary would else miss its tolerance; a group larger than a shard is divided by doc_id. Rows that repeat doc_id and text
-    stay together, always. grown_shard is null under this law. Other columns are ignored; an empty table gives an empty result.
+    stay together, always. Slots are in order of the key. grown_shard is null under this law. Other columns are ignored; an empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     keys = staged(
@@ -122,17 +122,15 @@ def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, i
     )
     cuts = splitters(keys, shards, tolerance)
     number = reduce(lambda a, b: a + b, [_beyond(c).cast("int") for c in cuts], F.lit(0))
-    # Runs: the keys by leading digits of both hashes, so that neither a shard nor a group of equal texts is ordered by one task.
-    fine = max(0, min(STEP, (keys.count() // RUN_ROWS).bit_length()))
-    lead = F.shiftright(_digit(0), STEP - fine) if fine else F.lit(0)
-    rows = keys.select("doc_id", "size", "text_crc32", "h", "d", number.alias("shard"), lead.alias("run"), F.shiftright(_digit(TEXT_DIGITS), STEP - 4).alias("part"))
-    key = ["shard", "run", "part"]
-    runs = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"))
-    first = Window.partitionBy("shard").orderBy("run", "part").rowsBetween(Window.unboundedPreceding, -1)
-    runs = F.broadcast(runs.select(*key, F.coalesce(F.sum("rows").over(first), F.lit(0)).alias("base")))  # at most 16 for each shard and leading digit
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy("h", "d", "doc_id")))
-    return rows.join(runs, key).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int"), (F.col("base") + F.col("rank") - 1).cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+    order = ["h", "d", "doc_id", "text_crc32"]
+    ranged = keys.withColumn("shard", number).repartitionByRange(max(1, -(-keys.count() // RUN_ROWS)), *order).sortWithinPartitions(*order)
+    rows = staged(ranged.select("doc_id", "size", "text_crc32", "shard", F.spark_partition_id().alias("range"), F.monotonically_increasing_id().alias("at")), "shard-rows")
+    # Ranges follow each other in key order, so a row's place is what earlier ranges hold of its shard, and its place in its own.
+    parts = rows.groupBy("shard", "range").agg(F.count(F.lit(1)).alias("rows"), F.min("at").alias("first"))
+    earlier = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("shard", "range", "first", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("base"))
+    return rows.join(small(staged(parts, "shard-ranges")), ["shard", "range"]).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int"), (F.col("base") + F.col("at") - F.col("first")).cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
 
 

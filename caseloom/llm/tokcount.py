@@ -194,25 +194,27 @@ def token_counts(docs: DataFrame, tokenizer: str = BYTE_TOKENIZER, id_col: str =
 
 
 def tokens_in(prefix_counts: str, n_chars: int) -> Column:
-    """How many tokens the first n_chars characters of each text have."""
+    """How many tokens the first n_chars characters of each text have: all, of a shorter one; none, of an empty one; null, where nothing is stored."""
 
     @F.pandas_udf("long")
     def read(stored: pd.Series) -> pd.Series:
-        return stored.map(lambda x: int(np.frombuffer(x, np.int8)[:n_chars].sum(dtype=np.int64)))
+        return stored.map(lambda x: None if x is None else int(np.frombuffer(x, np.int8)[:n_chars].sum(dtype=np.int64))).astype("Int64")
 
     return read(F.col(prefix_counts))
 
 
 def chars_within(prefix_counts: str, budget: int) -> Column:
-    """The length of the longest prefix of each text that has at most budget tokens."""
+    """The length of the longest prefix of each text that has at most budget tokens: 0, of an empty one; null, where nothing is stored."""
 
     @F.pandas_udf("long")
     def read(stored: pd.Series) -> pd.Series:
-        def longest(x: bytes) -> int:
+        def longest(x: bytes | None) -> int | None:
+            if x is None:
+                return None
             fits = np.flatnonzero(np.cumsum(np.frombuffer(x, np.int8), dtype=np.int64) <= budget)
             return int(fits[-1]) + 1 if len(fits) else 0
 
-        return stored.map(longest)
+        return stored.map(longest).astype("Int64")
 
     return read(F.col(prefix_counts))
 

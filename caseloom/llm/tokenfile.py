@@ -1,7 +1,7 @@
 """Token ids as ORC: integer run-length encoding in stripes, row indexes and Bloom filters on document ids.
 
-Documents are dealt by ranges of doc_id, so each file holds one range in ascending order; a reader that wants
-some documents skips files and row groups by their minimum and maximum, and by the Bloom filter.
+Documents are dealt by ranges of doc_id, so each file holds one range in ascending order, in several stripes that can be read in parallel; a reader that wants
+some documents skips files, stripes and row groups by their minimum and maximum, and by the Bloom filter.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ from caseloom.llm.common import shared_path, text_slices
 from caseloom.llm.tokens import WORD_TOKENIZER, encoder
 
 END_ID = 2
-FILE_ROWS = 8192
-STRIPE_BYTES = 16 << 20
+#: Documents of a file; smaller tables are spread over TASKS files for each core instead, of at least LEAST_ROWS.
+FILE_ROWS, LEAST_ROWS, TASKS = 65_536, 4_096, 4
+#: Encoded bytes of a stripe, rows after which they are counted, rows of an index entry and of a Bloom filter.
+STRIPE_BYTES, CHECK_ROWS, STRIDE = 2 << 20, 500, 1_000
 COLUMNS = "doc_id long, part int, n_ids int, ids array<int>"
 
 
@@ -40,13 +42,18 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str = WORD_TOKENIZER
     """Write doc_id, part, n_ids and ids (array<int>, with the end id) of every row as ORC.
 
     Null texts count as empty and hold the end id alone. Rows without doc_id come first; rows that repeat a
-    doc_id are in the order of their texts' hashes. Texts are whole. An empty table leaves a readable table without rows.
+    doc_id are in the order of their texts' hashes. Texts are whole; other columns are left out. An empty table leaves a readable table without rows.
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    ranged = docs.repartitionByRange(max(1, -(-docs.count() // file_rows)), *order).sortWithinPartitions(*order)
+    n, cores = docs.count(), docs.sparkSession.sparkContext.defaultParallelism
+    ranged = docs.repartitionByRange(max(1, -(-n // file_rows), min(n // LEAST_ROWS, TASKS * cores)), *order).sortWithinPartitions(*order)
     coded = ranged.withColumn("part", F.spark_partition_id()).mapInArrow(_encode(tokenizer, end), COLUMNS)
-    coded.write.option("orc.compress", "SNAPPY").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.create.index", "true").option("orc.row.index.stride", "1000").option("orc.stripe.size", str(STRIPE_BYTES)).orc(path)
+    layout = {
+        "orc.compress": "SNAPPY", "orc.create.index": "true", "orc.row.index.stride": str(STRIDE), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01",
+        "orc.stripe.size": str(STRIPE_BYTES), "orc.rows.between.memory.checks": str(CHECK_ROWS),
+    }
+    coded.write.options(**layout).orc(path)
 
 
 def read_token_file(spark: SparkSession, path: str) -> DataFrame:
@@ -63,7 +70,7 @@ def _digest(batches):
 
 
 def token_file_index(stored: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document of a token file, in its order.
+    """doc_id, start, n_tokens, ids_crc32 of each document of a token file, in its order: null doc_ids first, repeated ones in the order they are stored. An empty file has none.
 
     Starts are running sums within a part plus what all earlier parts hold, so no task orders more than a part.
     """

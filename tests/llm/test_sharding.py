@@ -1,5 +1,7 @@
 import zlib
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from caseloom.llm import sharding
@@ -43,3 +45,20 @@ def test_odd_rows(odd, none):
     assert sharding.shard(none).count() == 0
     again = {(r.doc_id, r.slot, r.shard) for r in sharding.shard(odd.repartition(3), 4).where("doc_id != 7").collect()}
     assert again == {(r.doc_id, r.slot, r.shard) for r in rows if r.doc_id not in (7, None)}
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_equals_exact_splitters(spark, monkeypatch, hot):
+    """All rows in order of the key, with running bytes: boundaries lie where these say, within tolerance, and slots follow that order."""
+    monkeypatch.setattr(sharding, "RUN_ROWS", 700)
+    text = F.concat(F.lit("text "), F.floor(F.col("id") / 3), F.repeat(F.lit("x"), (F.pmod(F.xxhash64("id"), F.lit(400))).cast("int")))
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.when((F.col("id") % 3 == 0) & F.lit(hot), F.lit("one text of a third of all rows, and no short one at that")).otherwise(text).alias("text"))
+    keys = docs.select("doc_id", F.shiftrightunsigned(F.xxhash64("text"), 4).alias("h"), F.shiftrightunsigned(F.xxhash64(F.lit(1), "doc_id"), 4).alias("d"))
+    got = sharding.shard(docs, 16).join(keys, "doc_id").orderBy("h", "d").toPandas()
+    assert len(got) == 9000 and got["shard"].is_monotonic_increasing
+    assert (got.groupby("shard").cumcount() == got["slot"]).all()
+    ends, share = got.groupby("shard")["size"].sum().cumsum().to_numpy(), got["size"].sum() / 16
+    exact = got["size"].cumsum().to_numpy()
+    for i, end in enumerate(ends[:-1]):
+        nearest = exact[np.argmin(abs(exact - share * (i + 1)))]
+        assert abs(end - share * (i + 1)) <= max(sharding.GROUP_TOLERANCE * share, abs(nearest - share * (i + 1)))
