@@ -39,6 +39,33 @@ def features(word: str) -> list[str]:
     return [word, *(f"{word[:n]}+" for n in (4, 5, 6, 7, 8) if len(word) > n)] if word else []
 
 
+def _sentences(texts, known: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The features of all sentences (each once a sentence), where sentences end, and where documents end. A text without sentences has an empty one."""
+    flat, s_ends, d_ends = array("i"), array("q", [0]), array("q", [0])
+    for text in texts:
+        for s in [s for s in SENTENCE.findall(text.lower()) if not s.isspace()] or [""]:
+            flat.extend(set().union(*(known[w] for w in s.split() if w in known)))
+            s_ends.append(len(flat))
+        d_ends.append(len(s_ends) - 1)
+    return np.array(flat, np.int64), np.array(s_ends), np.array(d_ends)
+
+
+def loss_and_slope(w: np.ndarray, bias: float, flat: np.ndarray, s_ends: np.ndarray, d_ends: np.ndarray, y: np.ndarray, a: int, b: int) -> tuple[float, np.ndarray, float]:
+    """The mean log loss of documents a to b under noisy-or, without decay, and its slopes by weight and by bias."""
+    s0, s1 = d_ends[a], d_ends[b]
+    f = flat[s_ends[s0] : s_ends[s1]]
+    of_s = np.repeat(np.arange(s1 - s0), np.diff(s_ends[s0 : s1 + 1]))
+    of_d = np.repeat(np.arange(b - a), np.diff(d_ends[a : b + 1]))
+    z = bias + np.bincount(of_s, w[f], s1 - s0)
+    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    log_clean = np.bincount(of_d, np.log1p(-np.minimum(p, 1 - 1e-12)), b - a)
+    clean = np.exp(log_clean)
+    loss = -np.where(y[a:b] > 0, np.log(np.maximum(1 - clean, 1e-9)), log_clean).mean() if b > a else 0.0
+    pull = np.where(y[a:b] > 0, -clean / np.maximum(1 - clean, 1e-9), 1.0)  # of the loss, by a sentence's logit, over its score
+    g_s = pull[of_d] * p / (b - a)
+    return loss, np.bincount(f, g_s[of_s], len(w)), g_s.sum()
+
+
 def _fit(table: pd.DataFrame) -> pd.DataFrame:
     """text, toxic -> feature, weight; the bias has the empty feature."""
     release()
@@ -57,33 +84,18 @@ def _fit(table: pd.DataFrame) -> pd.DataFrame:
     names = [f for f, df, hit in counts if hit >= LEAST_DOCS and hit - df * share >= LEAST_Z * math.sqrt(df * share * (1 - share) + 1e-9)]
     index = {f: i for i, f in enumerate(names)}
     known = {word: ids for word in seen if (ids := [index[f] for f in features(word) if f in index])}
-    flat, s_ends, d_ends = array("i"), array("q", [0]), array("q", [0])  # features of all sentences, where sentences end, where documents end
-    for text in table["text"]:
-        for s in [s for s in SENTENCE.findall(text.lower()) if not s.isspace()] or [""]:
-            flat.extend(set().union(*(known[w] for w in s.split() if w in known)))
-            s_ends.append(len(flat))
-        d_ends.append(len(s_ends) - 1)
-    flat, s_ends, d_ends, y = np.array(flat, np.int64), np.array(s_ends), np.array(d_ends), table["toxic"].to_numpy(np.float64)
+    data, y = _sentences(table["text"], known), table["toxic"].to_numpy(np.float64)
     w, bias = np.zeros(len(names)), START
     sq_w, sq_b = np.full(len(names), 1e-8), 1e-8
     step = max(1, min(256, len(y) // 8))
     for _ in range(EPOCHS):
         for a in range(0, len(y), step):
-            b = min(a + step, len(y))
-            s0, s1 = d_ends[a], d_ends[b]
-            f = flat[s_ends[s0] : s_ends[s1]]
-            of_s = np.repeat(np.arange(s1 - s0), np.diff(s_ends[s0 : s1 + 1]))
-            of_d = np.repeat(np.arange(b - a), np.diff(d_ends[a : b + 1]))
-            z = bias + np.bincount(of_s, w[f], s1 - s0)
-            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            clean = np.exp(np.bincount(of_d, np.log1p(-np.minimum(p, 1 - 1e-12)), b - a))
-            pull = np.where(y[a:b] > 0, -clean / np.maximum(1 - clean, 1e-9), 1.0)  # of the loss, by a sentence's logit, over its score
-            g_s = pull[of_d] * p / (b - a)
-            g = np.bincount(f, g_s[of_s], len(w)) + DECAY * w
+            _, g, g_bias = loss_and_slope(w, bias, *data, y, a, min(a + step, len(y)))
+            g = g + DECAY * w
             sq_w += g * g
             w -= RATE * g / np.sqrt(sq_w)
-            sq_b += g_s.sum() ** 2
-            bias -= 0.1 * RATE * g_s.sum() / math.sqrt(sq_b)
+            sq_b += g_bias**2
+            bias -= 0.1 * RATE * g_bias / math.sqrt(sq_b)
     strong = [(f, x) for f, x in zip(names, w.tolist(), strict=True) if abs(x) > 0.01]
     return pd.DataFrame({"feature": ["", *(f for f, _ in strong)], "weight": [bias, *(x for _, x in strong)]})
 
@@ -166,7 +178,11 @@ def held_out(doc_id) -> F.Column:
 
 
 def labelled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, toxic of the documents that may be learnt from; chosen before their texts are fetched."""
+    """doc_id, text, toxic of the documents that may be learnt from; chosen before their texts are fetched.
+
+    Rows without label or doc_id, and those held out, are left out; of several labels of a document the largest holds. Documents that repeat a doc_id
+    count each. Empty tables give an empty result.
+    """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     bounded = known.orderBy(F.md5(F.col("doc_id").cast("string"))).limit(SAMPLE)
     return docs.select("doc_id", "text").join(F.broadcast(bounded), "doc_id")

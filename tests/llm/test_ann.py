@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from caseloom.llm import ann
@@ -54,3 +55,28 @@ def test_beam_search_is_no_worse_than_greedy():
     x, books = rng.normal(size=(200, 8)), rng.normal(size=(4, 16, 8)) * 0.5
     far = lambda codes: sum(((x - sum(b[codes[:, m]] for m, b in enumerate(books))) ** 2).sum(1))
     assert far(ann.encode(x, books, 8)[0]) <= far(ann.encode(x, books, 1)[0])
+
+
+@pytest.mark.parametrize("clusters", [0, 200])
+def test_recall_on_many_vectors(spark, monkeypatch, clusters):
+    """50,000 vectors against brute force, without clusters and with; where there are clusters, few lists are looked into. Small blocks make many cells."""
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 64)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(50_000, 24)).astype(np.float32)
+    if clusters:
+        x = (0.3 * x + 2 * rng.normal(size=(clusters, 24))[rng.integers(0, clusters, 50_000)]).astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(50_000), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), 24).cast(pa.list_(pa.float32()))})).repartition(4)
+    models = []
+    fit = ann.fit_model
+    monkeypatch.setattr(ann, "fit_model", lambda v: models.append(fit(v)) or models[-1])
+    got = ann.nearest(df, df.where("vec_id % 250 = 0")).toPandas().groupby("query_id")["vec_id"].agg(set)
+    queries = np.arange(0, 50_000, 250)
+    assert set(got.index) == set(queries)
+    y = x.astype(np.float64)
+    far = (y * y).sum(1) - 2 * y[queries] @ y.T
+    far[np.arange(200), queries] = np.inf
+    true = np.argpartition(far, 9, axis=1)[:, :10]
+    recall = sum(len(got[q] & set(t.tolist())) for q, t in zip(queries, true, strict=True)) / 2000
+    assert recall >= 0.95
+    if clusters:
+        assert models[0].probes <= len(models[0].centres) / 4

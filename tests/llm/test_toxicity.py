@@ -1,5 +1,8 @@
+import math
+import re
 import zlib
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -41,3 +44,44 @@ def test_odd_rows(spark, model, odd, none):
 def test_no_labels_give_no_model_that_rejects(spark):
     empty = toxicity.fit(spark.createDataFrame([], "doc_id long, text string, toxic int"))
     assert toxicity.score(spark, spark.createDataFrame([(1, "any text.")], "doc_id long, text string"), empty).first().toxicity < 0.5
+
+
+def plain_score(text, weights):
+    """One minus the product, sentence by sentence and word by word."""
+    clean = 1.0
+    for sentence in re.findall(r"[^.!?\n]+[.!?]*", text.lower()):
+        if sentence.strip():
+            found = {f for word in sentence.split() for f in toxicity.features(word)}
+            clean *= 1 - 1 / (1 + math.exp(-(weights.get("", toxicity.START) + sum(weights.get(f, 0.0) for f in found))))
+    return 1 - clean
+
+
+def test_scores_equal_a_plain_noisy_or(spark, model):
+    weights = {r.feature: r.weight for r in model.collect()}
+    assert any(x > 0.5 for f, x in weights.items() if f)
+    texts = ["You total idiot there! total", "they go on here.\n\nIdiot. idiots, IDIOT?", "", "...", "clean words number 5. you are there", "one line\nyou total idiot " * 40]
+    got = {r.doc_id: r.toxicity for r in toxicity.score(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    assert got == {i: pytest.approx(plain_score(t, weights), abs=1e-9) for i, t in enumerate(texts)}
+
+
+def test_slopes_are_those_of_the_loss():
+    rng = np.random.default_rng(3)
+    texts = [". ".join(" ".join(f"w{rng.integers(9)}" for _ in range(rng.integers(1, 5))) for _ in range(rng.integers(0, 4))) for _ in range(12)]
+    data = toxicity._sentences(texts, {f"w{i}{end}": [i] for i in range(9) for end in ("", ".")})
+    y, w, bias = rng.integers(0, 2, 12).astype(float), rng.normal(size=9), -1.0
+    loss, g, g_bias = toxicity.loss_and_slope(w, bias, *data, y, 2, 12)
+    # The loss itself, document by document.
+    each = [plain_score(t, {"": bias} | {f"w{i}": x for i, x in enumerate(w)}) if t else 1 / (1 + math.exp(-bias)) for t in texts]
+    assert loss == pytest.approx(-np.mean([math.log(p if t else 1 - p) for p, t in zip(each[2:], y[2:], strict=True)]))
+    at = lambda w, bias: toxicity.loss_and_slope(w, bias, *data, y, 2, 12)[0]
+    for i in range(9):
+        d = np.eye(9)[i] * 1e-6
+        assert g[i] == pytest.approx((at(w + d, bias) - at(w - d, bias)) / 2e-6, abs=1e-6)
+    assert g_bias == pytest.approx((at(w, bias + 1e-6) - at(w, bias - 1e-6)) / 2e-6, abs=1e-6)
+
+
+def test_fitting_lowers_the_loss(spark, model):
+    rows = [f"clean words number {i}. they go on here.\n" + ("you total idiot there. " if i % 4 == 0 else "you are there. ") + f"and so it ends {i % 13}" for i in range(400)]
+    weights, y = {r.feature: r.weight for r in model.collect()}, np.array([i % 4 == 0 for i in range(400)])
+    loss = lambda weights: -np.mean(np.log(np.where(y, s := np.clip([plain_score(t, weights) for t in rows], 1e-9, 1 - 1e-9), 1 - s)))
+    assert loss(weights) < 0.1 < 0.5 < loss({"": -1.0})
