@@ -164,8 +164,8 @@ def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS, spare: float
     """Return doc_id, row (a hash of the text) and gone, the positions of lines to delete, for the rows that have any.
 
     With spare, pairs whose texts are this similar as wholes, by their full sets of five-word shingles, are not aligned: they are left to
-    deduplication of documents, which could no longer see what they were after some of their lines had gone. Pairs that are less similar
-    after other pairs' blocks have gone from their texts are aligned after all. Null ids and texts take no part; an empty table gives an empty result.
+    deduplication of documents, which could no longer see what they were after some of their lines had gone. What counts is what the
+    blocks of all other pairs leave of their texts; pairs that are less similar then are aligned as well. Null ids and texts take no part; an empty table gives an empty result.
     """
     lines = F.split(F.col(text_col), "\n", -1)
     trimmed = F.transform(lines, lambda x: F.trim(x))
@@ -185,10 +185,11 @@ def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS, spare: float
     shared = held.groupBy("run").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").drop("last_id")
     shared = small(staged(shared, "lines-shared"))
     pairs = staged(held.join(shared, "run").where("doc_id > first_id").select("doc_id", "first_id").distinct(), "lines-pairs")
-    texts = rows.dropDuplicates(["doc_id", "row"])
 
     def aligned(pairs: DataFrame) -> DataFrame:
         """doc_id, row, at. The pairs of one first document are dealt into parts; each has its lines once, and later documents stream past."""
+        wanted = staged(pairs.select(F.explode(F.array("doc_id", "first_id")).alias("doc_id")).distinct(), "lines-wanted")
+        texts = only(rows, wanted, "doc_id").repartition("doc_id").dropDuplicates(["doc_id", "row"])
         parts = pairs.groupBy("first_id").agg(F.ceil(F.count(F.lit(1)) / ALIGN_ROWS).alias("parts")).where("parts > 1")
         dealt = pairs.join(small(staged(parts, "lines-parts")), "first_id", "left").select("doc_id", "first_id", F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1))).alias("part"))
         no = F.lit(None).cast("bigint")
@@ -204,22 +205,27 @@ def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS, spare: float
         return of_row(aligned(pairs))
     percent = round(spare * 100)
     whole = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    alike = staged(likely_copies(pairs.select(F.col("doc_id").alias("b"), F.col("first_id").alias("a")), whole, 5, percent), "lines-alike")
-    spared = staged(confirmed(alike, whole, 5, percent), "lines-spared")
     as_pairs = lambda p: p.select(F.col("b").alias("doc_id"), F.col("a").alias("first_id"))
-    gone = staged(aligned(pairs.join(as_pairs(spared), ["doc_id", "first_id"], "left_anti")), "lines-cut")
+    # Pairs that may be copies wait until all others are aligned; their texts are compared as those have left them.
+    unknown = staged(likely_copies(pairs.select(F.col("doc_id").alias("b"), F.col("first_id").alias("a")), whole, 5, percent), "lines-alike")
+    gone = staged(aligned(staged(pairs.join(as_pairs(unknown), ["doc_id", "first_id"], "left_anti"), "lines-apart")), "lines-cut")
+    spared = None
     while True:
-        ids = small(staged(gone.select("doc_id").distinct(), "lines-cut-ids"))
-        touched = staged(spared.join(ids.withColumnRenamed("doc_id", "a"), "a", "left_semi").unionAll(spared.join(ids.withColumnRenamed("doc_id", "b"), "b", "left_semi").select("a", "b")).distinct(), "lines-touched")
-        if touched.isEmpty():
-            return of_row(gone)
-        wanted = staged(touched.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "lines-touched-ids")
+        wanted = staged(unknown.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "lines-compared")
         cut = _deleted(only(whole, wanted, "doc_id"), of_row(gone), "doc_id", "text")
-        lost = staged(touched.join(confirmed(touched, cut, 5, percent), ["a", "b"], "left_anti"), "lines-lost")
+        good = staged(confirmed(unknown, cut, 5, percent, among=True), "lines-spared")
+        lost = staged(unknown.join(good, ["a", "b"], "left_anti"), "lines-lost")
         if lost.isEmpty():
             return of_row(gone)
-        gone = staged(gone.unionAll(aligned(as_pairs(lost))), "lines-cut")
-        spared = staged(spared.join(lost, ["a", "b"], "left_anti"), "lines-spared")
+        new = staged(aligned(as_pairs(lost)).join(gone, ["doc_id", "row", "at"], "left_anti"), "lines-cut")
+        gone = staged(gone.unionAll(new), "lines-cut")
+        spared = good if spared is None else staged(spared.unionAll(good), "lines-spared")
+        # Spared pairs of documents that have lost more lines are compared again.
+        ids = small(staged(new.select("doc_id").distinct(), "lines-changed"))
+        unknown = staged(spared.join(ids.withColumnRenamed("doc_id", "a"), "a", "left_semi").unionAll(spared.join(ids.withColumnRenamed("doc_id", "b"), "b", "left_semi").select("a", "b")).distinct(), "lines-touched")
+        if unknown.isEmpty():
+            return of_row(gone)
+        spared = staged(spared.join(unknown, ["a", "b"], "left_anti"), "lines-spared")
 
 
 def _masks(batches):

@@ -256,13 +256,15 @@ def _confirm(k: int, percent: int):
     return run
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the staged pairs (a, b) whose texts' full shingle sets are similar enough.
+def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, among: bool = False) -> DataFrame:
+    """Those of the staged pairs (a, b) whose texts' full shingle sets are similar enough. among: docs holds the documents of the pairs alone.
 
     The pairs of one a are dealt into parts of bounded size; each part has its text once, and its other texts stream past. Of rows that repeat a doc_id any may confirm.
     """
-    wanted = staged(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-wanted")
-    texts = only(docs.select("doc_id", "text"), wanted, "doc_id").repartition("doc_id").dropDuplicates(["doc_id", "text"])
+    texts = docs.select("doc_id", "text")
+    if not among:
+        texts = only(texts, staged(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-wanted"), "doc_id")
+    texts = texts.repartition("doc_id").dropDuplicates(["doc_id", "text"])
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CONFIRM_ROWS).alias("parts")).where("parts > 1")
     dealt = pairs.join(small(staged(parts, "near-parts")), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).alias("part"))
     heads = dealt.select("a", "part").distinct().join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "part", F.lit(None).cast("bigint").alias("b"), "text")
