@@ -10,10 +10,17 @@ from pyspark.sql import functions as F
 
 ORDER = ("ts_us", "event_id")
 DAY = 86_400_000_000
+#: Rows of the whole log are ordered within stretches of this length.
+STRETCH = 600_000_000
 #: Where a closed split begins and ends, 1970-01-01 and 2099-12-30 23:59:59.
 FIRST_US, LAST_US = 0, 4_102_358_399_000_000
 
 
+def cases(log: DataFrame) -> DataFrame:
+    """The events that belong to a case: those without case id are events, but no case."""
+    return log.where(F.col("case_id").isNotNull())
+
+
 def stack_logs(logs: Mapping[str, DataFrame]) -> DataFrame:
     """All logs in one, labelled in column ``log``; columns that some lack are null there."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.withColumn("log", F.lit(k)) for k, df in logs.items()])
@@ -35,17 +42,17 @@ def filter_time_range(df: DataFrame, t0, t1, col: str = "ts", closed: bool = Tru
     return df.where((c >= t0) & ((c <= t1) if closed else (c < t1)))
 
 
-def assign_case_ids(log: DataFrame, start: int = 1, min_width: int = 4) -> DataFrame:
+def assign_case_ids(log: DataFrame, start: int = 1, min_width: int = 4, stretch: int = STRETCH) -> DataFrame:
     """case_id, number, padded: consecutive numbers of cases in order of their first event.
 
-    Cases are numbered within the day of their first event, after all cases of earlier days; only the table of days has one window.
+    Cases are numbered within the stretch of time of their first event, after all cases of earlier ones; only the table of stretches has one window.
     """
-    cases = log.where("case_id IS NOT NULL").groupBy("case_id").agg(F.min("ts_us").alias("first_us")).withColumn("day", F.floor(F.col("first_us") / DAY))
-    days = cases.groupBy("day").agg(F.count(F.lit(1)).alias("n"))
+    each = cases(log).groupBy("case_id").agg(F.min("ts_us").alias("first_us")).withColumn("day", F.floor(F.col("first_us") / stretch))
+    days = each.groupBy("day").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     days = days.select("day", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy()).alias("cases"))
     nth = F.row_number().over(Window.partitionBy("day").orderBy("first_us", "case_id"))
-    out = cases.withColumn("nth", nth).join(days, "day").withColumn("number", (F.col("before") + F.col("nth") + (start - 1)).cast("bigint"))
+    out = each.withColumn("nth", nth).join(days, "day").withColumn("number", (F.col("before") + F.col("nth") + (start - 1)).cast("bigint"))
     text = F.col("number").cast("string")
     width = F.greatest(F.lit(min_width), F.length((F.col("cases") + (start - 1)).cast("string")))
     return out.select("case_id", "number", F.concat(F.repeat(F.lit("0"), width - F.length(text)), text).alias("padded"))
@@ -78,12 +85,23 @@ def split_report(split: DataFrame) -> DataFrame:
 
 def split_by_last_event(log: DataFrame, cuts: Iterable[int]) -> DataFrame:
     """case_id, window: whole cases, by their last event."""
-    return log.groupBy("case_id").agg(F.max("ts_us").alias("last_us")).select("case_id", window_of(F.col("last_us"), sorted(cuts)).alias("window"))
+    return cases(log).groupBy("case_id").agg(F.max("ts_us").alias("last_us")).select("case_id", window_of(F.col("last_us"), sorted(cuts)).alias("window"))
+
+
+def split_traces_by_last_event(log: DataFrame, cuts: Iterable[int]) -> DataFrame:
+    """Events with the window of their case's last event, so that no case is divided; null for events without case."""
+    last = F.when(F.col("case_id").isNotNull(), F.max("ts_us").over(Window.partitionBy("case_id", apart())))
+    return log.withColumn("window", F.when(last.isNotNull(), window_of(last, sorted(cuts))))
+
+
+def apart() -> Column:
+    """A second key beside case_id: null within cases, and another one for each event without case, so that these don't meet in one task."""
+    return F.when(F.col("case_id").isNull(), F.xxhash64(*ORDER))
 
 
 def phases(log: DataFrame, parts: int = 3, cuts: Iterable[int] | None = None) -> DataFrame:
     """case_id, phase: by the case's first event; a boundary belongs to the later phase. Without cuts the span is cut evenly."""
-    first = log.groupBy("case_id").agg(F.min("ts_us").alias("first_us"))
+    first = cases(log).groupBy("case_id").agg(F.min("ts_us").alias("first_us"))
     if cuts is not None:
         return first.select("case_id", window_of(F.col("first_us"), sorted(cuts)).alias("phase"))
     span = log.agg(F.min("ts_us").alias("lo"), F.max("ts_us").alias("hi"))
@@ -94,7 +112,7 @@ def phases(log: DataFrame, parts: int = 3, cuts: Iterable[int] | None = None) ->
 def case_variants(log: DataFrame) -> DataFrame:
     """case_id, variant: the case's activities in order."""
     steps = F.array_sort(F.collect_list(F.struct(*ORDER, "activity")))
-    return log.where("case_id IS NOT NULL").groupBy("case_id").agg(F.array_join(F.transform(steps, lambda s: s["activity"]), ">").alias("variant"))
+    return cases(log).groupBy("case_id").agg(F.array_join(F.transform(steps, lambda s: s["activity"]), ">").alias("variant"))
 
 
 def variants(log: DataFrame) -> DataFrame:
@@ -132,38 +150,44 @@ def event_count(log: DataFrame) -> DataFrame:
 
 
 def case_ids(log: DataFrame) -> DataFrame:
-    return log.select("case_id").distinct().orderBy("case_id")
+    return cases(log).select("case_id").distinct().orderBy("case_id")
 
 
 def trace_length_distribution(log: DataFrame) -> DataFrame:
-    sizes = log.where("case_id IS NOT NULL").groupBy("case_id").agg(F.count(F.lit(1)).alias("length"))
+    sizes = cases(log).groupBy("case_id").agg(F.count(F.lit(1)).alias("length"))
     return sizes.groupBy("length").agg(F.count(F.lit(1)).alias("cases")).orderBy("length")
 
 
 def compare_trace_lengths(log: DataFrame, labels: list[str]) -> DataFrame:
     """length, then one column of case counts for each label; 0 where a log has none."""
-    sizes = log.where("case_id IS NOT NULL").groupBy("log", "case_id").agg(F.count(F.lit(1)).alias("length"))
+    sizes = cases(log).groupBy("log", "case_id").agg(F.count(F.lit(1)).alias("length"))
     return sizes.groupBy("length").pivot("log", labels).agg(F.count(F.lit(1))).na.fill(0, labels)
 
 
 def cases_with(log: DataFrame, activity: str) -> DataFrame:
-    return log.select("case_id").distinct().join(log.where(F.col("activity") == activity).select("case_id"), "case_id", "left_semi")
+    return cases(log).select("case_id").distinct().join(log.where(F.col("activity") == activity).select("case_id"), "case_id", "left_semi")
 
 
 def cases_without(log: DataFrame, activity: str) -> DataFrame:
-    return log.select("case_id").distinct().join(log.where(F.col("activity") == activity).select("case_id"), "case_id", "left_anti")
+    return cases(log).select("case_id").distinct().join(log.where(F.col("activity") == activity).select("case_id"), "case_id", "left_anti")
 
 
 def rework(log: DataFrame) -> DataFrame:
     """activity, cases that repeat it, repeats."""
-    n = log.groupBy("case_id", "activity").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    n = cases(log).groupBy("case_id", "activity").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return n.groupBy("activity").agg(F.count(F.lit(1)).alias("cases"), F.sum(F.col("n") - 1).alias("repeats"))
 
 
-def duration_stats(log: DataFrame, by: str = "activity") -> DataFrame:
+def quantile(x: Column | str, share: float, accuracy: int | None = None) -> Column:
+    """Exact and interpolated, which keeps all distinct values of a group; with accuracy, approximate in bounded memory (an error of 1 / accuracy in rank)."""
+    return F.percentile(x, F.lit(share)) if accuracy is None else F.percentile_approx(x, share, accuracy)
+
+
+def duration_stats(log: DataFrame, by: str = "activity", accuracy: int | None = None) -> DataFrame:
+    """Service time: n, mean, median, 90 % and deviation. For large logs give an accuracy (see quantile)."""
     s = (F.col("ts_us") - F.col("start_us")) / 1e6
     return log.groupBy(by).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg(s), 6).alias("mean_s"), F.round(F.percentile(s, F.lit(0.5)), 6).alias("median_s"), F.round(F.percentile(s, F.lit(0.9)), 6).alias("p90_s"), F.round(F.stddev_samp(s), 6).alias("sd_s")
+        F.count(F.lit(1)).alias("n"), F.round(F.avg(s), 6).alias("mean_s"), F.round(quantile(s, 0.5, accuracy), 6).alias("median_s"), F.round(quantile(s, 0.9, accuracy), 6).alias("p90_s"), F.round(F.stddev_samp(s), 6).alias("sd_s")
     )
 
 
@@ -172,7 +196,7 @@ def correlation(df: DataFrame, x: str, y: str, by: str) -> DataFrame:
 
 
 def arrivals(log: DataFrame) -> DataFrame:
-    return log.groupBy("case_id").agg(F.min("ts_us").alias("first_us"))
+    return cases(log).groupBy("case_id").agg(F.min("ts_us").alias("first_us"))
 
 
 def arrival_profile(log: DataFrame, by: str) -> DataFrame:
@@ -186,7 +210,7 @@ def arrival_profile(log: DataFrame, by: str) -> DataFrame:
 def phase_report(log: DataFrame, without: str, ended: str, before: tuple[str, str]) -> DataFrame:
     """phase, cases, arrivals a day, and shares: without an activity, with one before another, ended by one."""
     at = lambda a: F.min(F.when(F.col("activity") == a, F.col("ts_us")))
-    case = log.groupBy("case_id").agg(F.min("ts_us").alias("first_us"), F.max_by("activity", F.struct(*ORDER)).alias("last"), at(without).alias("x"), at(before[0]).alias("a"), at(before[1]).alias("b"))
+    case = cases(log).groupBy("case_id").agg(F.min("ts_us").alias("first_us"), F.max_by("activity", F.struct(*ORDER)).alias("last"), at(without).alias("x"), at(before[0]).alias("a"), at(before[1]).alias("b"))
     share = lambda c: F.round(F.avg(F.coalesce(c, F.lit(False)).cast("int")), 6)
     days = (F.max("first_us") - F.min("first_us")) / DAY
     return (
@@ -199,10 +223,17 @@ def phase_report(log: DataFrame, without: str, ended: str, before: tuple[str, st
     )
 
 
+def phase_shares(log: DataFrame, attribute: str) -> DataFrame:
+    """phase, value, cases, share: of the cases of each phase, how many have each value of an attribute (that of their first event)."""
+    case = cases(log).groupBy("case_id").agg(F.min_by(attribute, F.struct(*ORDER)).alias("value"))
+    n = case.join(phases(log), "case_id").groupBy("phase", "value").agg(F.count(F.lit(1)).alias("cases"))
+    return n.withColumn("share", F.round(F.col("cases") / F.sum("cases").over(Window.partitionBy("phase")), 6))
+
+
 def precedes_rate(log: DataFrame, first: str, second: str) -> DataFrame:
     """Of the cases that have both, how many have first before second."""
     at = lambda a: F.min(F.when(F.col("activity") == a, F.col("ts_us")))
-    case = log.groupBy("case_id").agg(at(first).alias("a"), at(second).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    case = cases(log).groupBy("case_id").agg(at(first).alias("a"), at(second).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     return case.agg(F.count(F.lit(1)).alias("cases"), F.round(F.avg((F.col("a") < F.col("b")).cast("int")), 6).alias("rate"))
 
 

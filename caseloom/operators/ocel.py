@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def event_objects(events: DataFrame, relations: DataFrame) -> DataFrame:
     """eid, n, objects: the objects of each event, as a sorted list."""
     found = events.select("eid").join(relations.select("eid", "oid"), "eid")
-    return found.groupBy("eid").agg(F.countDistinct("oid").alias("n"), F.array_sort(F.collect_set("oid")).alias("objects"))
+    lists = found.groupBy("eid").agg(F.array_sort(F.collect_set("oid")).alias("objects"))
+    return lists.select("eid", F.size("objects").cast("bigint").alias("n"), "objects")
 
 
 def object_events(lists: DataFrame) -> DataFrame:

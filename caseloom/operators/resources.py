@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseloom.operators.log import DAY
-from caseloom.operators.windows import in_case
+from caseloom.operators.windows import in_case, previous, running_sum
 
 
 def resource_activity_mix(log: DataFrame, by: str = "resource") -> DataFrame:
@@ -57,18 +57,23 @@ def resource_contention(log: DataFrame, width: int = DAY) -> DataFrame:
 
 
 def batching(log: DataFrame, least: int = 2, within: int = 7_200_000_000) -> DataFrame:
-    """Batches: events of at least so many cases on one resource with one activity, each start within so long of the one before."""
-    w = Window.partitionBy("resource", "activity").orderBy("start_us", "event_id")
-    e = log.withColumn("new", F.coalesce((F.col("start_us") - F.lag("start_us").over(w) > within).cast("int"), F.lit(1)))
-    e = e.withColumn("batch", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    b = e.groupBy("resource", "activity", "batch").agg(F.min("start_us").alias("from_us"), F.max("start_us").alias("to_us"), F.count(F.lit(1)).alias("events"), F.countDistinct("case_id").alias("cases"))
+    """Batches: events of at least so many cases on one resource with one activity, each start within so long of the one before.
+
+    Starts are compared, and batches numbered, within days and with what the days before carry over, so a busy resource is not ordered by one task.
+    """
+    key, order = ["resource", "activity"], ("start_us", "event_id")
+    e = previous(log.select(*key, *order, "case_id"), key, ["start_us"], order)
+    e = e.withColumn("new", F.coalesce((F.col("start_us") - F.col("prev_start_us") > within).cast("int"), F.lit(1)))
+    e = running_sum(e, key, "new", "batch", order)
+    b = e.groupBy(*key, "batch").agg(F.min("start_us").alias("from_us"), F.max("start_us").alias("to_us"), F.count(F.lit(1)).alias("events"), F.countDistinct("case_id").alias("cases"))
     return b.where(F.col("cases") >= least).drop("batch")
 
 
-def shift_context(state_runs: DataFrame, contention: DataFrame, active: DataFrame) -> DataFrame:
-    """Each change of state (not the first run) with contention and waiting on the resource and active cases in that bucket, and these over their means."""
+def shift_context(state_runs: DataFrame, contention: DataFrame, active: DataFrame, residual: DataFrame) -> DataFrame:
+    """Each change of state (not the first run) with contention and waiting on the resource, active cases and the arrivals beyond what was expected in that bucket, and the first three over their means."""
     change = state_runs.where("run > 1").select("resource", F.col("enter").alias("bucket"), "state")
     base = contention.agg(F.avg("pairs").alias("base_pairs"), F.avg("wait_us").alias("base_wait")).crossJoin(active.agg(F.avg("active").alias("base_active")))
-    out = change.join(contention, ["resource", "bucket"], "left").join(active.select("bucket", "active"), "bucket", "left").na.fill(0, ["pairs", "wait_us", "active"]).crossJoin(F.broadcast(base))  # one row
+    out = change.join(contention, ["resource", "bucket"], "left").join(active.select("bucket", "active"), "bucket", "left").join(residual.select("bucket", "residual"), "bucket", "left")
+    out = out.na.fill(0, ["pairs", "wait_us", "active"]).na.fill(0.0, ["residual"]).crossJoin(F.broadcast(base))  # one row
     over = lambda a, b: F.round(F.col(a) / F.nullif(F.col(b), F.lit(0.0)), 6)
-    return out.select("resource", "bucket", "state", "pairs", "wait_us", "active", over("pairs", "base_pairs").alias("pairs_lift"), over("wait_us", "base_wait").alias("wait_lift"), over("active", "base_active").alias("active_lift"))
+    return out.select("resource", "bucket", "state", "pairs", "wait_us", "active", F.round("residual", 4).alias("residual"), over("pairs", "base_pairs").alias("pairs_lift"), over("wait_us", "base_wait").alias("wait_lift"), over("active", "base_active").alias("active_lift"))

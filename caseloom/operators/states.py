@@ -11,19 +11,23 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseloom.operators.log import DAY
-from caseloom.operators.windows import global_gap, in_case, runs
+from caseloom.operators.log import DAY, cases
+from caseloom.operators.windows import in_case, prefix_counts, runs
 
 HOUR = 3_600_000_000
 
 
-def intra_case_state(log: DataFrame) -> DataFrame:
-    """event_id, case_id, idx, gap_us, elapsed_us, state: last activity, how far the case is, how long it paused."""
-    w = in_case()
-    s = log.withColumns({"idx": F.row_number().over(w), "gap_us": F.col("ts_us") - F.lag("ts_us").over(w), "elapsed_us": F.col("ts_us") - F.min("ts_us").over(Window.partitionBy("case_id"))})
+def intra_case_state(log: DataFrame, activities: list[str] | None = None, attributes: list[str] | None = None) -> DataFrame:
+    """event_id, case_id, idx, gap_us, elapsed_us, state: last activity, how far the case is, how long it paused.
+
+    With activities, also how often each has occurred in the case so far (n_<activity>); with attributes, these columns of the log. Events without case have no such state.
+    """
+    w, log = in_case(), cases(log)
+    s = prefix_counts(log, activities or []).withColumns({"idx": F.row_number().over(w), "gap_us": F.col("ts_us") - F.lag("ts_us").over(w), "elapsed_us": F.col("ts_us") - F.first("ts_us").over(w)})
     far = F.when(F.col("idx") == 1, "first").when(F.col("idx") <= 3, "early").otherwise("late")
     pause = F.when(F.col("gap_us").isNull(), "none").when(F.col("gap_us") < HOUR, "short").when(F.col("gap_us") < 6 * HOUR, "medium").otherwise("long")
-    return s.select("event_id", "case_id", "ts_us", "resource", "idx", "gap_us", "elapsed_us", F.concat_ws("|", "activity", far, pause).alias("state"))
+    more = [f"n_{a}" for a in activities or []] + list(attributes or [])
+    return s.select("event_id", "case_id", "ts_us", "resource", "idx", "gap_us", "elapsed_us", F.concat_ws("|", "activity", far, pause).alias("state"), *[F.col(f"`{c}`") for c in more])
 
 
 def spine(log: DataFrame, width: int = DAY, of: DataFrame | None = None) -> DataFrame:
@@ -33,15 +37,15 @@ def spine(log: DataFrame, width: int = DAY, of: DataFrame | None = None) -> Data
     return rows.select(*(of.columns if of is not None else []), F.explode(F.sequence("a", "b")).alias("bucket"))
 
 
-def resource_state(log: DataFrame, width: int = DAY, low: float = 0.25, high: float = 0.9) -> DataFrame:
-    """resource, bucket, events, cases, activities, handovers, wait_s, state (idle, normal, busy by quantiles of events), zero-filled."""
+def resource_state(log: DataFrame, width: int = DAY, low: float = 0.25, high: float = 0.9, by: str = "resource") -> DataFrame:
+    """The column by (a resource, a role or a team), bucket, events, cases, activities, handovers, wait_s, state (idle, normal, busy by quantiles of events), zero-filled."""
     w = in_case()
-    e = log.withColumns({"bucket": F.floor(F.col("ts_us") / width), "from": F.lag("resource").over(w), "wait": F.col("start_us") - F.lag("ts_us").over(w)})
-    n = e.groupBy("resource", "bucket").agg(
+    e = log.withColumns({"bucket": F.floor(F.col("ts_us") / width), "from": F.lag(by).over(w), "wait": F.col("start_us") - F.lag("ts_us").over(w)})
+    n = e.groupBy(by, "bucket").agg(
         F.count(F.lit(1)).alias("events"), F.countDistinct("case_id").alias("cases"), F.countDistinct("activity").alias("activities"),
-        F.sum((F.col("from") != F.col("resource")).cast("bigint")).alias("handovers"), (F.sum("wait").cast("double") / F.count("wait") / 1e6).alias("wait_s"),
+        F.sum((F.col("from") != F.col(by)).cast("bigint")).alias("handovers"), (F.sum("wait").cast("double") / F.count("wait") / 1e6).alias("wait_s"),
     )
-    s = spine(log, width, log.select("resource").distinct()).join(n, ["resource", "bucket"], "left").na.fill(0, ["events", "cases", "activities", "handovers"]).na.fill(0.0, ["wait_s"])
+    s = spine(log, width, log.select(by).distinct()).join(n, [by, "bucket"], "left").na.fill(0, ["events", "cases", "activities", "handovers"]).na.fill(0.0, ["wait_s"])
     cut = s.agg(F.percentile("events", F.lit(low)).alias("lo"), F.percentile("events", F.lit(high)).alias("hi"))
     state = F.when(F.col("events") <= F.col("lo"), "idle").when(F.col("events") >= F.col("hi"), "busy").otherwise("normal")
     return s.crossJoin(F.broadcast(cut)).withColumn("state", state).drop("lo", "hi")  # one row of quantiles
@@ -50,8 +54,12 @@ def resource_state(log: DataFrame, width: int = DAY, low: float = 0.25, high: fl
 def inter_case_state(log: DataFrame, width: int = 6 * HOUR) -> DataFrame:
     """bucket, events, arrivals, active, gap_s, state: congested, bursty, slow or normal by quantiles."""
     bucket = lambda c: F.floor(F.col(c) / width)
-    n = global_gap(log).groupBy(bucket("ts_us").alias("bucket")).agg(F.count(F.lit(1)).alias("events"), F.avg(F.col("gap_us") / 1e6).alias("gap_s"))
-    case = log.groupBy("case_id").agg(F.min("ts_us").alias("a"), F.max("ts_us").alias("b"))
+    # The gaps of a bucket add up to its last event less that of the bucket before, so no event need be ordered.
+    n = log.groupBy(bucket("ts_us").alias("bucket")).agg(F.count(F.lit(1)).alias("events"), F.min("ts_us").alias("first"), F.max("ts_us").alias("last"))
+    before = F.lag("last").over(Window.orderBy("bucket"))
+    gaps, since = F.col("events") - before.isNull().cast("int"), F.col("last") - F.coalesce(before, F.col("first"))
+    n = n.select("bucket", "events", (since / F.nullif(gaps, F.lit(0)) / 1e6).alias("gap_s"))
+    case = cases(log).groupBy("case_id").agg(F.min("ts_us").alias("a"), F.max("ts_us").alias("b"))
     came = case.groupBy(bucket("a").alias("bucket")).agg(F.count(F.lit(1)).alias("arrivals"))
     there = case.select(F.explode(F.sequence(bucket("a"), bucket("b"))).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("active"))
     s = spine(log, width).join(n, "bucket", "left").join(came, "bucket", "left").join(there, "bucket", "left").na.fill(0, ["events", "arrivals", "active"]).na.fill(0.0, ["gap_s"])
@@ -61,13 +69,19 @@ def inter_case_state(log: DataFrame, width: int = 6 * HOUR) -> DataFrame:
     return s.crossJoin(F.broadcast(cut)).withColumn("state", state).drop("a90", "e90", "e10")  # one row of quantiles
 
 
-def state_frequency(states: DataFrame, at: str = "bucket", weight: str | None = None) -> DataFrame:
-    """bucket, state, n (rows, or the sum of weight), share; states that a bucket lacks have zero."""
+def state_frequency(states: DataFrame, at: str = "bucket", weight: str | None = None, fill: bool = True) -> DataFrame:
+    """bucket, state, n (rows, or the sum of weight), share; zero for states that a bucket lacks.
+
+    Every bucket from the first to the last is there (whole numbers); one without rows has shares of zero. With fill=False only those that occur.
+    """
     n = states.groupBy(at, "state").agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
-    all_states = states.agg(F.array_sort(F.collect_set("state")).alias("_states"))  # one row
-    every = states.select(at).distinct().crossJoin(F.broadcast(all_states)).select(at, F.explode("_states").alias("state"))
+    if fill:
+        ends = n.agg(F.min(at).alias("__a"), F.max(at).alias("__b"))  # one row
+        every = n.select("state").distinct().crossJoin(F.broadcast(ends)).select(F.explode(F.sequence("__a", "__b")).alias(at), "state")
+    else:
+        every = n.select(at).distinct().crossJoin(n.select("state").distinct())  # both distinct
     full = every.join(n, [at, "state"], "left").na.fill(0, ["n"])
-    return full.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(at)))
+    return full.withColumn("share", F.coalesce(F.col("n") / F.nullif(F.sum("n").over(Window.partitionBy(at)), F.lit(0)), F.lit(0.0)))
 
 
 def state_transitions(states: DataFrame, key: list[str], at: str = "bucket") -> DataFrame:
@@ -97,13 +111,13 @@ def state_profile(states: DataFrame, features: list[str]) -> DataFrame:
     return reduce(DataFrame.unionAll, rows)
 
 
-def border_conditions(states: DataFrame, key: list[str], features: list[str], at: str = "bucket", entering: bool = True) -> DataFrame:
-    """state, feature, base, border, lift: the features in the bucket before a state is entered, or in the last one before it is left."""
+def border_conditions(states: DataFrame, key: list[str], features: list[str], at: str = "bucket", entering: bool = True, k: int = 1) -> DataFrame:
+    """state, feature, base, border, lift: the features k buckets before a state is entered (entering), or in the k-th last one before it is left."""
     w = Window.partitionBy(*key).orderBy(at)
     if entering:
-        s = states.withColumn("_border", F.lag("state").over(w) != F.col("state")).withColumns({f"_b_{f}": F.lag(f).over(w) for f in features})
+        s = states.withColumn("_border", F.lag("state").over(w) != F.col("state")).withColumns({f"_b_{f}": F.lag(f, k).over(w) for f in features})
     else:
-        s = states.withColumn("_border", F.lead("state").over(w) != F.col("state")).withColumns({f"_b_{f}": F.col(f) for f in features})
+        s = states.withColumn("_border", F.lead("state").over(w) != F.col("state")).withColumns({f"_b_{f}": F.lag(f, k - 1).over(w) if k > 1 else F.col(f) for f in features})
     base = states.agg(*[F.avg(f).alias(f"base_{f}") for f in features])
     border = s.where("_border").groupBy("state").agg(*[F.avg(f"_b_{f}").alias(f"border_{f}") for f in features]).crossJoin(F.broadcast(base))  # one row
     rows = [border.select("state", F.lit(f).alias("feature"), F.round(f"base_{f}", 6).alias("base"), F.round(f"border_{f}", 6).alias("border"), F.round(F.col(f"border_{f}") / F.nullif(F.col(f"base_{f}"), F.lit(0.0)), 6).alias("lift")) for f in features]

@@ -1,15 +1,22 @@
-"""Steps within cases, resources and the whole log, without a window over all events in one task."""
+"""Steps within cases, resources and the whole log, without a window over all events in one task.
+
+Events without case id belong to no case: they stay, with nulls for what only a case has. Columns named __bucket, __prev, __carry and the like are these functions' own.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseloom.operators.log import DAY, ORDER
+from caseloom.operators.log import DAY, ORDER, STRETCH, apart, cases, quantile
 
 
 def in_case() -> Window:
-    return Window.partitionBy("case_id").orderBy(*ORDER)
+    return Window.partitionBy("case_id", apart()).orderBy(*ORDER)
+
+
+def of_case(x: Column) -> Column:
+    return F.when(F.col("case_id").isNotNull(), x)
 
 
 def previous(df: DataFrame, key: list[str], values: list[str], order: tuple[str, ...] = ORDER, width: int = DAY, prefix: str = "prev_") -> DataFrame:
@@ -18,14 +25,23 @@ def previous(df: DataFrame, key: list[str], values: list[str], order: tuple[str,
     Rows are ordered within time buckets; the first of a bucket gets the last of the bucket before it that has rows, from a table with
     one row for each key and bucket. So neither the whole log nor a busy resource is ordered by one task.
     """
-    df = df.withColumn("_bucket", F.floor(F.col(order[0]) / width))
+    df = df.withColumn("__bucket", F.floor(F.col(order[0]) / width))
     pair = F.struct(*values)
-    ends = df.groupBy(*key, "_bucket").agg(F.max_by(pair, F.struct(*order)).alias("_last"))
-    ends = ends.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*key).orderBy("_bucket"))).drop("_last")
-    inside = F.lag(pair).over(Window.partitionBy(*key, "_bucket").orderBy(*order))
-    out = df.withColumn("_prev", inside).join(ends, [*key, "_bucket"], "left")
-    got = F.coalesce("_prev", "_carry")
-    return out.withColumns({f"{prefix}{v}": got[v] for v in values}).drop("_bucket", "_prev", "_carry")
+    ends = df.groupBy(*key, "__bucket").agg(F.max_by(pair, F.struct(*order)).alias("__last"))
+    ends = ends.withColumn("__carry", F.lag("__last").over(Window.partitionBy(*key).orderBy("__bucket"))).drop("__last")
+    inside = F.lag(pair).over(Window.partitionBy(*key, "__bucket").orderBy(*order))
+    out = df.withColumn("__prev", inside).join(ends, [*key, "__bucket"], "left")
+    got = F.coalesce("__prev", "__carry")
+    return out.withColumns({f"{prefix}{v}": got[v] for v in values}).drop("__bucket", "__prev", "__carry")
+
+
+def running_sum(df: DataFrame, key: list[str], value: str, into: str, order: tuple[str, ...] = ORDER, width: int = DAY) -> DataFrame:
+    """The sum of value over a key's rows up to each row: within time buckets, plus what earlier buckets hold."""
+    df = df.withColumn("__bucket", F.floor(F.col(order[0]) / width))
+    held = df.groupBy(*key, "__bucket").agg(F.sum(value).alias("__carry"))
+    held = held.withColumn("__carry", F.sum("__carry").over(Window.partitionBy(*key).orderBy("__bucket")) - F.col("__carry"))
+    inside = F.sum(value).over(Window.partitionBy(*key, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn("__own", inside).join(held, [*key, "__bucket"]).withColumn(into, F.col("__own") + F.col("__carry")).drop("__bucket", "__own", "__carry")
 
 
 def time_since_previous(log: DataFrame) -> DataFrame:
@@ -33,38 +49,49 @@ def time_since_previous(log: DataFrame) -> DataFrame:
 
 
 def elapsed_in_case(log: DataFrame) -> DataFrame:
-    return log.withColumn("elapsed_us", F.col("ts_us") - F.min("ts_us").over(Window.partitionBy("case_id")))
+    return log.withColumn("elapsed_us", of_case(F.col("ts_us") - F.min("ts_us").over(Window.partitionBy("case_id", apart()))))
 
 
 def prefix(log: DataFrame, k: int = 10) -> DataFrame:
     """The event's place in its case, and the last k activities up to it."""
-    return log.withColumns({"idx": F.row_number().over(in_case()), "prefix": F.array_join(F.collect_list("activity").over(in_case().rowsBetween(1 - k, 0)), ">")})
+    return log.withColumns({"idx": of_case(F.row_number().over(in_case())), "prefix": of_case(F.array_join(F.collect_list("activity").over(in_case().rowsBetween(1 - k, 0)), ">"))})
 
 
 def prefix_counts(log: DataFrame, activities: list[str]) -> DataFrame:
     """How often each activity has occurred in the case so far."""
     so_far = in_case().rowsBetween(Window.unboundedPreceding, 0)
-    return log.withColumns({f"n_{a}": F.sum((F.col("activity") == a).cast("bigint")).over(so_far) for a in activities})
+    return log.withColumns({f"n_{a}": of_case(F.sum((F.col("activity") == a).cast("bigint")).over(so_far)) for a in activities})
 
 
-def global_gap(log: DataFrame) -> DataFrame:
+def global_gap(log: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """Time since the event before, of any case."""
-    return previous(log, [], ["ts_us"]).withColumn("gap_us", F.col("ts_us") - F.col("prev_ts_us")).drop("prev_ts_us")
+    return previous(log, [], ["ts_us"], width=stretch).withColumn("gap_us", F.col("ts_us") - F.col("prev_ts_us")).drop("prev_ts_us")
 
 
 def trailing_rate(log: DataFrame, width: int, key: str = "resource") -> DataFrame:
     """Events of the key in the last width microseconds, this one included. Each bucket also sees the one before it."""
     own = F.floor(F.col("ts_us") / width)
-    twice = log.withColumn("_bucket", F.explode(F.array(own, own + 1))).withColumn("_own", F.col("_bucket") == own)
-    frame = Window.partitionBy(key, "_bucket").orderBy("ts_us").rangeBetween(-width, 0)
-    return twice.withColumn("in_window", F.count(F.lit(1)).over(frame)).where("_own").drop("_bucket", "_own")
+    twice = log.withColumn("__bucket", F.explode(F.array(own, own + 1))).withColumn("__own", F.col("__bucket") == own)
+    frame = Window.partitionBy(key, "__bucket").orderBy("ts_us").rangeBetween(-width, 0)
+    return twice.withColumn("in_window", F.count(F.lit(1)).over(frame)).where("__own").drop("__bucket", "__own")
+
+
+def trailing_rate_log(log: DataFrame, width: int, buckets: int) -> DataFrame:
+    """bucket, events, in_window: events of the whole log in each bucket of width microseconds, and in the last so many buckets, this one included.
+
+    Events are counted by bucket first; the frame goes over the table of buckets, which has one row for each from the first to the last.
+    """
+    n = log.groupBy(F.floor(F.col("ts_us") / width).alias("bucket")).agg(F.count(F.lit(1)).alias("events"))
+    every = n.agg(F.min("bucket").alias("a"), F.max("bucket").alias("b")).select(F.explode(F.sequence("a", "b")).alias("bucket"))
+    full = every.join(n, "bucket", "left").na.fill(0, ["events"])
+    return full.withColumn("in_window", F.sum("events").over(Window.orderBy("bucket").rowsBetween(1 - buckets, 0)))
 
 
-def active_cases(log: DataFrame) -> DataFrame:
+def active_cases(log: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """instant_us, active: cases that are open from that instant on. A case is open from its first start to its last completion."""
-    case = log.groupBy("case_id").agg(F.min("start_us").alias("a"), F.max("ts_us").alias("b"))
+    case = cases(log).groupBy("case_id").agg(F.min("start_us").alias("a"), F.max("ts_us").alias("b"))
     steps = case.select(F.explode(F.array(F.struct(F.col("a").alias("at"), F.lit(1).alias("d")), F.struct(F.col("b").alias("at"), F.lit(-1).alias("d")))).alias("s"))
-    steps = steps.groupBy(F.col("s.at").alias("instant_us")).agg(F.sum("s.d").alias("d")).withColumn("day", F.floor(F.col("instant_us") / DAY))
+    steps = steps.groupBy(F.col("s.at").alias("instant_us")).agg(F.sum("s.d").alias("d")).withColumn("day", F.floor(F.col("instant_us") / stretch))
     days = steps.groupBy("day").agg(F.sum("d").alias("d"))
     earlier = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     days = days.select("day", F.coalesce(F.sum("d").over(earlier), F.lit(0)).alias("before"))
@@ -76,11 +103,11 @@ def queue_wait(log: DataFrame) -> DataFrame:
     return log.withColumn("wait_us", F.col("start_us") - F.lag("ts_us").over(in_case()))
 
 
-def gap_stats(log: DataFrame) -> DataFrame:
-    """Idle time after an activity until the next start in the case."""
+def gap_stats(log: DataFrame, accuracy: int | None = None) -> DataFrame:
+    """Idle time after an activity until the next start in the case. For large logs give an accuracy (see quantile)."""
     gap = (F.lead("start_us").over(in_case()) - F.col("ts_us")) / 1e6
-    g = log.withColumn("gap", gap).where("gap IS NOT NULL")
-    return g.groupBy("activity").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("gap"), 6).alias("mean_s"), F.round(F.percentile("gap", F.lit(0.5)), 6).alias("median_s"))
+    g = cases(log).withColumn("gap", gap).where("gap IS NOT NULL")
+    return g.groupBy("activity").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("gap"), 6).alias("mean_s"), F.round(quantile("gap", 0.5, accuracy), 6).alias("median_s"))
 
 
 def resource_idle(log: DataFrame) -> DataFrame:
@@ -97,19 +124,19 @@ def cross_case_edges(log: DataFrame, within: int) -> DataFrame:
 
 def directly_follows(log: DataFrame) -> DataFrame:
     w = in_case()
-    e = log.select(F.col("activity").alias("a"), F.lead("activity").over(w).alias("b"), (F.lead("ts_us").over(w) - F.col("ts_us")).alias("gap")).where("b IS NOT NULL")
+    e = cases(log).select(F.col("activity").alias("a"), F.lead("activity").over(w).alias("b"), (F.lead("ts_us").over(w) - F.col("ts_us")).alias("gap")).where("b IS NOT NULL")
     return e.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("gap") / 1e6), 6).alias("mean_gap_s"))
 
 
 def handover(log: DataFrame, other_only: bool = True) -> DataFrame:
-    e = log.select(F.col("resource").alias("r1"), F.lead("resource").over(in_case()).alias("r2")).where("r2 IS NOT NULL")
+    e = cases(log).select(F.col("resource").alias("r1"), F.lead("resource").over(in_case()).alias("r2")).where("r2 IS NOT NULL")
     return (e.where("r1 != r2") if other_only else e).groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("n"))
 
 
 def termination_point(log: DataFrame, activity: str) -> DataFrame:
     """What directly precedes an activity that ends its case."""
     w = in_case()
-    e = log.select("activity", F.lag("activity").over(w).alias("before"), F.lead("activity").over(w).alias("after")).where((F.col("activity") == activity) & F.col("after").isNull())
+    e = cases(log).select("activity", F.lag("activity").over(w).alias("before"), F.lead("activity").over(w).alias("after")).where((F.col("activity") == activity) & F.col("after").isNull())
     return e.groupBy(F.coalesce("before", F.lit("(start)")).alias("before")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -117,9 +144,9 @@ def runs(states: DataFrame, key: list[str], at: str, state: str = "state") -> Da
     """Gaps and islands: key, run, state, enter, leave, length of each stretch of equal states."""
     w = Window.partitionBy(*key).orderBy(at)
     changed = F.coalesce((F.lag(state).over(w) != F.col(state)).cast("int"), F.lit(1))
-    s = states.withColumn("_changed", changed).withColumn("run", F.sum("_changed").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    s = states.withColumn("__changed", changed).withColumn("run", F.sum("__changed").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return s.groupBy(*key, "run", F.col(state).alias("state")).agg(F.min(at).alias("enter"), F.max(at).alias("leave"), F.count(F.lit(1)).alias("length"))
 
 
 def first_seen(df: DataFrame, key: str, order: list[str | Column]) -> DataFrame:
-    return df.withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_nth = 1").drop("_nth")
+    return df.withColumn("__nth", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__nth = 1").drop("__nth")

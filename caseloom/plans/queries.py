@@ -73,6 +73,7 @@ e(
 )
 e("split_report", lambda x: log.split_report(log.split_log(x, CUTS)), f"SELECT {WINDOW_SQL} AS \"window\", min(ts_us) AS first_us, max(ts_us) AS last_us, count(DISTINCT case_id) AS traces, count(*) AS events FROM E GROUP BY 1")
 e("split_by_last_event", lambda x: log.split_by_last_event(x, CUTS), f"SELECT case_id, {WINDOW_SQL} AS \"window\" FROM (SELECT case_id, max(ts_us) AS ts_us FROM E GROUP BY case_id)")
+e("split_traces_by_last_event", lambda x: log.split_traces_by_last_event(x, CUTS).select("event_id", "window"), f"SELECT event_id, {WINDOW_SQL} AS \"window\" FROM (SELECT event_id, max(ts_us) OVER (PARTITION BY case_id) AS ts_us FROM E)")
 e(
     "scalar_shape",
     lambda x: x.select("event_id", F.round("value", 1).alias("rounded"), F.greatest(F.lit(10.0), F.least(F.lit(400.0), "value")).alias("clipped"), F.format_string("c_%06d", "event_id").alias("padded")),
@@ -112,7 +113,7 @@ ST AS (SELECT event_id, case_id, ts_us, resource, idx, gap_us, elapsed_us, activ
 
 def _freq_sql(source: str, bucket: str, name: str) -> str:
     return f"""{name}B AS (SELECT {bucket} AS bucket, state FROM {source}), {name}N AS (SELECT bucket, state, count(*) AS n FROM {name}B GROUP BY ALL),
-{name} AS (SELECT bucket, state, coalesce(n, 0) AS n, coalesce(n, 0) / sum(coalesce(n, 0)) OVER (PARTITION BY bucket) AS share FROM (SELECT DISTINCT bucket FROM {name}B) CROSS JOIN (SELECT DISTINCT state FROM {name}B) LEFT JOIN {name}N USING (bucket, state))"""
+{name} AS (SELECT bucket, state, coalesce(n, 0) AS n, coalesce(coalesce(n, 0) / nullif(sum(coalesce(n, 0)) OVER (PARTITION BY bucket), 0), 0) AS share FROM (SELECT unnest(range(min(bucket), max(bucket) + 1)) AS bucket FROM {name}B) CROSS JOIN (SELECT DISTINCT state FROM {name}B) LEFT JOIN {name}N USING (bucket, state))"""
 
 
 def _distance_sql(freq: str, name: str) -> str:
@@ -159,6 +160,7 @@ e(
     f""", {PHASES}, C AS (SELECT case_id, min(ts_us) AS f, arg_max(activity, ts_us) AS last, {AT('error')} AS x, {AT('view')} AS a, {AT('purchase')} AS b FROM E GROUP BY case_id)
     SELECT phase, count(*) AS cases, round(count(*) / ((max(f) - min(f)) / {DAY}::DOUBLE), 6) AS per_day, round(avg((x IS NULL)::INT), 6) AS without, round(avg(coalesce(a < b, false)::INT), 6) AS precedes, round(avg((last = 'purchase')::INT), 6) AS ended FROM C JOIN PH USING (case_id) GROUP BY phase""",
 )
+e("phase_shares", lambda x: log.phase_shares(x, "pool"), f", {PHASES}, C AS (SELECT case_id, arg_min(pool, [ts_us, event_id]) AS value FROM E GROUP BY case_id) SELECT phase, value, count(*) AS cases, round(count(*) / sum(count(*)) OVER (PARTITION BY phase), 6) AS share FROM C JOIN PH USING (case_id) GROUP BY phase, value")
 e("precedes_rate", lambda x: log.precedes_rate(x, "view", "purchase"), f", C AS (SELECT {AT('view')} AS a, {AT('purchase')} AS b FROM E GROUP BY case_id) SELECT count(*) AS cases, round(avg((a < b)::INT), 6) AS rate FROM C WHERE a IS NOT NULL AND b IS NOT NULL")
 e("rework", log.rework, "SELECT activity, count(*) AS cases, sum(n - 1)::BIGINT AS repeats FROM (SELECT case_id, activity, count(*) AS n FROM E GROUP BY ALL HAVING n > 1) GROUP BY activity")
 e("termination_point", lambda x: windows.termination_point(x, "purchase"), f", T AS (SELECT activity, lag(activity) OVER w AS b, lead(activity) OVER w AS a FROM E {W}) SELECT coalesce(b, '(start)') AS before, count(*) AS n FROM T WHERE activity = 'purchase' AND a IS NULL GROUP BY 1")
@@ -193,6 +195,11 @@ e("prefix_k", lambda x: windows.prefix(x, 3).select("event_id", "idx", "prefix")
 e("prefix_counts", lambda x: windows.prefix_counts(x, ["view", "error"]).select("event_id", "n_view", "n_error"), "SELECT event_id, " + ", ".join(f"count(*) FILTER (activity = '{a}') OVER (PARTITION BY case_id ORDER BY ts_us, event_id ROWS UNBOUNDED PRECEDING) AS n_{a}" for a in ("view", "error")) + " FROM E")
 e("global_gap", lambda x: windows.global_gap(x).select("event_id", "gap_us"), "SELECT event_id, ts_us - lag(ts_us) OVER (ORDER BY ts_us, event_id) AS gap_us FROM E")
 e("trailing_rate", lambda x: windows.trailing_rate(x, DAY).select("event_id", "in_window"), f"SELECT event_id, count(*) OVER (PARTITION BY resource ORDER BY ts_us RANGE BETWEEN {DAY} PRECEDING AND CURRENT ROW) AS in_window FROM E")
+e(
+    "trailing_rate_log",
+    lambda x: windows.trailing_rate_log(x, HOUR, 24),
+    f", N AS (SELECT ts_us // {HOUR} AS bucket, count(*) AS events FROM E GROUP BY 1), F AS (SELECT bucket, coalesce(events, 0) AS events FROM (SELECT unnest(range(min(bucket), max(bucket) + 1)) AS bucket FROM N) LEFT JOIN N USING (bucket)) SELECT bucket, events, (sum(events) OVER (ORDER BY bucket ROWS 23 PRECEDING))::BIGINT AS in_window FROM F",
+)
 e("active_cases", windows.active_cases, "SELECT instant_us, (sum(sum(d)) OVER (ORDER BY instant_us))::BIGINT AS active FROM (SELECT min(start_us) AS instant_us, 1 AS d FROM E GROUP BY case_id UNION ALL SELECT max(ts_us), -1 FROM E GROUP BY case_id) GROUP BY instant_us")
 e("queue_wait", lambda x: windows.queue_wait(x).select("event_id", "wait_us"), f"SELECT event_id, start_us - lag(ts_us) OVER w AS wait_us FROM E {W}")
 e("resource_idle", lambda x: windows.resource_idle(x).select("event_id", "idle_us"), "SELECT event_id, start_us - lag(ts_us) OVER (PARTITION BY resource ORDER BY ts_us, event_id) AS idle_us FROM E")
@@ -205,6 +212,11 @@ for _name, _fn, _value, _in in (("entry", "lag", "lag({f}) OVER w", True), ("exi
         lambda x, into=_in: states.border_conditions(states.resource_state(x), ["resource"], FEATURES, entering=into),
         f", {RS} " + _u(f"SELECT state, '{{f}}' AS feature, (SELECT round(avg({{f}}), 6) FROM RS) AS base, round(avg(v), 6) AS border, round(avg(v) / (SELECT avg({{f}}) FROM RS), 6) AS lift FROM (SELECT state, {_fn}(state) OVER w AS o, {_value} AS v FROM RS WINDOW w AS (PARTITION BY resource ORDER BY bucket)) WHERE o <> state GROUP BY state"),
     )
+e(
+    "entry_conditions_3",
+    lambda x: states.border_conditions(states.resource_state(x), ["resource"], FEATURES, k=3),
+    f", {RS} " + _u("SELECT state, '{f}' AS feature, (SELECT round(avg({f}), 6) FROM RS) AS base, round(avg(v), 6) AS border, round(avg(v) / (SELECT avg({f}) FROM RS), 6) AS lift FROM (SELECT state, lag(state) OVER w AS o, lag({f}, 3) OVER w AS v FROM RS WINDOW w AS (PARTITION BY resource ORDER BY bucket)) WHERE o <> state GROUP BY state"),
+)
 items("first_seen", lambda x: windows.first_seen(x, "resource", ["ts_us", "event_id", "case_id"]).select("resource", "case_id", "ts_us"), "SELECT resource, case_id, ts_us FROM (SELECT *, row_number() OVER (PARTITION BY resource ORDER BY ts_us, event_id, case_id) AS n FROM L) WHERE n = 1")
 # Sorts and sets
 e("sorted_log", lambda x: log.sorted_log(x.drop(*DROP)), "SELECT * FROM E")
@@ -305,9 +317,14 @@ def _active(x: DataFrame) -> DataFrame:
     return states.inter_case_state(x, DAY).select("bucket", "active")
 
 
+def _residual(x: DataFrame) -> DataFrame:
+    by_day = fa.arrival_residual(_expected(x), log.arrivals(x), B6).groupBy(F.floor(F.col("bucket_us") / DAY).alias("bucket"))
+    return by_day.agg(F.sum("residual").alias("residual"))
+
+
 AC = f"AC AS (SELECT bucket, count(*) AS active FROM (SELECT unnest(range(min(ts_us) // {DAY}, max(ts_us) // {DAY} + 1)) AS bucket FROM E GROUP BY case_id) GROUP BY bucket)"
 e(
     "shift_context",
-    lambda x: resources.shift_context(states.state_runs(states.resource_state(x), ["resource"]), resources.resource_contention(x), _active(x)),
-    f", {RUNS}, {CO}, {AC}, AF AS (SELECT bucket, coalesce(active, 0) AS active FROM SP LEFT JOIN AC USING (bucket)), SC AS (SELECT RU.resource, enter AS bucket, state, coalesce(pairs, 0) AS pairs, coalesce(wait_us, 0) AS wait_us, coalesce(active, 0) AS active FROM RU LEFT JOIN CO ON CO.resource = RU.resource AND CO.bucket = enter LEFT JOIN AF ON AF.bucket = enter WHERE run > 1) SELECT *, round(pairs / nullif((SELECT avg(pairs) FROM CO), 0), 6) AS pairs_lift, round(wait_us / nullif((SELECT avg(wait_us) FROM CO), 0), 6) AS wait_lift, round(active / nullif((SELECT avg(active) FROM AF), 0), 6) AS active_lift FROM SC",
+    lambda x: resources.shift_context(states.state_runs(states.resource_state(x), ["resource"]), resources.resource_contention(x), _active(x), _residual(x)),
+    f", {RUNS}, {CO}, {AC}, {EX}, AR AS (SELECT f // {B6} * {B6} AS bucket_us, count(*) AS observed FROM (SELECT min(ts_us) AS f FROM E GROUP BY case_id) GROUP BY 1), AD AS (SELECT bucket_us // {DAY} AS bucket, sum(round(coalesce(observed, 0) - expected * 6, 6)) AS residual FROM EX LEFT JOIN AR USING (bucket_us) GROUP BY 1), AF AS (SELECT bucket, coalesce(active, 0) AS active FROM SP LEFT JOIN AC USING (bucket)), SC AS (SELECT RU.resource, enter AS bucket, state, coalesce(pairs, 0) AS pairs, coalesce(wait_us, 0) AS wait_us, coalesce(active, 0) AS active, round(coalesce(residual, 0), 4) AS residual FROM RU LEFT JOIN AD ON AD.bucket = enter LEFT JOIN CO ON CO.resource = RU.resource AND CO.bucket = enter LEFT JOIN AF ON AF.bucket = enter WHERE run > 1) SELECT *, round(pairs / nullif((SELECT avg(pairs) FROM CO), 0), 6) AS pairs_lift, round(wait_us / nullif((SELECT avg(wait_us) FROM CO), 0), 6) AS wait_lift, round(active / nullif((SELECT avg(active) FROM AF), 0), 6) AS active_lift FROM SC",
 )

@@ -112,7 +112,7 @@ def drift_alarm(counts: DataFrame, alarm: Callable[[DataFrame, int], None], limi
         new = batch.select(F.lit(number).cast("long").alias("number"), "start", "activity", F.col("events").cast("long").alias("events"))
         windows = last(batch.sparkSession, number).unionByName(new).persist()
         try:
-            shares = state_frequency(windows.select(F.col("start").alias("bucket"), F.col("activity").alias("state"), "events"), weight="events")
+            shares = state_frequency(windows.select(F.col("start").alias("bucket"), F.col("activity").alias("state"), "events"), weight="events", fill=False)
             alarm(window_distance(shares).where(F.col("tv") > limit), number)
             newest = windows.join(F.broadcast(windows.agg(F.max("start").alias("start"))), "start")
             newest.select(F.lit(number).cast("long").alias("number"), "start", "activity", "events").coalesce(1).write.mode("overwrite").parquet(f"{kept}-{number % 2}")

@@ -1,5 +1,6 @@
 """Small logs made by hand: boundaries, nulls, ties, drift, and plans."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,6 +35,86 @@ def test_null_case_ids_are_no_case_but_count_as_events(make):
     assert log.sorted_log(df).collect()[-1].case_id is None
 
 
+def test_null_case_ids_are_no_case_anywhere(make):
+    """Events without case id change nothing that is about cases, and keep their rows with nulls."""
+    rows = [("a", "x", 10 * S), ("a", "y", 20 * S), ("b", "x", 2 * DAY), ("b", "x", 2 * DAY + S)]
+    plain, df = make(rows), make(rows + [(None, "x", 5 * S), (None, "x", 6 * S), (None, "z", 3 * DAY)])
+    cut = [DAY]
+    for fn in (
+        log.case_ids, log.variants, log.rework, log.arrivals, windows.active_cases, windows.directly_follows, windows.gap_stats, windows.handover, states.intra_case_state, lambda x: log.split_by_last_event(x, cut), lambda x: log.phases(x, cuts=cut),
+        lambda x: log.cases_with(x, "x"), lambda x: log.cases_without(x, "y"), lambda x: log.arrival_profile(x, "day"), lambda x: log.precedes_rate(x, "x", "y"), lambda x: windows.termination_point(x, "y"),
+    ):
+        assert sorted(map(str, fn(df).collect())) == sorted(map(str, fn(plain).collect()))
+    assert log.phase_report(df, "y", "x", ("x", "y")).agg(F.sum("cases")).first()[0] == log.phase_shares(df, "pool").agg(F.sum("cases")).first()[0] == 2
+    for fn, col in ((windows.time_since_previous, "gap_us"), (windows.elapsed_in_case, "elapsed_us"), (windows.prefix, "idx"), (windows.queue_wait, "wait_us"), (lambda x: windows.prefix_counts(x, ["x"]), "n_x"), (lambda x: log.split_traces_by_last_event(x, cut), "window")):
+        out = fn(df)
+        assert out.count() == 7 and {r[col] for r in out.where("case_id IS NULL").collect()} == {None}
+    assert [r.window for r in log.split_traces_by_last_event(df, [15 * S]).where("case_id = 'a'").collect()] == [1, 1]
+
+
+def test_buckets_without_rows_have_shares_of_zero(spark):
+    rows = spark.createDataFrame([(0, "a"), (1, "b"), (5, "a"), (6, "a")], "bucket long, state string")
+    freq = states.state_frequency(rows)
+    assert {(r.bucket, r.state): r.n for r in freq.collect()} == {(b, s): int((b, s) in {(0, "a"), (1, "b"), (5, "a"), (6, "a")}) for b in range(7) for s in "ab"}
+    got = {r.bucket: r.tv for r in drift.window_distance(freq).collect()}
+    assert got == {1: 1.0, 2: 0.5, 3: 0.0, 4: 0.0, 5: 0.5, 6: 0.0}
+
+
+def test_batches_across_days(make):
+    """A batch that runs over midnight is one, whatever bucket its events are in."""
+    df = make([(f"c{i}", "x", DAY - 2 * S + i * S) for i in range(5)] + [("c9", "x", 3 * DAY), ("c8", "x", 3 * DAY + S), ("c7", "x", 9 * DAY)])
+    assert sorted((r.from_us, r.events, r.cases) for r in resources.batching(df).collect()) == [(DAY - 2 * S, 5, 5), (3 * DAY, 2, 2)]
+
+
+def test_approximate_quantiles(make):
+    df = make([("c", "x", i * S, "r", 0) for i in range(1001)])
+    exact, rough = log.duration_stats(df).first(), log.duration_stats(df, accuracy=10_000).first()
+    assert exact.median_s == 500 and abs(rough.median_s - 500) <= 1 and abs(rough.p90_s - exact.p90_s) <= 1
+
+
+def test_states_of_teams_and_more_features(make):
+    df = make([(f"c{i % 3}", "ab"[i % 2], i * S, f"r{i % 4}") for i in range(40)]).withColumn("team", F.substring("resource", 1, 1)).withColumn("kind", F.lit("k"))
+    assert states.resource_state(df, by="team").first().events == 40
+    last = states.intra_case_state(df, ["a", "b"], ["kind"]).orderBy(F.desc("ts_us")).first()
+    assert last.n_a + last.n_b == last.idx and last.kind == "k"
+
+
+@pytest.fixture(scope="module")
+def vectors(spark):
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(c, 0.3, (60, 4)) for c in ((0, 0, 0, 0), (4, 0, 1, 0), (0, 5, 0, 2))]) * [1, 2, 3, 4]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, a double, b double, c double, d double")
+    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    return states.state_vectors(df, ["a", "b", "c", "d"]).persist(), z
+
+
+def test_pca_equals_numpy(vectors):
+    df, z = vectors
+    values = np.sort(np.linalg.eigvalsh(np.cov(z.T)))[::-1]
+    assert [r.variance for r in states.pca(df, 3)[1].orderBy("component").collect()] == pytest.approx((values / values.sum())[:3], abs=1e-9)
+
+
+def test_clusters_are_those_of_the_nearest_means(vectors):
+    df, z = vectors
+    got = np.array([r.cluster for r in states.cluster_states(df, 3).orderBy("id").collect()])
+    means = np.stack([z[got == k].mean(0) for k in range(3)])
+    assert (((z[:, None] - means) ** 2).sum(2).argmin(1) == got).all()
+    assert [len(set(got[i : i + 60])) for i in (0, 60, 120)] == [1, 1, 1] and len(set(got)) == 3
+
+
+def test_som_equals_numpy(vectors):
+    df, z = vectors
+    got = [r.cell for r in states.som_states(df, (2, 2), 4).orderBy("id").collect()]
+    place = np.array([(0, 0), (0, 1), (1, 0), (1, 1)], float)
+    far, book = ((place[:, None] - place) ** 2).sum(2), np.random.default_rng(7).normal(0, 0.5, (4, 4))
+    for epoch in range(4):
+        cell = ((z[:, None] - book) ** 2).sum(2).argmin(1)
+        reach = np.exp(-far / (2 * (1 - epoch / 4 + 0.3) ** 2))
+        total, count = np.stack([z[cell == k].sum(0) for k in range(4)]), np.bincount(cell, minlength=4)
+        book = (reach @ total) / (reach @ count)[:, None]
+    assert got == ((z[:, None] - book) ** 2).sum(2).argmin(1).tolist()
+
+
 @pytest.mark.parametrize("n, first, last", [(9_999, "0001", "9999"), (10_000, "00001", "10000")])
 def test_width_of_case_numbers(spark, n, first, last):
     df = spark.range(n).select(F.format_string("k%06d", "id").alias("case_id"), F.floor(F.col("id") * DAY / 500).alias("ts_us"))
