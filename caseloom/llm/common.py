@@ -5,8 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,67 +57,39 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
-#: Bits of a Bloom filter: so many for each key, and never more than in all (64 MB). A fuller filter lets more rows pass, and loses none.
-KEY_BITS, ALL_BITS, CHUNK = 16, 29, 1 << 16
+#: A Bloom filter is a table of 64-bit words, one for every KEYS_A_WORD keys and WORDS at most (32 MB). A fuller filter lets more rows pass, and loses none.
+KEYS_A_WORD, WORDS, LEAST_WORDS = 4, 1 << 21, 1 << 10
 
 
-def _probes(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
-    h = hashes.view(np.uint64)
-    step = (h >> np.uint64(32)) | np.uint64(1)
-    return [((h + np.uint64(i) * step) & np.uint64((1 << bits) - 1)).astype(np.int64) for i in range(5)]
+def _bloom(ids: DataFrame, key: str) -> tuple[DataFrame, Column]:
+    """The filter of the staged ids' keys, to broadcast, and the condition that a row of another table with column key may be among them."""
+    words = min(WORDS, max(LEAST_WORDS, 1 << (ids.count() // KEYS_A_WORD).bit_length()))
+    h = F.xxhash64(key)
+    word = F.pmod(h, F.lit(words))
+    bits = [F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(`{key}`), {at}) & 63 as int))") for at in (40, 46, 52, 58)]
+    mask = bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2]).bitwiseOR(bits[3])
+    table = ids.groupBy(word.alias("__word")).agg(F.bit_or(mask).alias("__bits"))
+    return F.broadcast(table), (word == F.col("__word")) & (F.col("__bits").bitwiseAND(mask) == mask)
 
 
-def _bloom_chunks(bits: int):
-    def run(batches):
-        found = np.zeros(1 << bits - 3, np.uint8)
-        for batch in batches:
-            for at in _probes(batch.column("key").to_numpy(), bits):
-                for b in range(8):
-                    found[at[at & 7 == b] >> 3] |= 1 << b
-        for i in range(0, len(found), CHUNK):
-            if found[i : i + CHUNK].any():
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([found[i : i + CHUNK].tobytes()], pa.binary())], ["at", "part"])
-
-    return run
-
-
-def _or(table: pa.Table) -> pa.Table:
-    found = np.zeros(0, np.uint8)
-    for x in table.column("part"):
-        part = np.frombuffer(x.as_py(), np.uint8)
-        found = found | part if len(found) else part
-    return pa.table([pa.array([table.column("at")[0].as_py()], pa.int64()), pa.array([found.tobytes()], pa.binary())], names=["at", "part"])
-
-
-def may_be_among(ids: DataFrame, key: str) -> Column:
-    """A condition on column key of another table: whether its value may be one of the staged ids' (always true for those).
+def may_be_among(df: DataFrame, ids: DataFrame, key: str, other: bool = False) -> DataFrame:
+    """Rows of df whose key may be one of the staged ids' (surely those whose key is, nulls too); with other, all others.
 
     So a semi- or anti-join moves only the rows that matter, whatever their number; the filter's size is bounded, and nothing else is sent around.
     """
-    bits = min(ALL_BITS, max(CHUNK.bit_length() + 2, (KEY_BITS * ids.count()).bit_length()))
-    parts = ids.select(F.xxhash64(key).alias("key")).mapInArrow(_bloom_chunks(bits), "at long, part binary").groupBy("at").applyInArrow(_or, "at long, part binary")
-    filled = np.zeros(1 << bits - 3, np.uint8)
-    for r in parts.collect():  # bounded by the filter's size
-        filled[r["at"] : r["at"] + len(r["part"])] = np.frombuffer(r["part"], np.uint8)
-    shared = ids.sparkSession.sparkContext.broadcast(filled)
-
-    @F.pandas_udf("boolean")
-    def among(hashes: pd.Series) -> pd.Series:
-        return pd.Series(np.logical_and.reduce([shared.value[at >> 3] >> (at & 7) & 1 for at in _probes(hashes.to_numpy(), bits)]).astype(bool))
-
-    return among(F.xxhash64(key))
+    table, there = _bloom(ids, key)
+    return df.join(table, there, "left_anti" if other else "left_semi")
 
 
 def only(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows of df whose key is among the staged ids (a null key: if a null is). Texts of other rows don't move."""
-    ids = ids.select(F.col(key).alias("__id"))
-    return df.where(may_be_among(ids.withColumnRenamed("__id", key), key)).join(ids, F.col(key).eqNullSafe(F.col("__id")), "left_semi")
+    return may_be_among(df, ids, key).join(ids.select(F.col(key).alias("__id")), F.col(key).eqNullSafe(F.col("__id")), "left_semi")
 
 
 def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows of df whose key is not among the staged ids. Only rows whose key may be are joined; the others pass as they are."""
-    there = may_be_among(ids, key)
-    return df.where(~there).unionByName(df.where(there).join(ids.select(F.col(key).alias("__id")), F.col(key) == F.col("__id"), "left_anti"))
+    doubtful = may_be_among(df, ids, key).join(ids.select(F.col(key).alias("__id")), F.col(key) == F.col("__id"), "left_anti")
+    return may_be_among(df, ids, key, other=True).unionByName(doubtful)
 
 
 def ascii_lower(c: Column) -> Column:

@@ -259,11 +259,11 @@ def delete_repeated(docs: DataFrame, least_words: int = LEAST_WORDS, spare: floa
     gone = staged(repeated_lines(docs, least_words, spare, id_col, text_col), "lines-gone")
     docs = docs.drop(*counts)
     # Only texts that may lose lines are joined; the others pass as they are.
-    there = may_be_among(gone.select(F.col("doc_id").alias(id_col)), id_col)
+    ids = gone.select(F.col("doc_id").alias(id_col))
     count = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
     lines = count(F.split(F.col(text_col), "\n", -1))
-    same = docs.where(~there).withColumns({counts[0]: lines, counts[1]: F.lit(0)})
-    cut = _deleted(docs.where(there).withColumn(counts[0], lines), gone, id_col, text_col)
+    same = may_be_among(docs, ids, id_col, other=True).withColumns({counts[0]: lines, counts[1]: F.lit(0)})
+    cut = _deleted(may_be_among(docs, ids, id_col).withColumn(counts[0], lines), gone, id_col, text_col)
     return same.unionByName(cut.withColumn(counts[1], count(F.filter("__gone", lambda x: x))).drop("__gone"))
 
 

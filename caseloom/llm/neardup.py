@@ -143,6 +143,7 @@ def _lowest(k: int):
 
 def _may_be_alike(percent: int):
     def run(batches):
+        release()
         for batch in batches:
             low = [[np.frombuffer(x, "<u4") for x in batch.column(c).to_pylist()] for c in ("low_a", "low_b")]
             good = [_may_link(a, n, b, m, percent) for a, n, b, m in zip(low[0], batch.column("n_a").to_pylist(), low[1], batch.column("n_b").to_pylist(), strict=True)]
@@ -212,6 +213,7 @@ def _merged(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 def _cells(percent: int):
     def run(batches):
         """Rows in order of their cell -> candidate pairs; only the rows of one cell are held."""
+        release()
         cell, rows = None, []
         for batch in batches:
             out = []
@@ -237,6 +239,7 @@ def shingles(text: str, k: int) -> set:
 def _confirm(k: int, percent: int):
     def run(batches):
         """Rows in order of (a, part): the text of a, then those of the documents to hold against it."""
+        release()
         key, heads = None, []
         for batch in text_slices(batches, "text"):
             good = []
