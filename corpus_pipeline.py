@@ -71,7 +71,7 @@ STAGES = [
     ("packing", packed_sequences),
 ]
 
-#: SQL can express neither the classifier nor the alignment; tests/llm/test_pipeline.py holds each stage against a plain version instead.
+#: SQL can express neither the classifier nor the alignment; the operators' own tests hold them against plain versions.
 ORACLE_SQL = None
 
 
