@@ -102,14 +102,28 @@ def dominated(filling: tuple[int, ...], left: int, others: int) -> bool:
     return bool((reach | several) & others)
 
 
+def _unrolled(taken: tuple) -> tuple[int, ...]:
+    """The pieces of (size, copies, those before), largest first."""
+    parts: list[tuple[int, int]] = []
+    while taken:
+        n, k, taken = taken
+        parts.append((n, k))
+    return tuple(n for n, k in reversed(parts) for _ in range(k))
+
+
 def fillings(sizes: list[int], count: dict[int, int], room: int, most, spend) -> Iterator[tuple[int, tuple[int, ...]]]:
     """All undominated fillings of room, least waste first, as (waste, pieces). most() is the waste allowed by now; spend(n) counts steps.
 
     A depth-first search over the sums that can still be reached, so no branch of it ends in vain; pieces of one size are taken together.
+    sizes and count may change while a filling is in use, if they are as before when the next one is asked for. The tables of sums are built
+    anew then: a search that waits holds none, so a block of thousands of sequences has one search's tables at a time.
     """
-    sums = reachable(sizes, count, room)
-    spend(len(sizes) // 8)
-    waste, fitting = 0, sum(1 << n for n in sizes if n <= room)
+
+    def tables() -> tuple[list[int], int]:
+        spend(len(sizes) // 8)
+        return reachable(sizes, count, room), sum(1 << n for n in sizes if n <= room)
+
+    (sums, fitting), waste = tables(), 0
     while waste <= min(most(), room):
         if sums[-1] >> room - waste & 1:
             # (sizes that may still be used, sum still to fill, pieces so far)
@@ -118,11 +132,14 @@ def fillings(sizes: list[int], count: dict[int, int], room: int, most, spend) ->
                 top, want, taken = todo.pop()
                 spend(1)
                 if not want:
-                    used = Counter(taken)
-                    if not dominated(taken, waste, fitting - sum(1 << n for n, k in used.items() if k == count[n])):
-                        yield waste, taken
+                    pieces = _unrolled(taken)
+                    used = Counter(pieces)
+                    if not dominated(pieces, waste, fitting - sum(1 << n for n, k in used.items() if k == count[n])):
+                        sums = used = None
+                        yield waste, pieces
                         if waste > most():
                             return
+                        sums, fitting = tables()
                     continue
                 top = bisect_right(sizes, want, 0, top)
                 if not top or not sums[top] >> want & 1:
@@ -131,7 +148,7 @@ def fillings(sizes: list[int], count: dict[int, int], room: int, most, spend) ->
                 # Fewest pieces of the largest size first onto the stack, so that most of them are tried first.
                 for k in range(min(count[n], want // n) + 1):
                     if sums[top - 1] >> want - k * n & 1:
-                        todo.append((top - 1, want - k * n, taken + (n,) * k))
+                        todo.append((top - 1, want - k * n, (n, k, taken) if k else taken))
         waste += 1
 
 
@@ -169,42 +186,46 @@ def complete_bins(lengths: list[int], capacity: int, budget: int | None = BUDGET
             raise _Spent
 
     wasted, may_waste = 0, (len(incumbent) - 1) * capacity - total
+    # The largest piece of each sequence, its other pieces and their waste, and the search for further ones.
+    tops: list[int] = []
     bins: list[tuple[int, tuple[int, ...]]] = []
     options: list[Iterator[tuple[int, tuple[int, ...]]]] = []
 
-    def around_largest() -> Iterator[tuple[int, tuple[int, ...]]]:
-        top = sizes[-1]
-        rest = {n: c - (n == top) for n, c in count.items() if c > (n == top)}
-        return ((w, (top, *f)) for w, f in fillings(sorted(rest), rest, capacity - top, lambda: may_waste - wasted, spend))
+    def around_largest() -> None:
+        tops.append(sizes[-1])
+        take(sizes[-1])
+        options.append(fillings(sizes, count, capacity - tops[-1], lambda: may_waste - wasted, spend))
+
+    def undo() -> None:
+        nonlocal wasted
+        w, pieces = bins.pop()
+        wasted -= w
+        for n in pieces:
+            give(n)
 
     try:
-        options.append(around_largest())
+        around_largest()
         while options:
             option = next(options[-1], None)
             if option is None or wasted + option[0] > may_waste:
                 # No filling of this sequence is left that may lead to fewer: undo the one before.
                 options.pop()
+                give(tops.pop())
                 if bins:
-                    w, b = bins.pop()
-                    wasted -= w
-                    for n in b:
-                        give(n)
+                    undo()
                 continue
             bins.append(option)
             wasted += option[0]
             for n in option[1]:
                 take(n)
             if sizes:
-                options.append(around_largest())
+                around_largest()
                 continue
-            incumbent = [list(b) for _, b in bins]
+            incumbent = [[top, *pieces] for top, (_, pieces) in zip(tops, bins, strict=True)]
             if len(incumbent) <= least:
                 return incumbent
             may_waste = (len(incumbent) - 1) * capacity - total
-            w, b = bins.pop()
-            wasted -= w
-            for n in b:
-                give(n)
+            undo()
     except _Spent:
         pass
     return incumbent
