@@ -1,5 +1,6 @@
 """Token counts, token files and packing against the tokenizers library."""
 
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -202,3 +203,16 @@ def test_packing_of_odd_rows(odd, none):
     assert {(r.sequence_id, len(r.ids) // 4) for r in packing.sequences(df).collect()} == {(k, sum(n for _, n in b)) for k, b in bins.items()}
     assert packing.waste(df).first().sequences == len(bins)
     assert packing.pack(none).count() == 0
+
+
+def test_waiting_searches_of_a_block_hold_no_tables():
+    rng = np.random.default_rng(7)
+    lengths = rng.integers(1200, 1500, 3000).tolist()
+    tracemalloc.start()
+    try:
+        bins = packing.complete_bins(lengths, 4096, budget=60_000)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sorted(n for b in bins for n in b) == sorted(lengths) and max(map(sum, bins)) <= 4096
+    assert peak < 12 << 20
