@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from caseloom.llm import ann, exact, linedup, mixing, neardup, packing, sharding, tokcount, tokenfile, toxicity
+from caseloom.llm import ann, exact, linedup, mixing, neardup, packing, quality, sharding, tokcount, tokenfile, toxicity
 
 QUERIES = {
     "op1_pareto_mix": mixing.op1_pareto_mix,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_patience_lines": linedup.op8_patience_lines,
     "op9_orc_tokens": tokenfile.op9_orc_tokens,
     "op10_noisy_or": toxicity.op10_noisy_or,
+    "op12_cascade": quality.op12_cascade,
 }
 
 ORACLES = {
     "op1_pareto_mix": mixing.ORACLE,
     "op3_coordinate_join": neardup.ORACLE,
     "op4_golomb_exact": exact.ORACLE,
+    "op12_cascade": quality.ORACLE,
 }
