@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from caseloom.llm import ann, exact, linedup, mixing, neardup, packing, quality, sharding, tokcount, tokenfile, toxicity
+from caseloom.llm import ann, exact, linedup, mixing, neardup, packing, quality, sharding, tokcount, tokenfile, toxicity, trie
 
 QUERIES = {
     "op1_pareto_mix": mixing.op1_pareto_mix,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_orc_tokens": tokenfile.op9_orc_tokens,
     "op10_noisy_or": toxicity.op10_noisy_or,
     "op12_cascade": quality.op12_cascade,
+    "op13_prefix_trie": trie.op13_prefix_trie,
 }
 
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op3_coordinate_join": neardup.ORACLE,
     "op4_golomb_exact": exact.ORACLE,
     "op12_cascade": quality.ORACLE,
+    "op13_prefix_trie": trie.ORACLE,
 }
