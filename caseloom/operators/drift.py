@@ -59,8 +59,9 @@ def combined_signal(signals: list[DataFrame], value: str = "tv") -> DataFrame:
 
 
 def match_drifts(detected: DataFrame, known: DataFrame, tolerance: int) -> DataFrame:
-    """known, bucket, delay: each known point with what is detected up to tolerance buckets after it. known is a short list."""
-    return detected.join(F.broadcast(known), (F.col("bucket") >= F.col("known")) & (F.col("bucket") <= F.col("known") + tolerance)).select("known", "bucket", (F.col("bucket") - F.col("known")).alias("delay"))
+    """known, bucket, delay: each known point with what is detected up to tolerance buckets after it. Known points are laid out over their buckets, so this is a join on equal buckets."""
+    spread = known.select("known", F.explode(F.sequence(F.col("known"), F.col("known") + tolerance)).alias("bucket"))
+    return detected.join(spread, "bucket").select("known", "bucket", (F.col("bucket") - F.col("known")).alias("delay"))
 
 
 def drift_evaluation(detected: DataFrame, known: DataFrame, tolerance: int) -> DataFrame:

@@ -21,6 +21,16 @@ def cases(log: DataFrame) -> DataFrame:
     return log.where(F.col("case_id").isNotNull())
 
 
+def same_key_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, where null is a value like any other: an event without resource is one of the resource null. The keys occur once."""
+    named = right.select(*[F.col(f"`{k}`").alias(f"__r_{k}") for k in keys], *[F.col(f"`{c}`") for c in right.columns if c not in keys], F.lit(True).alias("__there"))
+    equal = reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(f"`__r_{k}`")) for k in keys])
+    out = left.join(named, equal, how)
+    if how in ("full", "right"):
+        out = out.withColumns({k: F.when(F.col("__there"), F.col(f"`__r_{k}`")).otherwise(F.col(f"`{k}`")) for k in keys})
+    return out.drop("__there", *[f"__r_{k}" for k in keys])
+
+
 def stack_logs(logs: Mapping[str, DataFrame]) -> DataFrame:
     """All logs in one, labelled in column ``log``; columns that some lack are null there."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.withColumn("log", F.lit(k)) for k, df in logs.items()])
@@ -80,6 +90,7 @@ def split_log(log: DataFrame, cuts: Iterable[int], half_open: bool = True) -> Da
 
 
 def split_report(split: DataFrame) -> DataFrame:
+    """window, first_us, last_us, traces, events. Events without case count as events, not as traces."""
     return split.groupBy("window").agg(F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), F.countDistinct("case_id").alias("traces"), F.count(F.lit(1)).alias("events"))
 
 
@@ -100,11 +111,11 @@ def apart() -> Column:
 
 
 def phases(log: DataFrame, parts: int = 3, cuts: Iterable[int] | None = None) -> DataFrame:
-    """case_id, phase: by the case's first event; a boundary belongs to the later phase. Without cuts the span is cut evenly."""
+    """case_id, phase: by the case's first event; a boundary belongs to the later phase. Without cuts the span of all cases (not of events without one) is cut evenly."""
     first = cases(log).groupBy("case_id").agg(F.min("ts_us").alias("first_us"))
     if cuts is not None:
         return first.select("case_id", window_of(F.col("first_us"), sorted(cuts)).alias("phase"))
-    span = log.agg(F.min("ts_us").alias("lo"), F.max("ts_us").alias("hi"))
+    span = cases(log).agg(F.min("ts_us").alias("lo"), F.max("ts_us").alias("hi"))
     phase = reduce(lambda a, b: a + b, [(F.col("first_us") >= F.col("lo") + F.floor((F.col("hi") - F.col("lo")) * i / parts)).cast("int") for i in range(1, parts)])
     return first.crossJoin(F.broadcast(span)).select("case_id", phase.alias("phase"))  # span: one row
 
@@ -116,6 +127,7 @@ def case_variants(log: DataFrame) -> DataFrame:
 
 
 def variants(log: DataFrame) -> DataFrame:
+    """variant, n: how many cases take that path. Events without case are on none; a null activity is left out of its path."""
     return case_variants(log).groupBy("variant").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -136,6 +148,7 @@ def variant_pareto(log: DataFrame) -> DataFrame:
 
 
 def top_variants(log: DataFrame, k: int = 10) -> DataFrame:
+    """The k most frequent variants; of equally frequent ones those first in order of their text."""
     return variants(log).orderBy(F.desc("n"), "variant").limit(k)
 
 
@@ -165,10 +178,12 @@ def compare_trace_lengths(log: DataFrame, labels: list[str]) -> DataFrame:
 
 
 def cases_with(log: DataFrame, activity: str) -> DataFrame:
+    """case_id of the cases in which the activity occurs."""
     return cases(log).select("case_id").distinct().join(log.where(F.col("activity") == activity).select("case_id"), "case_id", "left_semi")
 
 
 def cases_without(log: DataFrame, activity: str) -> DataFrame:
+    """case_id of the cases in which the activity does not occur."""
     return cases(log).select("case_id").distinct().join(log.where(F.col("activity") == activity).select("case_id"), "case_id", "left_anti")
 
 
@@ -178,17 +193,16 @@ def rework(log: DataFrame) -> DataFrame:
     return n.groupBy("activity").agg(F.count(F.lit(1)).alias("cases"), F.sum(F.col("n") - 1).alias("repeats"))
 
 
-def quantile(x: Column | str, share: float, accuracy: int | None = None) -> Column:
-    """Exact and interpolated, which keeps all distinct values of a group; with accuracy, approximate in bounded memory (an error of 1 / accuracy in rank)."""
-    return F.percentile(x, F.lit(share)) if accuracy is None else F.percentile_approx(x, share, accuracy)
-
-
 def duration_stats(log: DataFrame, by: str = "activity", accuracy: int | None = None) -> DataFrame:
-    """Service time: n, mean, median, 90 % and deviation. For large logs give an accuracy (see quantile)."""
+    """Service time: n, mean, median, 90 % and deviation. Quantiles are exact, by selection in several passes (quantiles.py); with accuracy, approximate in one."""
+    from caseloom.operators.quantiles import exact_quantiles
+
     s = (F.col("ts_us") - F.col("start_us")) / 1e6
-    return log.groupBy(by).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg(s), 6).alias("mean_s"), F.round(quantile(s, 0.5, accuracy), 6).alias("median_s"), F.round(quantile(s, 0.9, accuracy), 6).alias("p90_s"), F.round(F.stddev_samp(s), 6).alias("sd_s")
-    )
+    basic = [F.count(F.lit(1)).alias("n"), F.round(F.avg(s), 6).alias("mean_s")]
+    if accuracy is not None:
+        return log.groupBy(by).agg(*basic, F.round(F.percentile_approx(s, 0.5, accuracy), 6).alias("median_s"), F.round(F.percentile_approx(s, 0.9, accuracy), 6).alias("p90_s"), F.round(F.stddev_samp(s), 6).alias("sd_s"))
+    known = same_key_join(log.groupBy(by).agg(*basic, F.round(F.stddev_samp(s), 6).alias("sd_s")), exact_quantiles(log, [by], s, [0.5, 0.9]), [by], "left")
+    return known.select(by, "n", "mean_s", F.round("q0", 6).alias("median_s"), F.round("q1", 6).alias("p90_s"), "sd_s")
 
 
 def correlation(df: DataFrame, x: str, y: str, by: str) -> DataFrame:
@@ -196,6 +210,7 @@ def correlation(df: DataFrame, x: str, y: str, by: str) -> DataFrame:
 
 
 def arrivals(log: DataFrame) -> DataFrame:
+    """case_id, first_us: when each case's first event is complete."""
     return cases(log).groupBy("case_id").agg(F.min("ts_us").alias("first_us"))
 
 

@@ -1,11 +1,11 @@
-"""Resources: what they do, how busy they are, and how cases meet on them."""
+"""Resources: what they do, how busy they are, and how cases meet on them. Events without resource are those of the resource null, in all of these."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseloom.operators.log import DAY
+from caseloom.operators.log import DAY, same_key_join
 from caseloom.operators.windows import in_case, previous, running_sum
 
 
@@ -16,11 +16,14 @@ def resource_activity_mix(log: DataFrame, by: str = "resource") -> DataFrame:
 
 
 def resource_workload(log: DataFrame, width: int = DAY) -> DataFrame:
-    """resource, bucket, events, cases, busy_us; busy time is divided over the buckets it covers, events count where they complete."""
+    """resource, bucket, events, cases, busy_us; busy time is divided over the buckets it covers, events count in the last of them.
+
+    A bucket's end belongs to it for what began before; an event without duration counts in the bucket that begins then. Events that end before they start count where they start.
+    """
     first, last = F.floor(F.col("start_us") / width), F.floor((F.col("ts_us") - 1) / width)
     parts = log.withColumn("bucket", F.explode(F.sequence(first, F.greatest(first, last))))
     busy = F.least("ts_us", (F.col("bucket") + 1) * width) - F.greatest("start_us", F.col("bucket") * width)
-    own = F.col("bucket") == F.floor((F.col("ts_us") - 1) / width)
+    own = F.col("bucket") == F.greatest(first, last)
     return parts.groupBy("resource", "bucket").agg(F.sum(own.cast("bigint")).alias("events"), F.countDistinct(F.when(own, F.col("case_id"))).alias("cases"), F.sum(busy).cast("bigint").alias("busy_us"))
 
 
@@ -42,7 +45,7 @@ def overlapping_cases(log: DataFrame, on: str = "resource", width: int = 600_000
     e = e.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start_us") / width), F.floor((F.col("ts_us") - 1) / width))))
     side = lambda s: e.select("on", "bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("case_id", "event_id", "start_us", "ts_us")])
     late = F.greatest("start_us_a", "start_us_b")
-    p = side("a").join(side("b"), ["on", "bucket"]).where(
+    p = same_key_join(side("a"), side("b"), ["on", "bucket"]).where(
         (F.col("event_id_a") < F.col("event_id_b")) & (F.col("case_id_a") != F.col("case_id_b")) & (F.col("start_us_a") < F.col("ts_us_b")) & (F.col("start_us_b") < F.col("ts_us_a")) & (F.col("bucket") == F.floor(late / width))
     )
     return p.select(F.col("on").alias(on), F.col("event_id_a").alias("event_a"), F.col("event_id_b").alias("event_b"), late.alias("from_us"), (F.least("ts_us_a", "ts_us_b") - late).alias("overlap_us"))
@@ -53,7 +56,7 @@ def resource_contention(log: DataFrame, width: int = DAY) -> DataFrame:
     pairs = overlapping_cases(log).groupBy("resource", F.floor(F.col("from_us") / width).alias("bucket")).agg(F.count(F.lit(1)).alias("pairs"))
     wait = F.greatest(F.col("start_us") - F.lag("ts_us").over(in_case()), F.lit(0))
     waits = log.withColumn("wait", wait).groupBy("resource", F.floor(F.col("ts_us") / width).alias("bucket")).agg(F.coalesce(F.sum("wait"), F.lit(0)).alias("wait_us"))
-    return waits.join(pairs, ["resource", "bucket"], "full").na.fill(0, ["pairs", "wait_us"])
+    return same_key_join(waits, pairs, ["resource", "bucket"], "full").na.fill(0, ["pairs", "wait_us"])
 
 
 def batching(log: DataFrame, least: int = 2, within: int = 7_200_000_000) -> DataFrame:

@@ -7,11 +7,13 @@ from functools import reduce
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseloom.operators.log import DAY, cases
+from caseloom.operators.log import DAY, cases, same_key_join
+from caseloom.operators.stage import staged
 from caseloom.operators.windows import in_case, prefix_counts, runs
 
 HOUR = 3_600_000_000
@@ -38,19 +40,35 @@ def spine(log: DataFrame, width: int = DAY, of: DataFrame | None = None) -> Data
 
 
 def resource_state(log: DataFrame, width: int = DAY, low: float = 0.25, high: float = 0.9, by: str = "resource") -> DataFrame:
-    """The column by (a resource, a role or a team), bucket, events, cases, activities, handovers, wait_s, state (idle, normal, busy by quantiles of events), zero-filled."""
+    """The column by (a resource, a role or a team), bucket, events, cases, activities, handovers, wait_s, state (idle, normal, busy by quantiles of events), zero-filled.
+
+    Events without that column's value are those of the value null. A handover is an event whose case was with another value before; null hands nothing over and gets nothing.
+    """
     w = in_case()
     e = log.withColumns({"bucket": F.floor(F.col("ts_us") / width), "from": F.lag(by).over(w), "wait": F.col("start_us") - F.lag("ts_us").over(w)})
     n = e.groupBy(by, "bucket").agg(
         F.count(F.lit(1)).alias("events"), F.countDistinct("case_id").alias("cases"), F.countDistinct("activity").alias("activities"),
         F.sum((F.col("from") != F.col(by)).cast("bigint")).alias("handovers"), (F.sum("wait").cast("double") / F.count("wait") / 1e6).alias("wait_s"),
     )
-    s = spine(log, width, log.select(by).distinct()).join(n, [by, "bucket"], "left").na.fill(0, ["events", "cases", "activities", "handovers"]).na.fill(0.0, ["wait_s"])
+    s = same_key_join(spine(log, width, log.select(by).distinct()), n, [by, "bucket"], "left").na.fill(0, ["events", "cases", "activities", "handovers"]).na.fill(0.0, ["wait_s"])
     cut = s.agg(F.percentile("events", F.lit(low)).alias("lo"), F.percentile("events", F.lit(high)).alias("hi"))
     state = F.when(F.col("events") <= F.col("lo"), "idle").when(F.col("events") >= F.col("hi"), "busy").otherwise("normal")
     return s.crossJoin(F.broadcast(cut)).withColumn("state", state).drop("lo", "hi")  # one row of quantiles
 
 
+def active_by_bucket(log: DataFrame, width: int = 6 * HOUR) -> DataFrame:
+    """bucket, arrivals, active: cases that begin in each bucket, and cases that are open in it, from the first event's bucket to the last's.
+
+    A case adds one in its first bucket and takes it away after its last, so its length makes no rows; the sum runs over the table of buckets.
+    """
+    case = cases(log).groupBy("case_id").agg(F.floor(F.min("ts_us") / width).alias("a"), F.floor(F.max("ts_us") / width).alias("b"))
+    step = lambda at, came, d: F.struct(at.alias("bucket"), F.lit(came).alias("came"), F.lit(d).alias("d"))
+    steps = case.select(F.explode(F.array(step(F.col("a"), 1, 1), step(F.col("b") + 1, 0, -1))).alias("s"))
+    steps = steps.groupBy("s.bucket").agg(F.sum("s.came").alias("arrivals"), F.sum("s.d").alias("d"))
+    full = spine(log, width).join(steps, "bucket", "left").na.fill(0, ["arrivals", "d"])
+    return full.select("bucket", "arrivals", F.sum("d").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)).alias("active"))
+
+
 def inter_case_state(log: DataFrame, width: int = 6 * HOUR) -> DataFrame:
     """bucket, events, arrivals, active, gap_s, state: congested, bursty, slow or normal by quantiles."""
     bucket = lambda c: F.floor(F.col(c) / width)
@@ -59,10 +77,7 @@ def inter_case_state(log: DataFrame, width: int = 6 * HOUR) -> DataFrame:
     before = F.lag("last").over(Window.orderBy("bucket"))
     gaps, since = F.col("events") - before.isNull().cast("int"), F.col("last") - F.coalesce(before, F.col("first"))
     n = n.select("bucket", "events", (since / F.nullif(gaps, F.lit(0)) / 1e6).alias("gap_s"))
-    case = cases(log).groupBy("case_id").agg(F.min("ts_us").alias("a"), F.max("ts_us").alias("b"))
-    came = case.groupBy(bucket("a").alias("bucket")).agg(F.count(F.lit(1)).alias("arrivals"))
-    there = case.select(F.explode(F.sequence(bucket("a"), bucket("b"))).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("active"))
-    s = spine(log, width).join(n, "bucket", "left").join(came, "bucket", "left").join(there, "bucket", "left").na.fill(0, ["events", "arrivals", "active"]).na.fill(0.0, ["gap_s"])
+    s = active_by_bucket(log, width).join(n, "bucket", "left").na.fill(0, ["events"]).na.fill(0.0, ["gap_s"]).select("bucket", "events", "gap_s", "arrivals", "active")
     q = lambda c, p: F.percentile(c, F.lit(p))
     cut = s.agg(q("active", 0.9).alias("a90"), q("events", 0.9).alias("e90"), q("events", 0.1).alias("e10"))
     state = F.when(F.col("active") >= F.col("a90"), "congested").when(F.col("events") >= F.col("e90"), "bursty").when(F.col("events") <= F.col("e10"), "slow").otherwise("normal")
@@ -91,23 +106,24 @@ def state_transitions(states: DataFrame, key: list[str], at: str = "bucket") ->
     return n.withColumn("probability", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("from")), 6))
 
 
-def _sums(df: DataFrame, by: list[str], features: list[str]) -> DataFrame:
-    x = lambda f: F.col(f).cast("double")
-    aggs = [F.count(F.lit(1)).alias("n"), *(a for f in features for a in (F.sum(x(f)).alias(f"s_{f}"), F.sum(x(f) * x(f)).alias(f"q_{f}")))]
-    return df.groupBy(*by).agg(*aggs)
-
-
 def state_profile(states: DataFrame, features: list[str]) -> DataFrame:
-    """state, feature, inside, rest, difference in standard deviations of all. One pass: the rest is the total less the state."""
-    by = _sums(states, ["state"], features)
-    every = Window.partitionBy()
+    """state, feature, inside, rest, difference in standard deviations of all. Rows where a feature is null count for the others only.
+
+    One pass: counts, means and squared deviations by state are merged, so that no large squares are taken from each other; a feature that is the same
+    everywhere, but for what doubles can't hold, has no difference (null).
+    """
+    aggs = [a for i, f in enumerate(features) for a in (F.count(f).alias(f"__n{i}"), F.avg(F.col(f).cast("double")).alias(f"__m{i}"), (F.var_pop(f) * F.count(f)).alias(f"__q{i}"))]
+    by = states.groupBy("state").agg(*aggs)
+    every = Window.partitionBy()  # a row for each state
     rows = []
-    for f in features:
-        n, s = F.col("n"), F.col(f"s_{f}")
-        tn, ts, tq = (F.sum(c).over(every) for c in ("n", f"s_{f}", f"q_{f}"))
-        sd = F.sqrt((tq - ts * ts / tn) / (tn - 1))
-        inside, rest = s / n, (ts - s) / F.nullif(tn - n, F.lit(0))
-        rows.append(by.select("state", F.lit(f).alias("feature"), F.round(inside, 6).alias("inside"), F.round(rest, 6).alias("rest"), F.round((inside - rest) / F.nullif(sd, F.lit(0.0)), 6).alias("difference")))
+    for i, f in enumerate(features):
+        s = by.select("state", F.col(f"__n{i}").alias("n"), F.coalesce(f"__m{i}", F.lit(0.0)).alias("m"), F.coalesce(f"__q{i}", F.lit(0.0)).alias("q"))
+        s = s.withColumns({"tn": F.sum("n").over(every), "ts": F.sum(F.col("n") * F.col("m")).over(every)}).withColumn("mean", F.col("ts") / F.nullif("tn", F.lit(0)))
+        off = F.col("m") - F.col("mean")
+        s = s.withColumn("variance", F.sum(F.col("q") + F.col("n") * off * off).over(every) / F.nullif(F.col("tn") - 1, F.lit(0)))
+        sd = F.when(F.col("variance") > F.pow(F.col("mean") * 4e-15, F.lit(2)), F.sqrt("variance"))
+        inside, rest = F.when(F.col("n") > 0, F.col("m")), (F.col("ts") - F.col("n") * F.col("m")) / F.nullif(F.col("tn") - F.col("n"), F.lit(0))
+        rows.append(s.select("state", F.lit(f).alias("feature"), F.round(inside, 6).alias("inside"), F.round(rest, 6).alias("rest"), F.round((inside - rest) / sd, 6).alias("difference")))
     return reduce(DataFrame.unionAll, rows)
 
 
@@ -115,26 +131,27 @@ def border_conditions(states: DataFrame, key: list[str], features: list[str], at
     """state, feature, base, border, lift: the features k buckets before a state is entered (entering), or in the k-th last one before it is left."""
     w = Window.partitionBy(*key).orderBy(at)
     if entering:
-        s = states.withColumn("_border", F.lag("state").over(w) != F.col("state")).withColumns({f"_b_{f}": F.lag(f, k).over(w) for f in features})
+        s = states.withColumn("__border", F.lag("state").over(w) != F.col("state")).withColumns({f"__b_{f}": F.lag(f, k).over(w) for f in features})
     else:
-        s = states.withColumn("_border", F.lead("state").over(w) != F.col("state")).withColumns({f"_b_{f}": F.lag(f, k - 1).over(w) if k > 1 else F.col(f) for f in features})
+        s = states.withColumn("__border", F.lead("state").over(w) != F.col("state")).withColumns({f"__b_{f}": F.lag(f, k - 1).over(w) if k > 1 else F.col(f) for f in features})
     base = states.agg(*[F.avg(f).alias(f"base_{f}") for f in features])
-    border = s.where("_border").groupBy("state").agg(*[F.avg(f"_b_{f}").alias(f"border_{f}") for f in features]).crossJoin(F.broadcast(base))  # one row
+    border = s.where("__border").groupBy("state").agg(*[F.avg(f"__b_{f}").alias(f"border_{f}") for f in features]).crossJoin(F.broadcast(base))  # one row
     rows = [border.select("state", F.lit(f).alias("feature"), F.round(f"base_{f}", 6).alias("base"), F.round(f"border_{f}", 6).alias("border"), F.round(F.col(f"border_{f}") / F.nullif(F.col(f"base_{f}"), F.lit(0.0)), 6).alias("lift")) for f in features]
     return reduce(DataFrame.unionAll, rows)
 
 
 def zscores(df: DataFrame, features: list[str]) -> DataFrame:
     """z_<feature> for each feature; 0 where all rows are equal."""
-    stats = df.agg(*[a for f in features for a in (F.avg(f).alias(f"_m_{f}"), F.stddev_samp(f).alias(f"_d_{f}"))])
-    out = df.crossJoin(F.broadcast(stats))  # one row
-    return out.withColumns({f"z_{f}": F.coalesce((F.col(f) - F.col(f"_m_{f}")) / F.nullif(F.col(f"_d_{f}"), F.lit(0.0)), F.lit(0.0)) for f in features}).select(*df.columns, *[f"z_{f}" for f in features])
+    of = df.agg(F.struct(*[a for i, f in enumerate(features) for a in (F.avg(f).alias(f"m{i}"), F.stddev_samp(f).alias(f"d{i}"))]).alias("__stats"))
+    out = df.crossJoin(F.broadcast(of))  # one row
+    z = {f"z_{f}": F.coalesce((F.col(f) - F.col("__stats")[f"m{i}"]) / F.nullif(F.col("__stats")[f"d{i}"], F.lit(0.0)), F.lit(0.0)) for i, f in enumerate(features)}
+    return out.withColumns(z).drop("__stats")
 
 
 def state_vectors(df: DataFrame, features: list[str], into: str = "vector") -> DataFrame:
     """Assembled and standardised features."""
-    raw = VectorAssembler(inputCols=features, outputCol="_raw").transform(df)
-    return StandardScaler(inputCol="_raw", outputCol=into, withMean=True, withStd=True).fit(raw).transform(raw).drop("_raw")
+    raw = VectorAssembler(inputCols=features, outputCol="__raw").transform(df)
+    return StandardScaler(inputCol="__raw", outputCol=into, withMean=True, withStd=True).fit(raw).transform(raw).drop("__raw")
 
 
 def pca(vectors: DataFrame, k: int, col: str = "vector") -> tuple[DataFrame, DataFrame]:
@@ -145,56 +162,59 @@ def pca(vectors: DataFrame, k: int, col: str = "vector") -> tuple[DataFrame, Dat
 
 
 def cluster_states(vectors: DataFrame, k: int, seed: int = 7, col: str = "vector") -> DataFrame:
+    """vectors with their cluster of k-means (0 to k - 1); vectors must have no column of that name."""
     return KMeans(k=k, seed=seed, featuresCol=col, predictionCol="cluster", maxIter=20).fit(vectors).transform(vectors)
 
 
 def som_states(vectors: DataFrame, grid: tuple[int, int] = (3, 3), epochs: int = 5, col: str = "vector", seed: int = 7) -> DataFrame:
-    """Batch self-organising map: vectors with their cell.
+    """Batch self-organising map: vectors with their cell (null if there is none).
 
-    Each epoch assigns every vector to its best cell by an expression over the codebook's literals and sums vectors by cell; what returns to
-    the driver has a row for each cell and dimension. Neighbouring cells share their sums, less from epoch to epoch.
+    The vectors are staged once, and every epoch reads that table: it assigns each vector to its best cell by an expression over the codebook's literals, and sums
+    of cells are merged from partial sums of each partition, so a row for each cell returns to the driver. Neighbouring cells share their sums, less from epoch to epoch.
     """
     rows, cols = grid
     cells = rows * cols
-    x = vectors.withColumn("_x", vector_to_array(col))
-    stats = x.agg(F.max(F.size("_x"))).first()[0]
-    if not stats:
+    x = staged(vectors.select(F.struct(*[F.col(f"`{c}`") for c in vectors.columns]).alias("row"), vector_to_array(col).alias("x")), "som-vectors")
+    dims = x.agg(F.max(F.size("x"))).first()[0]
+    if not dims:
         return vectors.withColumn("cell", F.lit(None).cast("int"))
     place = np.array([(i // cols, i % cols) for i in range(cells)], float)
     far = ((place[:, None] - place[None]) ** 2).sum(2)
-    book = np.random.default_rng(seed).normal(0, 0.5, (cells, stats))
+    book = np.random.default_rng(seed).normal(0, 0.5, (cells, dims))
 
     def best(words: np.ndarray) -> F.Column:
-        gaps = [F.aggregate(F.zip_with("_x", F.array(*map(F.lit, w.tolist())), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v) for w in words]
+        gaps = [F.aggregate(F.zip_with("x", F.array(*map(F.lit, w.tolist())), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v) for w in words]
         return (F.array_position(F.array(*gaps), F.array_min(F.array(*gaps))) - 1).cast("int")
 
     for epoch in range(epochs):
-        sums = x.select(best(book).alias("cell"), F.posexplode("_x").alias("d", "v")).groupBy("cell", "d").agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("n")).collect()
+        sums = x.select(best(book).alias("cell"), array_to_vector("x").alias("v")).groupBy("cell").agg(Summarizer.sum(F.col("v")).alias("s"), F.count(F.lit(1)).alias("n")).collect()
         total, count = np.zeros_like(book), np.zeros(cells)
         for r in sums:
-            total[r["cell"], r["d"]], count[r["cell"]] = r["s"], r["n"]
+            total[r["cell"]], count[r["cell"]] = r["s"].toArray(), r["n"]
         reach = np.exp(-far / (2 * (max(rows, cols) / 2 * (1 - epoch / epochs) + 0.3) ** 2))
         weight = reach @ count
         book = np.where(weight[:, None] > 1e-9, (reach @ total) / np.maximum(weight, 1e-9)[:, None], book)
-    return x.withColumn("cell", best(book)).drop("_x")
+    return x.select("row.*", best(book).alias("cell"))
 
 
 def attach_state(events: DataFrame, states: DataFrame, key: str, at: str, state: str = "state") -> DataFrame:
-    """Events with the latest state of their key at or before them; states hold from their time on.
+    """Events with the latest state of their key at or before them; states hold from their time on. A column of events with the state's name is replaced; a null key is a key like any other.
 
     As-of by union: within a day states and events are ordered together; a day begins with the last state of earlier days, from a table with a row for each key and day.
     """
-    e = events.select(*events.columns, F.col("ts_us").alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast("string").alias("_s"))
-    s = states.select(key, F.col(at).alias("_t"), F.lit(0).alias("_kind"), F.col(state).alias("_s"))
-    both = e.unionByName(s, allowMissingColumns=True).withColumn("_day", F.floor(F.col("_t") / DAY))
-    last = both.groupBy(key, "_day").agg(F.max_by("_s", F.when(F.col("_s").isNotNull(), F.col("_t"))).alias("_end"))
-    last = last.select(key, "_day", F.last("_end", ignorenulls=True).over(Window.partitionBy(key).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
-    here = F.last("_s", ignorenulls=True).over(Window.partitionBy(key, "_day").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0))
-    out = both.withColumn("_here", here).where("_kind = 1").join(last, [key, "_day"], "left")
-    return out.select(*events.columns, F.coalesce("_here", "_carry").alias(state))
+    whole = F.struct(*[F.col(f"`{c}`") for c in events.columns])
+    e = events.select(F.col(f"`{key}`").alias("key"), F.col("ts_us").alias("t"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("s"), whole.alias("event"))
+    s = states.select(F.col(f"`{key}`").alias("key"), F.col(f"`{at}`").alias("t"), F.lit(0).alias("kind"), F.col(f"`{state}`").alias("s"), F.lit(None).cast(e.schema["event"].dataType).alias("event"))
+    both = e.unionByName(s).withColumn("day", F.floor(F.col("t") / DAY))
+    last = both.groupBy("key", "day").agg(F.max_by("s", F.when(F.col("s").isNotNull(), F.col("t"))).alias("end"))
+    last = last.select("key", "day", F.last("end", ignorenulls=True).over(Window.partitionBy("key").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)).alias("carry"))
+    here = F.last("s", ignorenulls=True).over(Window.partitionBy("key", "day").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    out = same_key_join(both.withColumn("here", here).where("kind = 1"), last, ["key", "day"], "left")
+    return out.select(*[F.col("event")[c].alias(c) for c in events.columns if c != state], F.coalesce("here", "carry").alias(state))
 
 
 def state_runs(states: DataFrame, key: list[str], at: str = "bucket") -> DataFrame:
+    """Stretches of equal states of each key: see windows.runs."""
     return runs(states, key, at)
 
 

@@ -1,6 +1,6 @@
 """Steps within cases, resources and the whole log, without a window over all events in one task.
 
-Events without case id belong to no case: they stay, with nulls for what only a case has. Columns named __bucket, __prev, __carry and the like are these functions' own.
+Events without case id belong to no case: they stay, with nulls for what only a case has. Events without resource are those of the resource null. Columns named __bucket, __prev, __carry and the like are these functions' own.
 """
 
 from __future__ import annotations
@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseloom.operators.log import DAY, ORDER, STRETCH, apart, cases, quantile
+from caseloom.operators.log import DAY, ORDER, STRETCH, apart, cases, same_key_join
+from caseloom.operators.stage import staged
 
 
 def in_case() -> Window:
@@ -30,7 +31,7 @@ def previous(df: DataFrame, key: list[str], values: list[str], order: tuple[str,
     ends = df.groupBy(*key, "__bucket").agg(F.max_by(pair, F.struct(*order)).alias("__last"))
     ends = ends.withColumn("__carry", F.lag("__last").over(Window.partitionBy(*key).orderBy("__bucket"))).drop("__last")
     inside = F.lag(pair).over(Window.partitionBy(*key, "__bucket").orderBy(*order))
-    out = df.withColumn("__prev", inside).join(ends, [*key, "__bucket"], "left")
+    out = df.withColumn("__prev", inside).transform(same_key_join, ends, [*key, "__bucket"], "left")
     got = F.coalesce("__prev", "__carry")
     return out.withColumns({f"{prefix}{v}": got[v] for v in values}).drop("__bucket", "__prev", "__carry")
 
@@ -41,10 +42,11 @@ def running_sum(df: DataFrame, key: list[str], value: str, into: str, order: tup
     held = df.groupBy(*key, "__bucket").agg(F.sum(value).alias("__carry"))
     held = held.withColumn("__carry", F.sum("__carry").over(Window.partitionBy(*key).orderBy("__bucket")) - F.col("__carry"))
     inside = F.sum(value).over(Window.partitionBy(*key, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("__own", inside).join(held, [*key, "__bucket"]).withColumn(into, F.col("__own") + F.col("__carry")).drop("__bucket", "__own", "__carry")
+    return df.withColumn("__own", inside).transform(same_key_join, held, [*key, "__bucket"]).withColumn(into, F.col("__own") + F.col("__carry")).drop("__bucket", "__own", "__carry")
 
 
 def time_since_previous(log: DataFrame) -> DataFrame:
+    """gap_us: time since the event before in the case; null for the first and for events without case."""
     return log.withColumn("gap_us", F.col("ts_us") - F.lag("ts_us").over(in_case()))
 
 
@@ -57,6 +59,35 @@ def prefix(log: DataFrame, k: int = 10) -> DataFrame:
     return log.withColumns({"idx": of_case(F.row_number().over(in_case())), "prefix": of_case(F.array_join(F.collect_list("activity").over(in_case().rowsBetween(1 - k, 0)), ">"))})
 
 
+def prefix_nodes(log: DataFrame) -> DataFrame:
+    """The events of cases, with idx, node and parent: node names the sequence of the case's activities up to the event, so that equal sequences have equal names.
+
+    The names come by prefix doubling, not by strings that would take the square of a case's length: after k rounds an event knows the last 2^k activities up to itself (fewer at the
+    case's start), and each round joins two such stretches end to end. So a case of n events takes log2(n) windows over the same order, and 32 digits an event. Names are
+    128-bit hashes. parent is null for a case's first event; a null activity is one like any other.
+    """
+    w = in_case()
+    out = cases(log).withColumns({"idx": F.row_number().over(w), "node": F.md5(F.coalesce(F.concat(F.lit("="), F.col("activity").cast("string")), F.lit("")))})
+    longest = cases(log).groupBy("case_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    reach = 1
+    while reach < longest:
+        before = F.lag("node", reach).over(w)
+        out = out.withColumn("node", F.when(before.isNull(), F.col("node")).otherwise(F.md5(F.concat(F.lit(">"), before, F.col("node")))))
+        reach *= 2
+    return out.withColumn("parent", F.lag("node").over(w))
+
+
+def prefix_tree(log: DataFrame) -> DataFrame:
+    """The tree of all sequences so far: node, parent, activity, depth, cases that pass it, cases that end in it, first_event (the least event_id there) and parent's first_event.
+
+    Each event is in one node, so the tree has no more rows than the log; the cases that end in a node are those of one variant.
+    """
+    e = prefix_nodes(log).withColumn("__end", F.lead("event_id").over(in_case()).isNull().cast("bigint"))
+    tree = e.groupBy("node").agg(F.first("parent").alias("parent"), F.first("activity").alias("activity"), F.first("idx").alias("depth"), F.count(F.lit(1)).alias("cases"), F.sum("__end").alias("ends"), F.min("event_id").alias("first_event"))
+    above = tree.select(F.col("node").alias("parent"), F.col("first_event").alias("parent_event"))
+    return tree.join(above, "parent", "left")
+
+
 def prefix_counts(log: DataFrame, activities: list[str]) -> DataFrame:
     """How often each activity has occurred in the case so far."""
     so_far = in_case().rowsBetween(Window.unboundedPreceding, 0)
@@ -100,14 +131,22 @@ def active_cases(log: DataFrame, stretch: int = STRETCH) -> DataFrame:
 
 
 def queue_wait(log: DataFrame) -> DataFrame:
+    """wait_us: start less the completion before it in the case; null for the first and for events without case, negative where events overlap."""
     return log.withColumn("wait_us", F.col("start_us") - F.lag("ts_us").over(in_case()))
 
 
 def gap_stats(log: DataFrame, accuracy: int | None = None) -> DataFrame:
-    """Idle time after an activity until the next start in the case. For large logs give an accuracy (see quantile)."""
+    """Idle time after an activity until the next start in the case. The median is exact, by selection in several passes; with accuracy, approximate in one."""
+    from caseloom.operators.quantiles import exact_quantiles
+
     gap = (F.lead("start_us").over(in_case()) - F.col("ts_us")) / 1e6
-    g = cases(log).withColumn("gap", gap).where("gap IS NOT NULL")
-    return g.groupBy("activity").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("gap"), 6).alias("mean_s"), F.round(quantile("gap", 0.5, accuracy), 6).alias("median_s"))
+    g = cases(log).select("activity", gap.alias("gap")).where("gap IS NOT NULL")
+    basic = [F.count(F.lit(1)).alias("n"), F.round(F.avg("gap"), 6).alias("mean_s")]
+    if accuracy is not None:
+        return g.groupBy("activity").agg(*basic, F.round(F.percentile_approx("gap", 0.5, accuracy), 6).alias("median_s"))
+    g = staged(g, "gaps")
+    known = same_key_join(g.groupBy("activity").agg(*basic), exact_quantiles(g, ["activity"], F.col("gap"), [0.5]), ["activity"], "left")
+    return known.select("activity", "n", "mean_s", F.round("q0", 6).alias("median_s"))
 
 
 def resource_idle(log: DataFrame) -> DataFrame:
@@ -116,7 +155,7 @@ def resource_idle(log: DataFrame) -> DataFrame:
 
 
 def cross_case_edges(log: DataFrame, within: int) -> DataFrame:
-    """Consecutive events of different cases on one resource, at most within microseconds apart."""
+    """Consecutive events of different cases on one resource, at most within microseconds apart. Events without case are in no pair."""
     e = previous(log, ["resource"], ["ts_us", "case_id", "event_id"])
     e = e.where((F.col("prev_case_id") != F.col("case_id")) & (F.col("ts_us") - F.col("prev_ts_us") <= within))
     return e.select("resource", F.col("prev_event_id").alias("from_event"), F.col("event_id").alias("to_event"), (F.col("ts_us") - F.col("prev_ts_us")).alias("gap_us"))
@@ -129,6 +168,7 @@ def directly_follows(log: DataFrame) -> DataFrame:
 
 
 def handover(log: DataFrame, other_only: bool = True) -> DataFrame:
+    """r1, r2, n: how often work in a case goes from one resource to the next. Events without resource hand nothing over and get nothing."""
     e = cases(log).select(F.col("resource").alias("r1"), F.lead("resource").over(in_case()).alias("r2")).where("r2 IS NOT NULL")
     return (e.where("r1 != r2") if other_only else e).groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("n"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from caseloom.functions import arrivals as fa
 from caseloom.operators import drift, log, ocel, resources, states, windows
-from caseloom.plans.views import DAY, E_SQL, HOUR, L_SQL, O_SQL, event_log, item_log, object_log, table
+from caseloom.plans.views import DAY, E_SQL, HOUR, L_SQL, O_SQL, PARTIAL_SQL, event_log, item_log, object_log, partial_log, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,8 +25,13 @@ def _add(name: str, build: Callable[[SparkSession, str], DataFrame], sql: str |
         ORACLES[name] = sql
 
 
+#: What queries on a view do with it, to do the same with another one.
+_BUILDS: dict[str, Callable] = {}
+
+
 def _on(view, views_sql: str):
     def add(name: str, build: Callable, sql: str | None = None) -> None:
+        _BUILDS[name] = build
         full = f"WITH {views_sql}{',' if sql and sql.lstrip().startswith(',') else ''} {sql.lstrip().lstrip(',')}" if sql else None
         _add(name, lambda s, d: build(view(s, d)), full)
 
@@ -93,13 +98,13 @@ objects(
 e("cases_with", lambda x: log.cases_with(x, "error"), "SELECT DISTINCT case_id FROM E WHERE activity = 'error'")
 e("cases_without", lambda x: log.cases_without(x, "error"), "SELECT DISTINCT case_id FROM E WHERE case_id NOT IN (SELECT case_id FROM E WHERE activity = 'error')")
 OVER = """OV AS (SELECT a.resource, a.event_id AS event_a, b.event_id AS event_b, greatest(a.start_us, b.start_us) AS from_us, least(a.ts_us, b.ts_us) - greatest(a.start_us, b.start_us) AS overlap_us
-  FROM E a JOIN E b ON a.resource = b.resource AND a.event_id < b.event_id AND a.case_id <> b.case_id AND a.start_us < b.ts_us AND b.start_us < a.ts_us)"""
+  FROM E a JOIN E b ON a.resource IS NOT DISTINCT FROM b.resource AND a.event_id < b.event_id AND a.case_id <> b.case_id AND a.start_us < b.ts_us AND b.start_us < a.ts_us)"""
 e("overlapping_cases", resources.overlapping_cases, f", {OVER} SELECT * FROM OV")
 # States, used by several queries
 LAGS = f"LG AS (SELECT *, ts_us // {DAY} AS bucket, lag(resource) OVER w AS frm, start_us - lag(ts_us) OVER w AS wait, lag(ts_us) OVER w AS prev FROM E {W})"
 RS = f"""{LAGS}, SP AS (SELECT unnest(range(min(ts_us) // {DAY}, max(ts_us) // {DAY} + 1)) AS bucket FROM E),
 RN AS (SELECT resource, bucket, count(*) AS events, count(DISTINCT case_id) AS cases, count(DISTINCT activity) AS activities, coalesce(sum((frm <> resource)::INT), 0)::BIGINT AS handovers, sum(wait)::DOUBLE / count(wait) / 1e6::DOUBLE AS wait_s FROM LG GROUP BY ALL),
-RF AS (SELECT resource, bucket, coalesce(events, 0) AS events, coalesce(cases, 0) AS cases, coalesce(activities, 0) AS activities, coalesce(handovers, 0) AS handovers, coalesce(wait_s, 0) AS wait_s FROM (SELECT DISTINCT resource FROM E) CROSS JOIN SP LEFT JOIN RN USING (resource, bucket)),
+RF AS (SELECT resource, bucket, coalesce(events, 0) AS events, coalesce(cases, 0) AS cases, coalesce(activities, 0) AS activities, coalesce(handovers, 0) AS handovers, coalesce(wait_s, 0) AS wait_s FROM (SELECT RD.resource, SP.bucket, events, cases, activities, handovers, wait_s FROM (SELECT DISTINCT resource FROM E) RD CROSS JOIN SP LEFT JOIN RN ON RN.resource IS NOT DISTINCT FROM RD.resource AND RN.bucket = SP.bucket)),
 RS AS (SELECT *, CASE WHEN events <= (SELECT quantile_cont(events, 0.25) FROM RF) THEN 'idle' WHEN events >= (SELECT quantile_cont(events, 0.9) FROM RF) THEN 'busy' ELSE 'normal' END AS state FROM RF)"""
 B6 = 6 * HOUR
 IC = f"""GG AS (SELECT ts_us // {B6} AS bucket, ts_us - lag(ts_us) OVER (ORDER BY ts_us, event_id) AS gap FROM E), CS AS (SELECT case_id, min(ts_us) AS a, max(ts_us) AS b FROM E GROUP BY case_id),
@@ -128,7 +133,7 @@ def _day_frequency(x: DataFrame) -> DataFrame:
 
 FR = f"{RS}, {_freq_sql('RS', 'bucket', 'FR')}"
 DI = f"{FR}, {_distance_sql('FR', 'DI')}"
-e("asof_state", lambda x: states.attach_state(x.drop(*DROP), states.resource_state(x).select("resource", ((F.col("bucket") + 1) * DAY).alias("at"), "state"), "resource", "at").select("event_id", "resource", "state"), f", {RS} SELECT event_id, E.resource, RS.state FROM E LEFT JOIN RS ON RS.resource = E.resource AND RS.bucket = E.ts_us // {DAY} - 1")
+e("asof_state", lambda x: states.attach_state(x.drop(*DROP), states.resource_state(x).select("resource", ((F.col("bucket") + 1) * DAY).alias("at"), "state"), "resource", "at").select("event_id", "resource", "state"), f", {RS} SELECT event_id, E.resource, RS.state FROM E LEFT JOIN RS ON RS.resource IS NOT DISTINCT FROM E.resource AND RS.bucket = E.ts_us // {DAY} - 1")
 EDGES = f"EG AS (SELECT resource, lag(event_id) OVER r AS from_event, event_id AS to_event, ts_us - lag(ts_us) OVER r AS gap_us, lag(case_id) OVER r AS pc, case_id FROM E WINDOW r AS (PARTITION BY resource ORDER BY ts_us, event_id))"
 e("cross_case_edges", lambda x: windows.cross_case_edges(x, 2 * HOUR), f", {EDGES} SELECT resource, from_event, to_event, gap_us FROM EG WHERE pc <> case_id AND gap_us <= {2 * HOUR}")
 # Aggregates
@@ -171,7 +176,7 @@ e(
     "resource_workload",
     resources.resource_workload,
     f""", P AS (SELECT *, unnest(range(start_us // {DAY}, greatest(start_us // {DAY}, (ts_us - 1) // {DAY}) + 1)) AS bucket FROM E)
-    SELECT resource, bucket, count(*) FILTER (bucket = (ts_us - 1) // {DAY}) AS events, count(DISTINCT case_id) FILTER (bucket = (ts_us - 1) // {DAY}) AS cases, sum(least(ts_us, (bucket + 1) * {DAY}) - greatest(start_us, bucket * {DAY}))::BIGINT AS busy_us FROM P GROUP BY ALL""",
+    SELECT resource, bucket, count(*) FILTER (bucket = greatest(start_us // {DAY}, (ts_us - 1) // {DAY})) AS events, count(DISTINCT case_id) FILTER (bucket = greatest(start_us // {DAY}, (ts_us - 1) // {DAY})) AS cases, sum(least(ts_us, (bucket + 1) * {DAY}) - greatest(start_us, bucket * {DAY}))::BIGINT AS busy_us FROM P GROUP BY ALL""",
 )
 e(
     "pool_utilisation",
@@ -192,6 +197,13 @@ e(
 e("time_since_previous", lambda x: windows.time_since_previous(x).select("event_id", "gap_us"), f"SELECT event_id, ts_us - lag(ts_us) OVER w AS gap_us FROM E {W}")
 e("elapsed_in_case", lambda x: windows.elapsed_in_case(x).select("event_id", "elapsed_us"), "SELECT event_id, ts_us - min(ts_us) OVER (PARTITION BY case_id) AS elapsed_us FROM E")
 e("prefix_k", lambda x: windows.prefix(x, 3).select("event_id", "idx", "prefix"), f"SELECT event_id, row_number() OVER w AS idx, concat_ws('>', lag(activity, 2) OVER w, lag(activity) OVER w, activity) AS prefix FROM E {W}")
+e(
+    "prefix_tree",
+    lambda x: windows.prefix_tree(x).select("first_event", "parent_event", "activity", F.col("depth").cast("bigint").alias("depth"), "cases", "ends"),
+    f""", PX AS (SELECT event_id, activity, row_number() OVER w AS depth, lead(event_id) OVER w IS NULL AS last, string_agg(activity, '>') OVER (PARTITION BY case_id ORDER BY ts_us, event_id ROWS UNBOUNDED PRECEDING) AS path FROM E {W}),
+    PN AS (SELECT path, min(event_id) AS first_event, min(activity) AS activity, min(depth) AS depth, count(*) AS cases, count(*) FILTER (last) AS ends FROM PX GROUP BY path)
+    SELECT a.first_event, b.first_event AS parent_event, a.activity, a.depth, a.cases, a.ends FROM PN a LEFT JOIN PN b ON a.path = b.path || '>' || a.activity""",
+)
 e("prefix_counts", lambda x: windows.prefix_counts(x, ["view", "error"]).select("event_id", "n_view", "n_error"), "SELECT event_id, " + ", ".join(f"count(*) FILTER (activity = '{a}') OVER (PARTITION BY case_id ORDER BY ts_us, event_id ROWS UNBOUNDED PRECEDING) AS n_{a}" for a in ("view", "error")) + " FROM E")
 e("global_gap", lambda x: windows.global_gap(x).select("event_id", "gap_us"), "SELECT event_id, ts_us - lag(ts_us) OVER (ORDER BY ts_us, event_id) AS gap_us FROM E")
 e("trailing_rate", lambda x: windows.trailing_rate(x, DAY).select("event_id", "in_window"), f"SELECT event_id, count(*) OVER (PARTITION BY resource ORDER BY ts_us RANGE BETWEEN {DAY} PRECEDING AND CURRENT ROW) AS in_window FROM E")
@@ -304,7 +316,7 @@ e(
     lambda x: drift.drift_evaluation(_points(x), _known(x), 4),
     f", {CP}, {KN}, HI AS (SELECT known, bucket, bucket - known AS delay FROM CP JOIN KN ON bucket BETWEEN known AND known + 4), FH AS (SELECT known, min(delay) AS delay FROM HI GROUP BY known) SELECT (SELECT count(*) FROM CP) AS detected, (SELECT count(*) FROM KN) AS known, round((SELECT count(DISTINCT bucket) FROM HI) / nullif((SELECT count(*) FROM CP), 0), 6) AS precision, round((SELECT count(*) FROM FH) / nullif((SELECT count(*) FROM KN), 0), 6) AS recall, (SELECT round(avg(delay), 6) FROM FH) AS mean_delay",
 )
-CO = f"CW AS (SELECT resource, ts_us // {DAY} AS bucket, coalesce(sum(greatest(w, 0)), 0)::BIGINT AS wait_us FROM (SELECT resource, ts_us, start_us - lag(ts_us) OVER w AS w FROM E {W}) GROUP BY ALL), {OVER}, CPR AS (SELECT resource, from_us // {DAY} AS bucket, count(*) AS pairs FROM OV GROUP BY ALL), CO AS (SELECT resource, bucket, coalesce(pairs, 0) AS pairs, coalesce(wait_us, 0) AS wait_us FROM CW FULL JOIN CPR USING (resource, bucket))"
+CO = f"CW AS (SELECT resource, ts_us // {DAY} AS bucket, coalesce(sum(greatest(w, 0)), 0)::BIGINT AS wait_us FROM (SELECT resource, ts_us, start_us - lag(ts_us) OVER w AS w FROM E {W}) GROUP BY ALL), {OVER}, CPR AS (SELECT resource, from_us // {DAY} AS bucket, count(*) AS pairs FROM OV GROUP BY ALL), CO AS (SELECT resource, bucket, coalesce(pairs, 0) AS pairs, coalesce(wait_us, 0) AS wait_us FROM (SELECT coalesce(CW.resource, CPR.resource) AS resource, coalesce(CW.bucket, CPR.bucket) AS bucket, pairs, wait_us FROM CW FULL JOIN CPR ON CW.resource IS NOT DISTINCT FROM CPR.resource AND CW.bucket = CPR.bucket))"
 e("resource_contention", resources.resource_contention, f", {CO} SELECT * FROM CO")
 e(
     "batching",
@@ -314,7 +326,7 @@ e(
 
 
 def _active(x: DataFrame) -> DataFrame:
-    return states.inter_case_state(x, DAY).select("bucket", "active")
+    return states.active_by_bucket(x, DAY).select("bucket", "active")
 
 
 def _residual(x: DataFrame) -> DataFrame:
@@ -328,3 +340,7 @@ e(
     lambda x: resources.shift_context(states.state_runs(states.resource_state(x), ["resource"]), resources.resource_contention(x), _active(x), _residual(x)),
     f", {RUNS}, {CO}, {AC}, {EX}, AR AS (SELECT f // {B6} * {B6} AS bucket_us, count(*) AS observed FROM (SELECT min(ts_us) AS f FROM E GROUP BY case_id) GROUP BY 1), AD AS (SELECT bucket_us // {DAY} AS bucket, sum(round(coalesce(observed, 0) - expected * 6, 6)) AS residual FROM EX LEFT JOIN AR USING (bucket_us) GROUP BY 1), AF AS (SELECT bucket, coalesce(active, 0) AS active FROM SP LEFT JOIN AC USING (bucket)), SC AS (SELECT RU.resource, enter AS bucket, state, coalesce(pairs, 0) AS pairs, coalesce(wait_us, 0) AS wait_us, coalesce(active, 0) AS active, round(coalesce(residual, 0), 4) AS residual FROM RU LEFT JOIN AD ON AD.bucket = enter LEFT JOIN CO ON CO.resource = RU.resource AND CO.bucket = enter LEFT JOIN AF ON AF.bucket = enter WHERE run > 1) SELECT *, round(pairs / nullif((SELECT avg(pairs) FROM CO), 0), 6) AS pairs_lift, round(wait_us / nullif((SELECT avg(wait_us) FROM CO), 0), 6) AS wait_lift, round(active / nullif((SELECT avg(active) FROM AF), 0), 6) AS active_lift FROM SC",
 )
+
+# The same operators where events lack a resource or take no time
+for _name in ("resource_workload", "resource_state", "overlapping_cases", "resource_contention", "batching", "cross_case_edges", "resource_idle", "asof_state"):
+    QUERIES[f"{_name}_partial"], ORACLES[f"{_name}_partial"] = (lambda s, d, build=_BUILDS[_name]: build(partial_log(s, d))), ORACLES[_name].replace(E_SQL, PARTIAL_SQL)

@@ -45,6 +45,17 @@ E_SQL = """E AS (SELECT user_id || '-' || strftime(ts, '%Y-%m-%d') AS case_id, e
   CAST(json_extract_string(props, '$.k') AS BIGINT) % 3 AS pool, value, event_id FROM events)"""
 
 
+def partial_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log with gaps: a fifth of the resources is missing, and each seventh event has a day for its time and no duration."""
+    k, day = F.col("resource").cast("bigint"), F.col("event_id") % 7 == 0
+    at = F.when(day, F.floor(F.col("ts_us") / DAY) * DAY).otherwise(F.col("ts_us"))
+    return event_log(spark, sf_dir).withColumns({"resource": F.when(k % 5 != 0, F.col("resource")), "start_us": F.when(day, at).otherwise(F.col("start_us")), "ts_us": at})
+
+
+PARTIAL_SQL = E_SQL.replace("E AS (", "E0 AS (", 1) + f""", E AS (SELECT case_id, activity, CASE WHEN event_id % 7 = 0 THEN ts_us // {DAY} * {DAY} ELSE ts_us END AS ts_us,
+  CASE WHEN event_id % 7 = 0 THEN ts_us // {DAY} * {DAY} ELSE start_us END AS start_us, CASE WHEN CAST(resource AS BIGINT) % 5 != 0 THEN resource END AS resource, pool, value, event_id FROM E0)"""
+
+
 def item_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A case is an order, an event one of its line items; the log before 1998-06-01 is log0, from then on log1."""
     x = table(spark, sf_dir, "lineitem")
