@@ -6,7 +6,8 @@ approximation stored, its distance to a query differs from ``norm - 2 * sum(quer
 table for each query. The best of that scoring are ranked again by exact distance.
 
 Not all codes are scored for each query: vectors are kept in lists by their nearest coarse centre, and a query looks into as many lists, nearest
-first, as on the sample hold COVERED of all true neighbours. Where vectors have no clusters these are most lists; where they have, few.
+first, as on the sample hold COVERED of all true neighbours, and into more until they hold as many vectors as candidates are wanted, so that no answer is short because lists are.
+Where vectors have no clusters these are most lists; where they have, few.
 
 Equal vectors are indexed once, with the few smallest ids that any answer can need; so large groups of copies
 neither crowd the candidates nor meet in one task.
@@ -143,12 +144,16 @@ def _encode(model):
     return run
 
 
-def _ask(model):
+def _ask(model, held, least: int):
+    """Queries with the lists that they look into: as many as the model says, and on until these hold at least so many vectors. held: vectors by list."""
+
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                near = model.value.nearest_lists(np.array(batch.column("vec").to_pylist(), np.float64), model.value.probes)
-                yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec"), pa.array(near.tolist(), pa.list_(pa.int32())), pa.array(near[:, 0])], ["query_id", "vec", "lists", "home"])
+                near = model.value.nearest_lists(np.array(batch.column("vec").to_pylist(), np.float64), len(held))
+                enough = (np.cumsum(np.array(held)[near], axis=1) < least).sum(1) + 1
+                lists = [row[: max(model.value.probes, n)].tolist() for row, n in zip(near, enough.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec"), pa.array(lists, pa.list_(pa.int32())), pa.array(near[:, 0])], ["query_id", "vec", "lists", "home"])
 
     return run
 
@@ -201,7 +206,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, shortlist: int
     model = spark.sparkContext.broadcast(fit_model(classes.select(F.col("rep").alias("id"), "vec")))
     asked = asked.where(F.size("vec") == model.value.dims)
     index = staged(classes.select("rep", "vec").mapInArrow(_encode(model), "rep long, list int, codes binary, norm double"), "ann-codes")
-    probing = staged(asked.mapInArrow(_ask(model), f"query_id long, vec {asked.schema['vec'].dataType.simpleString()}, lists array<int>, home int"), "ann-probes")
+    sizes = {r["list"]: r["n"] for r in index.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # LISTS rows at most
+    held = [sizes.get(i, 0) for i in range(len(model.value.centres))]
+    probing = staged(asked.mapInArrow(_ask(model, held, max(shortlist, k + 1)), f"query_id long, vec {asked.schema['vec'].dataType.simpleString()}, lists array<int>, home int"), "ann-probes")
     # Cells of bounded size: queries of neighbouring lists in blocks, by slices of the codes in the lists that a block looks into.
     homes = probing.groupBy("home").agg(F.count(F.lit(1)).alias("n"))  # a row for each list, LISTS at most
     before = F.coalesce(F.sum("n").over(Window.orderBy("home").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

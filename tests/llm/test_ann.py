@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
@@ -32,13 +33,13 @@ def test_recall_ties_and_odd_vectors(spark, vectors):
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     want = brute(vectors)
     assert set(got) == set(want)
-    hit = 0
+    hit, of = 0, {i: np.array(v, float) for i, v in vectors if i is not None and v and None not in v}
     for q, rows in got.items():
         rows.sort()
         assert [r[0] for r in rows] == list(range(1, 11))
         assert [(s, i) for _, i, s in rows] == sorted((s, i) for _, i, s in rows)
         hit += len({i for _, i, _ in rows} & {i for _, i in want[q]})
-        assert [r[2] for r in rows] == pytest.approx([s for s, _ in want[q]], rel=1e-9) or hit < 10 * len(want)
+        assert [s for _, _, s in rows] == pytest.approx([float(np.sqrt(((of[q] - of[i]) ** 2).sum())) for _, i, _ in rows], rel=1e-12)
     assert hit >= 0.9 * 10 * len(want)
     hot = sorted(got[600])
     assert [i for _, i, _ in hot] == [5, *range(601, 610)] and {s for _, _, s in hot} == {0.0}
@@ -50,6 +51,28 @@ def test_few_and_no_vectors(spark):
     assert ann.nearest(df.limit(0), df).count() == 0 and ann.nearest(df, df.limit(0)).count() == 0
 
 
+def test_far_queries_find_ten_too(spark, monkeypatch):
+    """2,000 vectors in tight clusters and three far ones, which a starting centre is drawn from: their list holds three vectors, their answers ten."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(100, 8)) * 10
+    x = np.concatenate([centres[rng.integers(0, 100, 2000)] + 0.01 * rng.normal(size=(2000, 8)), 1000 + rng.normal(size=(3, 8))])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    fitted = []
+
+    def fit(vectors):
+        m = ann._fit(pd.DataFrame(rows, columns=["id", "vec"]), 22).iloc[0]
+        fitted.append(ann.Model(8, m["books"], np.concatenate([np.frombuffer(m["centres"], "<f8").reshape(-1, 8), x[2000:2001]]).tobytes(), 1))
+        return fitted[0]
+
+    monkeypatch.setattr(ann, "fit_model", fit)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(df, df.where("vec_id % 100 = 0 OR vec_id >= 2000")).toPandas()
+    assert fitted[0].probes == 1 and (got.groupby("query_id").size() == 10).all() and got["query_id"].nunique() == 23
+    for q in (2000, 2001, 2002):
+        far = np.sqrt(((x - x[q]) ** 2).sum(1))
+        assert got[got.query_id == q].sort_values("rank")["vec_id"].tolist()[:2] == np.argsort(far)[1:3].tolist()
+
+
 def test_beam_search_is_no_worse_than_greedy():
     rng = np.random.default_rng(1)
     x, books = rng.normal(size=(200, 8)), rng.normal(size=(4, 16, 8)) * 0.5
