@@ -5,7 +5,7 @@ rarest line, so runs are the rare keys by which overlapping documents are found.
 documents hold links every later document to the first one that holds it; so there are never more pairs than shared runs.
 Every line of a common block of enough words lies in a run within the block, so no block is missed, whichever documents hold
 its lines one by one. Each pair is aligned by patience diff, anchored at the lines that are rarest: those that
-either document holds once. Common blocks of enough words are deleted from the later document
+either document holds once. Common blocks of enough words, as the alignment pairs them, are deleted from the later document
 (the one with the larger doc_id). Alignment works on line hashes alone; texts are read once more to delete.
 """
 
@@ -73,36 +73,57 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common_blocks(later: list, words: list[int], first: list, least: int) -> list[int]:
-    """Lines of later that lie in a common block of at least so many words; blocks that moved are found by aligning what is left again.
+def block_places(later: list, words: list[int], first: list, least: int) -> list[tuple[int, int]]:
+    """Lines of later that lie in a common block of at least so many words, each with the line of first that it repeats.
 
-    Blocks pass over blank lines (None), which are no part of them. An aligned block that is too small may be bound to the wrong one of
-    several equal lines, or be cut off from a larger one: then all runs of later are looked up in first.
+    The alignment decides: its blocks go as it pairs them, then what is left is aligned again, which finds blocks that moved. Blocks pass over blank lines (None), which are no part of
+    them. An aligned block that is too small may be bound to the wrong one of several equal lines, or be cut off from a larger one; only where that
+    happened, the runs of later are looked up in first too, and lines which the alignment left are added, with the first place where their run stands.
     """
-    at = [i for i, x in enumerate(later) if x is not None]
+    at, there = ([i for i, x in enumerate(lines) if x is not None] for lines in (later, first))
     sizes = [words[i] for i in at]
-    a, b = [later[i] for i in at], [x for x in first if x is not None]
-    left, gone = list(a), []
+    a, b = [later[i] for i in at], [first[j] for j in there]
+    left, place, small = list(a), {}, False
     while pairs := patience(left, b):
-        block: list[int] = []
+        block, found = [], False
         for n, (i, j) in enumerate(pairs):
-            block.append(i)
+            block.append((i, j))
             if n + 1 == len(pairs) or pairs[n + 1] != (i + 1, j + 1):
-                if sum(sizes[k] for k in block) < least:
-                    return [at[k] for k in _in_common_runs(a, sizes, b, least)]
-                gone += block
-                for k in block:
-                    left[k] = None
+                if sum(sizes[k] for k, _ in block) >= least:
+                    found = True
+                    place |= dict(block)
+                    for k, _ in block:
+                        left[k] = None
+                else:
+                    small = True
                 block = []
-    return [at[k] for k in sorted(gone)]
+        if not found:
+            break
+    if small:
+        place = _in_common_runs(a, sizes, b, least) | place
+    return sorted((at[k], there[j]) for k, j in place.items())
 
 
-def _in_common_runs(a: list, words: list[int], b: list, least: int) -> list[int]:
-    """Lines of a that lie in a run of at least so many words which b has too."""
+def common_blocks(later: list, words: list[int], first: list, least: int) -> list[int]:
+    """Lines of later that lie in a common block of at least so many words."""
+    return [i for i, _ in block_places(later, words, first, least)]
+
+
+def _in_common_runs(a: list, words: list[int], b: list, least: int) -> dict[int, int]:
+    """Lines of a that lie in a run of at least so many words which b has too, with the first place of the first such run."""
     starts, ends = runs(np.array(words), np.array([0, len(words)]), least)
     spans = list(zip(starts.tolist(), ends.tolist(), strict=True))
-    held = {n: {tuple(b[j : j + n]) for j in range(len(b) - n + 1)} for n in {e - s for s, e in spans}}
-    return sorted({k for s, e in spans if tuple(a[s:e]) in held[e - s] for k in range(s, e)})
+    held: dict = {}
+    for n in {e - s for s, e in spans}:
+        for j in range(len(b) - n, -1, -1):
+            held[tuple(b[j : j + n])] = j
+    out: dict[int, int] = {}
+    for s, e in spans:
+        j = held.get(tuple(a[s:e]))
+        if j is not None:
+            for k in range(s, e):
+                out.setdefault(k, j + k - s)
+    return out
 
 
 def runs(words: np.ndarray, borders: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,11 +162,11 @@ def _align(least: int):
     keys = lambda lines: [None if x["h"] is None else (x["h"], x["c"]) for x in lines]
 
     def run(batches):
-        """Rows in order of (first_id, part): the lines of the first document, then those of later ones -> doc_id, row, at (a line to delete)."""
+        """Rows in order of (first_id, part): the lines of the first document, then those of later ones -> doc_id, row, at (a line to delete), first_id, first_at (the line that it repeats)."""
         release()
         key, firsts = None, []
         for batch in batches:
-            out: list[tuple[int, int, int]] = []
+            out: list[tuple] = []
             for r in batch.to_pylist():
                 if (r["first_id"], r["part"]) != key:
                     key, firsts = (r["first_id"], r["part"]), []
@@ -153,20 +174,17 @@ def _align(least: int):
                 if r["doc_id"] is None:
                     firsts.append(lines)
                 else:
-                    gone = {i for first in firsts for i in common_blocks(lines, r["words"], first, least)}
-                    out += [(r["doc_id"], r["row"], i) for i in sorted(gone)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], ["doc_id", "row", "at"])
+                    gone: dict = {}
+                    for first in firsts:
+                        gone = dict(block_places(lines, r["words"], first, least)) | gone
+                    out += [(r["doc_id"], r["row"], i, r["first_id"], j) for i, j in sorted(gone.items())]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()))], ["doc_id", "row", "at", "first_id", "first_at"])
 
     return run
 
 
-def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS, spare: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Return doc_id, row (a hash of the text) and gone, the positions of lines to delete, for the rows that have any.
-
-    With spare, pairs whose texts are this similar as wholes, by their full sets of five-word shingles, are not aligned: they are left to
-    deduplication of documents, which could no longer see what they were after some of their lines had gone. What counts is what the
-    blocks of all other pairs leave of their texts; pairs that are less similar then are aligned as well. Null ids and texts take no part; an empty table gives an empty result.
-    """
+def _rows_and_pairs(docs: DataFrame, least_words: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The lines of all documents as hashes with their words, and the pairs (doc_id, first_id) to align: a document with the first that holds one of its runs."""
     lines = F.split(F.col(text_col), "\n", -1)
     trimmed = F.transform(lines, lambda x: F.trim(x))
     none = F.struct(F.lit(None).cast("bigint").alias("h"), F.lit(None).cast("bigint").alias("c"))
@@ -185,18 +203,40 @@ def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS, spare: float
     shared = held.groupBy("run").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").drop("last_id")
     shared = small(staged(shared, "lines-shared"))
     pairs = staged(held.join(shared, "run").where("doc_id > first_id").select("doc_id", "first_id").distinct(), "lines-pairs")
+    return rows, pairs
+
 
-    def aligned(pairs: DataFrame) -> DataFrame:
-        """doc_id, row, at. The pairs of one first document are dealt into parts; each has its lines once, and later documents stream past."""
-        wanted = staged(pairs.select(F.explode(F.array("doc_id", "first_id")).alias("doc_id")).distinct(), "lines-wanted")
-        texts = only(rows, wanted, "doc_id").repartition("doc_id").dropDuplicates(["doc_id", "row"])
-        parts = pairs.groupBy("first_id").agg(F.ceil(F.count(F.lit(1)) / ALIGN_ROWS).alias("parts")).where("parts > 1")
-        dealt = pairs.join(small(staged(parts, "lines-parts")), "first_id", "left").select("doc_id", "first_id", F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1))).alias("part"))
-        no = F.lit(None).cast("bigint")
-        heads = dealt.select("first_id", "part").distinct().join(texts.withColumnRenamed("doc_id", "first_id"), "first_id").select("first_id", "part", no.alias("doc_id"), "row", "lines", "words")
-        later = dealt.join(texts, "doc_id").select("first_id", "part", "doc_id", "row", "lines", "words")
-        both = heads.unionAll(later).repartition("first_id", "part").sortWithinPartitions("first_id", "part", F.col("doc_id").asc_nulls_first())
-        return both.mapInArrow(_align(least_words), "doc_id long, row long, at int")
+def _aligned(rows: DataFrame, pairs: DataFrame, least_words: int) -> DataFrame:
+    """doc_id, row, at, first_id, first_at. The pairs of one first document are dealt into parts; each has its lines once, and later documents stream past."""
+    wanted = staged(pairs.select(F.explode(F.array("doc_id", "first_id")).alias("doc_id")).distinct(), "lines-wanted")
+    texts = only(rows, wanted, "doc_id").repartition("doc_id").dropDuplicates(["doc_id", "row"])
+    parts = pairs.groupBy("first_id").agg(F.ceil(F.count(F.lit(1)) / ALIGN_ROWS).alias("parts")).where("parts > 1")
+    dealt = pairs.join(small(staged(parts, "lines-parts")), "first_id", "left").select("doc_id", "first_id", F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1))).alias("part"))
+    no = F.lit(None).cast("bigint")
+    heads = dealt.select("first_id", "part").distinct().join(texts.withColumnRenamed("doc_id", "first_id"), "first_id").select("first_id", "part", no.alias("doc_id"), "row", "lines", "words")
+    later = dealt.join(texts, "doc_id").select("first_id", "part", "doc_id", "row", "lines", "words")
+    both = heads.unionAll(later).repartition("first_id", "part").sortWithinPartitions("first_id", "part", F.col("doc_id").asc_nulls_first())
+    return both.mapInArrow(_align(least_words), "doc_id long, row long, at int, first_id long, first_at int")
+
+
+def repeated_blocks(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, row (a hash of the text), at, first_id, first_at: each line of a block that a document has in common with an earlier one, and the line there with which the alignment pairs it.
+
+    Lines are counted from 0. A line is paired once with each earlier document that it is aligned with. Null ids and texts take no part; an empty table gives an empty result.
+    """
+    rows, pairs = _rows_and_pairs(docs, least_words, id_col, text_col)
+    return _aligned(rows, pairs, least_words)
+
+
+def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS, spare: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Return doc_id, row (a hash of the text) and gone, the positions of lines to delete, for the rows that have any.
+
+    With spare, pairs whose texts are this similar as wholes, by their full sets of five-word shingles, are not aligned: they are left to
+    deduplication of documents, which could no longer see what they were after some of their lines had gone. What counts is what the
+    blocks of all other pairs leave of their texts; pairs that are less similar then are aligned as well. Null ids and texts take no part; an empty table gives an empty result.
+    """
+    rows, pairs = _rows_and_pairs(docs, least_words, id_col, text_col)
+    aligned = lambda pairs: _aligned(rows, pairs, least_words).select("doc_id", "row", "at")
 
     def of_row(gone: DataFrame) -> DataFrame:
         return gone.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("at")).alias("gone"))

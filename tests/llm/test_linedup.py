@@ -25,6 +25,27 @@ def test_moved_blocks_are_found():
     assert linedup.common_blocks(["a", "new", "b"], [9] * 3, first, 20) == []
 
 
+def test_the_alignment_decides_which_block_is_repeated():
+    """The block stands twice in the first document; a lookup of runs takes the first place, the alignment the one between the same neighbours."""
+    first = ["x", "y", "start", "x", "y", "end"]
+    later = ["start", "x", "y", "end"]
+    assert linedup.block_places(later, [9] * 4, first, 18) == [(0, 2), (1, 3), (2, 4), (3, 5)]
+    assert linedup._in_common_runs(later, [9] * 4, first, 18)[1] == 3
+    first = ["x", "y", "a", "x", "y", "b"]
+    later = ["new", "x", "y", "b"]
+    assert linedup.block_places(later, [9] * 4, first, 18) == [(1, 3), (2, 4), (3, 5)]
+    assert linedup._in_common_runs(later, [9] * 4, first, 18)[1] == 0
+
+
+def test_places_of_blocks(spark):
+    say = lambda s: f"the line that says {s} and has some words more than ten in it"
+    rows = [(1, "\n".join(map(say, ["x", "y", "a", "x", "y", "b"]))), (2, "\n".join(["own", "", *map(say, ["x", "y", "b"])])), (3, None)]
+    got = {(r.doc_id, r.at, r.first_id, r.first_at) for r in linedup.repeated_blocks(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(2, 2, 1, 3), (2, 3, 1, 4), (2, 4, 1, 5)}
+    lines = {i: (t or "").split("\n") for i, t in rows}
+    assert all(lines[d][i] == lines[f][j] for d, i, f, j in got)
+
+
 def brute(rows, least):
     """Every stretch of lines of enough words that any earlier document has goes; blank lines count for nothing."""
     seqs, out = [], {}
