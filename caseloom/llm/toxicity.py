@@ -169,8 +169,12 @@ def score(spark: SparkSession, docs: DataFrame, model: DataFrame, keep: bool = F
     weights = {r["feature"]: r["weight"] for r in model.collect()}
     key = str(zlib.crc32(repr(sorted(weights.items())).encode()))
     docs = docs.drop(*names) if keep else docs.select(id_col, text_col)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if keep or f.name != text_col]
-    return docs.mapInArrow(_score(key, spark.sparkContext.broadcast(weights), text_col, keep, names), ", ".join([*fields, f"`{names[0]}` double", f"`{names[1]}` array<struct<start:int,end:int,score:double>>"]))
+    # Columns go through the tasks by number: mapInArrow takes no name with a dot.
+    at, kept = {c: f"c{i}" for i, c in enumerate(docs.columns)}, [f for f in docs.schema if keep or f.name != text_col]
+    fields = [f"{at[f.name]} {f.dataType.simpleString()}" for f in kept]
+    numbered = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in at.items()])
+    scored = numbered.mapInArrow(_score(key, spark.sparkContext.broadcast(weights), at[text_col], keep, ("score", "spans")), ", ".join([*fields, "score double", "spans array<struct<start:int,end:int,score:double>>"]))
+    return scored.toDF(*[f.name for f in kept], *names)
 
 
 def held_out(doc_id) -> F.Column:

@@ -1,6 +1,6 @@
 import pytest
 
-EXTRA = {"size": 1, "u": "x", "row": 2, "n": 3, "h": "y", "rep": 4, "block": 5, "part": 6, "target": 7, "copies": 8, "toxicity": 0.5, "place": 9}
+EXTRA = {"size": 1, "u": "x", "row": 2, "n": 3, "h": "y", "rep": 4, "block": 5, "part": 6, "target": 7, "copies": 8, "toxicity": 0.5, "place": 9, "a.b": 10}
 
 
 @pytest.fixture(scope="session")
