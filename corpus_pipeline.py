@@ -15,6 +15,10 @@ from caseloom.llm.common import WORD, shared_path, staged, without
 SPARE = 0.8
 
 
+def _columns(docs) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def toxic_documents(spark, docs, sf_dir):
     """Documents whose toxicity is at least one half go. The model is fitted on a bounded sample of the labelled documents.
 
@@ -24,7 +28,7 @@ def toxic_documents(spark, docs, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(toxicity.labelled_documents(docs, labels))
     scored = toxicity.score(spark, docs, model, keep=True, names=("__toxicity", "__spans"))
-    return scored.where("__toxicity < 0.5").select(*docs.columns)
+    return scored.where("__toxicity < 0.5").select(*_columns(docs))
 
 
 def line_duplicates(spark, docs, sf_dir):
@@ -37,7 +41,7 @@ def line_duplicates(spark, docs, sf_dir):
     out = out.where((F.col("__deleted") == 0) | F.col("text").rlike(WORD))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__deleted") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*_columns(docs))
 
 
 def near_duplicates(spark, docs, sf_dir):
@@ -47,7 +51,7 @@ def near_duplicates(spark, docs, sf_dir):
     they stay or go together. An empty table gives an empty result.
     """
     gone = staged(neardup.near_groups(docs, k=5).where("NOT kept").select("doc_id").distinct(), "near-gone")
-    return without(docs, gone, "doc_id").select(*docs.columns)
+    return without(docs, gone, "doc_id").select(*_columns(docs))
 
 
 def mixed_sources(spark, docs, sf_dir):
