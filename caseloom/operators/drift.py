@@ -5,11 +5,14 @@ Signals have one row a time bucket, so windows over a whole signal are over a sm
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseloom.operators.log import arrivals, assign_case_ids
+
 
 def window_distance(freq: DataFrame) -> DataFrame:
     """freq (bucket, state, share), zero-filled -> bucket, and distances from the bucket before: total variation, Hellinger, Jensen-Shannon (base 2)."""
@@ -71,3 +74,49 @@ def drift_evaluation(detected: DataFrame, known: DataFrame, tolerance: int) -> D
     right = hits.agg(F.countDistinct("bucket").alias("right")).crossJoin(first.agg(F.count(F.lit(1)).alias("found"), F.avg("delay").alias("delay")))
     counts = detected.agg(F.count(F.lit(1)).alias("detected")).crossJoin(known.agg(F.count(F.lit(1)).alias("known"))).crossJoin(right)  # one row each
     return counts.select("detected", "known", F.round(F.col("right") / F.nullif(F.col("detected"), F.lit(0)), 6).alias("precision"), F.round(F.col("found") / F.nullif(F.col("known"), F.lit(0)), 6).alias("recall"), F.round("delay", 6).alias("mean_delay"))
+
+
+#: Where known drifts lie, as fractions of the traces in order of their first events: (shape, [(from, to), ...]). A sudden drift is a point, a gradual one a stretch, a recurring
+#: one alternates at the ends of equal seasons, an incremental one steps from version to version.
+SHAPES = [
+    ("sudden", [(0.5, 0.5)]),
+    ("gradual", [(0.4, 0.6)]),
+    ("recurring", [(0.2, 0.2), (0.4, 0.4), (0.6, 0.6), (0.8, 0.8)]),
+    ("incremental", [(0.25, 0.25), (0.5, 0.5), (0.75, 0.75)]),
+]
+
+
+def drift_intervals(log: DataFrame, shapes: Iterable[tuple[str, list[tuple[float, float]]]] = SHAPES) -> DataFrame:
+    """shape, part, from_us, to_us: known drifts, from fractions of the traces to the times at which those traces begin.
+
+    The trace at fraction f of n is number floor(f * n) + 1, the last at most, in order of first events (assign_case_ids), so no window orders all traces. A log without cases gives no rows.
+    """
+    ends = [(s, i, k, f) for s, parts in shapes for i, part in enumerate(parts, 1) for k, f in enumerate(part)]
+    wanted = log.sparkSession.createDataFrame(ends, "shape string, part int, `end` int, fraction double")  # some rows
+    numbered = assign_case_ids(log).select("case_id", "number").join(arrivals(log), "case_id").select("number", "first_us")
+    total = numbered.agg(F.count(F.lit(1)).alias("n"))  # one row
+    wanted = wanted.crossJoin(F.broadcast(total)).withColumn("number", F.least(F.floor(F.col("fraction") * F.col("n")) + 1, F.col("n")))
+    at = numbered.join(F.broadcast(wanted), "number")
+    return at.groupBy("shape", "part").agg(F.min(F.when(F.col("end") == 0, F.col("first_us"))).alias("from_us"), F.min(F.when(F.col("end") == 1, F.col("first_us"))).alias("to_us"))
+
+
+def match_intervals(detected: DataFrame, known: DataFrame, tolerance: int, by: str = "shape") -> DataFrame:
+    """by, part, bucket, delay: detections (bucket) one to one with known intervals (by, part, from, to, in buckets), up to tolerance buckets after their ends.
+
+    A detection counts for the first of the intervals of its kind that hold it, an interval takes the first detection that counts for it; so further hits of one drift are not right
+    twice. delay is from the interval's start. Intervals are laid out over their buckets, so this is a join on equal buckets.
+    """
+    spread = known.select(by, "part", F.col("from").alias("start"), F.explode(F.sequence("from", F.col("to") + tolerance)).alias("bucket"))
+    hits = detected.select("bucket").distinct().join(spread, "bucket")
+    own = F.row_number().over(Window.partitionBy(by, "bucket").orderBy("start", "part"))
+    first = hits.withColumn("nth", own).where("nth = 1").groupBy(by, "part", "start").agg(F.min("bucket").alias("bucket"))
+    return first.select(by, "part", "bucket", (F.col("bucket") - F.col("start")).alias("delay"))
+
+
+def shape_evaluation(detected: DataFrame, known: DataFrame, tolerance: int, by: str = "shape") -> DataFrame:
+    """by, detected, known, matched, precision, recall, mean_delay: how well the detections find the known intervals of each kind, one to one."""
+    right = match_intervals(detected, known, tolerance, by).groupBy(by).agg(F.count(F.lit(1)).alias("matched"), F.avg("delay").alias("delay"))
+    n = detected.select("bucket").distinct().agg(F.count(F.lit(1)).alias("detected"))  # one row
+    out = known.groupBy(by).agg(F.count(F.lit(1)).alias("known")).join(right, by, "left").na.fill(0, ["matched"]).crossJoin(F.broadcast(n))
+    share = lambda of: F.round(F.col("matched") / F.nullif(F.col(of), F.lit(0)), 6)
+    return out.select(by, "detected", "known", "matched", share("detected").alias("precision"), share("known").alias("recall"), F.round("delay", 6).alias("mean_delay"))

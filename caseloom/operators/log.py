@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from datetime import datetime, timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ORDER = ("ts_us", "event_id")
@@ -89,6 +90,29 @@ def split_log(log: DataFrame, cuts: Iterable[int], half_open: bool = True) -> Da
     return out.where((F.col("ts_us") >= FIRST_US) & (F.col("ts_us") <= ends))
 
 
+def split_names(cuts: Iterable[int], stem: str) -> list[tuple[int, str, str, str]]:
+    """(window, name, from, to) of each window: the name is stem_window_i, from and to are ISO times in UTC, the latter a second before the next cut."""
+    iso = lambda us: (datetime(1970, 1, 1) + timedelta(microseconds=us)).isoformat(sep=" ")
+    cuts = sorted(cuts)
+    edges = [*zip([FIRST_US, *cuts], [*(c - 1_000_000 for c in cuts), LAST_US], strict=True)]
+    return [(i, f"{stem}_window_{i}", iso(a), iso(b)) for i, (a, b) in enumerate(edges)]
+
+
+def write_windows(log: DataFrame, cuts: Iterable[int], path: str, half_open: bool = True, by_case: bool = False) -> None:
+    """Write the log once, cut in windows: a folder window=i for each, so that reading one window scans its folder alone. Windows that are written again are replaced, others stay.
+
+    by_case keeps cases whole, by their last event. Rows of a window are dealt over as many files as their size asks for (a rebalance, which splits large windows). Events
+    without time (or, by_case, without case) are in the folder of the null window.
+    """
+    cut = split_traces_by_last_event(log, cuts) if by_case else split_log(log, cuts, half_open)
+    cut.hint("rebalance", "window").write.partitionBy("window").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+
+
+def read_window(spark: SparkSession, path: str, window: int) -> DataFrame:
+    """The events of one window of write_windows."""
+    return spark.read.parquet(path).where(F.col("window") == window)
+
+
 def split_report(split: DataFrame) -> DataFrame:
     """window, first_us, last_us, traces, events. Events without case count as events, not as traces."""
     return split.groupBy("window").agg(F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), F.countDistinct("case_id").alias("traces"), F.count(F.lit(1)).alias("events"))

@@ -316,6 +316,24 @@ e(
     lambda x: drift.drift_evaluation(_points(x), _known(x), 4),
     f", {CP}, {KN}, HI AS (SELECT known, bucket, bucket - known AS delay FROM CP JOIN KN ON bucket BETWEEN known AND known + 4), FH AS (SELECT known, min(delay) AS delay FROM HI GROUP BY known) SELECT (SELECT count(*) FROM CP) AS detected, (SELECT count(*) FROM KN) AS known, round((SELECT count(DISTINCT bucket) FROM HI) / nullif((SELECT count(*) FROM CP), 0), 6) AS precision, round((SELECT count(*) FROM FH) / nullif((SELECT count(*) FROM KN), 0), 6) AS recall, (SELECT round(avg(delay), 6) FROM FH) AS mean_delay",
 )
+SHAPE_ROWS = ", ".join(f"('{s}', {i}, {a}, {b})" for s, parts in drift.SHAPES for i, (a, b) in enumerate(parts, 1))
+SH = f"""TR AS (SELECT row_number() OVER (ORDER BY f, case_id) AS number, f FROM (SELECT case_id, min(ts_us) AS f FROM E GROUP BY case_id)), TN AS (SELECT count(*) AS n FROM TR),
+SF AS (SELECT shape, part, least(floor(a::DOUBLE * n) + 1, n) AS na, least(floor(b::DOUBLE * n) + 1, n) AS nb FROM (VALUES {SHAPE_ROWS}) t(shape, part, a, b), TN),
+SH AS (SELECT shape, part, x.f AS from_us, y.f AS to_us FROM SF JOIN TR x ON x.number = na JOIN TR y ON y.number = nb)"""
+
+
+def _shapes(x: DataFrame) -> DataFrame:
+    return drift.drift_intervals(x).select("shape", "part", F.floor(F.col("from_us") / DAY).alias("from"), F.floor(F.col("to_us") / DAY).alias("to"))
+
+
+e("drift_shapes", drift.drift_intervals, f", {SH} SELECT shape, part::INT AS part, from_us, to_us FROM SH")
+e(
+    "drift_shape_evaluation",
+    lambda x: drift.shape_evaluation(_points(x), _shapes(x), 4),
+    f""", {CP}, {SH}, KI AS (SELECT shape, part, from_us // {DAY} AS a, to_us // {DAY} AS b FROM SH), HI AS (SELECT shape, part, a, bucket, row_number() OVER (PARTITION BY shape, bucket ORDER BY a, part) AS nth FROM CP JOIN KI ON bucket BETWEEN a AND b + 4),
+    MI AS (SELECT shape, part, a, min(bucket) AS bucket FROM HI WHERE nth = 1 GROUP BY ALL), MS AS (SELECT shape, count(*) AS matched, avg(bucket - a) AS delay FROM MI GROUP BY shape), KS AS (SELECT shape, count(*) AS known FROM KI GROUP BY shape)
+    SELECT KS.shape, (SELECT count(*) FROM CP) AS detected, known, coalesce(matched, 0) AS matched, round(coalesce(matched, 0) / nullif((SELECT count(*) FROM CP), 0), 6) AS precision, round(coalesce(matched, 0) / known, 6) AS recall, round(delay, 6) AS mean_delay FROM KS LEFT JOIN MS ON MS.shape = KS.shape""",
+)
 CO = f"CW AS (SELECT resource, ts_us // {DAY} AS bucket, coalesce(sum(greatest(w, 0)), 0)::BIGINT AS wait_us FROM (SELECT resource, ts_us, start_us - lag(ts_us) OVER w AS w FROM E {W}) GROUP BY ALL), {OVER}, CPR AS (SELECT resource, from_us // {DAY} AS bucket, count(*) AS pairs FROM OV GROUP BY ALL), CO AS (SELECT resource, bucket, coalesce(pairs, 0) AS pairs, coalesce(wait_us, 0) AS wait_us FROM (SELECT coalesce(CW.resource, CPR.resource) AS resource, coalesce(CW.bucket, CPR.bucket) AS bucket, pairs, wait_us FROM CW FULL JOIN CPR ON CW.resource IS NOT DISTINCT FROM CPR.resource AND CW.bucket = CPR.bucket))"
 e("resource_contention", resources.resource_contention, f", {CO} SELECT * FROM CO")
 e(

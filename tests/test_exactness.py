@@ -138,3 +138,33 @@ def test_approximate_variant_count_and_columns(spark):
     df = events(spark, [(f"c{i}", "xy"[i % 2], i, i, "r", 0, i) for i in range(50)])
     assert log.variant_count(df, approximate=True).first()[0] == 2
     assert df.columns == SCHEMA.replace(" string", "").replace(" long", "").replace(" int", "").split(", ")
+
+
+def test_windows_are_written_once_and_read_alone(spark, tmp_path):
+    rng = random.Random(7)
+    df = events(spark, [(f"c{i % 13}", "x", rng.randrange(0, 9 * DAY), 0, "r", 0, i) for i in range(300)] + [("c0", "x", None, None, "r", 0, 999)]).repartition(3)
+    path, cuts = str(tmp_path / "split"), (6 * DAY, 3 * DAY)
+    log.write_windows(df, cuts, path)
+    back = spark.read.parquet(path)
+    assert sorted(map(tuple, back.select(df.columns).collect()), key=repr) == sorted(map(tuple, df.collect()), key=repr)
+    one = log.read_window(spark, path, 1)
+    assert {r.event_id for r in one.collect()} == {r.event_id for r in df.where(f"ts_us >= {3 * DAY} AND ts_us < {6 * DAY}").collect()}
+    assert len({f.rsplit("/", 2)[1] for f in one.inputFiles()}) == 1 or "PartitionFilters: [isnotnull(window" in one._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in one._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan" in line)
+    assert "window" in scan.split("PartitionFilters: [")[1].split("]")[0]
+    log.write_windows(df.where(f"ts_us >= {6 * DAY}").withColumn("activity", F.lit("new")), cuts, path)
+    assert {(r.window, r.activity) for r in spark.read.parquet(path).select("window", "activity").distinct().collect()} == {(0, "x"), (1, "x"), (2, "new"), (None, "x")}
+    log.write_windows(df, cuts, path + "-cases", by_case=True)
+    assert spark.read.parquet(path + "-cases").where("window IS NOT NULL").groupBy("case_id").agg(F.countDistinct("window").alias("n")).where("n > 1").count() == 0
+    assert log.split_names([1_624_267_324_000_000], "sudden_drift") == [(0, "sudden_drift_window_0", "1970-01-01 00:00:00", "2021-06-21 09:22:03"), (1, "sudden_drift_window_1", "2021-06-21 09:22:04", "2099-12-30 23:59:59")]
+
+
+def test_shapes_and_matching_one_to_one(spark):
+    df = events(spark, [(f"c{i:03}", "x", i * DAY + e, i * DAY, "r", 0, 2 * i + e) for i in range(100) for e in (0, 1)])
+    got = {(r.shape, r.part): (r.from_us // DAY, r.to_us // DAY) for r in drift.drift_intervals(df).collect()}
+    assert got[("sudden", 1)] == (50, 50) and got[("gradual", 1)] == (40, 60) and [got["recurring", i][0] for i in (1, 2, 3, 4)] == [20, 40, 60, 80] and [got["incremental", i][0] for i in (1, 2, 3)] == [25, 50, 75]
+    known = spark.createDataFrame([("s", 1, 10, 10), ("s", 2, 12, 14), ("t", 1, 50, 50)], "shape string, part int, `from` long, `to` long")
+    found = spark.createDataFrame([(11, 1.0), (12, 1.0), (15, 1.0), (30, 1.0)], "bucket long, score double")
+    assert sorted(map(tuple, drift.match_intervals(found, known, 2).collect())) == [("s", 1, 11, 1), ("s", 2, 15, 3)]
+    rows = {r.shape: (r.detected, r.known, r.matched, r.precision, r.recall) for r in drift.shape_evaluation(found, known, 2).collect()}
+    assert rows == {"s": (4, 2, 2, 0.5, 1.0), "t": (4, 1, 0, 0.0, 0.0)}
