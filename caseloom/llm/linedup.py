@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import WORD, may_be_among, only, release, small, staged
+from caseloom.llm.common import WORD, may_be_among, only, lean, small, staged
 from caseloom.llm.neardup import _STEP, _mix, confirmed, likely_copies
 
 #: A common block is deleted if it has so many words.
@@ -140,7 +140,6 @@ def runs(words: np.ndarray, borders: np.ndarray, least: int) -> tuple[np.ndarray
 
 def _run_keys(least: int):
     def run(batches):
-        release()
         for batch in batches:
             lines, words = batch.column("hashes"), batch.column("words").flatten().to_numpy()
             sizes = lines.value_lengths().to_numpy()
@@ -155,7 +154,7 @@ def _run_keys(least: int):
             out = pa.table({"doc_id": ids, "run": keys.view(np.int64)}).group_by(["doc_id", "run"]).aggregate([])
             yield from out.select(["doc_id", "run"]).to_batches()
 
-    return run
+    return lean(run)
 
 
 def _align(least: int):
@@ -163,7 +162,6 @@ def _align(least: int):
 
     def run(batches):
         """Rows in order of (first_id, part): the lines of the first document, then those of later ones -> doc_id, row, at (a line to delete), first_id, first_at (the line that it repeats)."""
-        release()
         key, firsts = None, []
         for batch in batches:
             out: list[tuple] = []
@@ -180,7 +178,7 @@ def _align(least: int):
                     out += [(r["doc_id"], r["row"], i, r["first_id"], j) for i, j in sorted(gone.items())]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()))], ["doc_id", "row", "at", "first_id", "first_at"])
 
-    return run
+    return lean(run)
 
 
 def _rows_and_pairs(docs: DataFrame, least_words: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:

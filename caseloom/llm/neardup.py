@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import discard, only, release, small, staged, text_slices
+from caseloom.llm.common import discard, only, lean, small, staged, text_slices
 
 COORDINATES, MATCHES, MINIMA = 40, 5, 3
 PREFIX = COORDINATES - MATCHES + 1
@@ -106,7 +106,6 @@ def _low(sets: list[np.ndarray]) -> pa.Array:
 
 def _signatures(k: int):
     def run(batches):
-        release()
         for batch in text_slices(batches, "text", 1_000_000):
             with np.errstate(over="ignore"):
                 texts = pc.ascii_lower(batch.column("text")).cast(pa.binary()).to_pylist()
@@ -127,29 +126,27 @@ def _signatures(k: int):
                 sigs = pa.array([x.tobytes() for x in keys], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), digests, lists, sigs, _low(sets)], ["doc_id", "n", "digest", "keys", "sig", "low"])
 
-    return run
+    return lean(run)
 
 
 def _lowest(k: int):
     def run(batches):
-        release()
         for batch in text_slices(batches, "text", 1_000_000):
             with np.errstate(over="ignore"):
                 sets = shingle_sets(pc.ascii_lower(batch.column("text")).cast(pa.binary()).to_pylist(), k)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), _low(sets)], ["doc_id", "n", "low"])
 
-    return run
+    return lean(run)
 
 
 def _may_be_alike(percent: int):
     def run(batches):
-        release()
         for batch in batches:
             low = [[np.frombuffer(x, "<u4") for x in batch.column(c).to_pylist()] for c in ("low_a", "low_b")]
             good = [_may_link(a, n, b, m, percent) for a, n, b, m in zip(low[0], batch.column("n_a").to_pylist(), low[1], batch.column("n_b").to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return run
+    return lean(run)
 
 
 def likely_copies(pairs: DataFrame, docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -213,7 +210,6 @@ def _merged(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 def _cells(percent: int):
     def run(batches):
         """Rows in order of their cell -> candidate pairs; only the rows of one cell are held."""
-        release()
         cell, rows = None, []
         for batch in batches:
             out = []
@@ -228,7 +224,7 @@ def _cells(percent: int):
             out = _cell_pairs(rows, percent)
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    return run
+    return lean(run)
 
 
 def shingles(text: str, k: int) -> set:
@@ -239,7 +235,6 @@ def shingles(text: str, k: int) -> set:
 def _confirm(k: int, percent: int):
     def run(batches):
         """Rows in order of (a, part): the text of a, then those of the documents to hold against it."""
-        release()
         key, heads = None, []
         for batch in text_slices(batches, "text"):
             good = []
@@ -256,7 +251,7 @@ def _confirm(k: int, percent: int):
                 good.append(similar)
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return run
+    return lean(run)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, among: bool = False) -> DataFrame:
