@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import staged, text_slices
+from caseloom.llm.common import lean, staged, text_slices
 from caseloom.llm.tokens import WORD_TOKENIZER, encoder
 
 CAPACITY = 4096
@@ -36,8 +36,9 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, place
 
 def _pieces(tokenizer: str, end: int, capacity: int, with_ids: bool):
     def pieces(batches):
+        """Words are remembered within a task; a worker that waits holds no tokenizer."""
         coder, last, step, place = encoder(tokenizer), np.array([end], "<u4").tobytes(), 4 * capacity, TaskContext.get().partitionId() << 36
-        for batch in text_slices(batches, "text"):
+        for batch in text_slices(batches, "text", 1_000_000):
             out: list[tuple] = []
             for doc_id, coded in zip(batch.column("doc_id").to_pylist(), coder.encode(batch.column("text").cast(pa.binary()).to_pylist()), strict=True):
                 raw = coded + last
@@ -50,7 +51,7 @@ def _pieces(tokenizer: str, end: int, capacity: int, with_ids: bool):
             cols = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=False)], names[: len(cols)])
 
-    return pieces
+    return lean(pieces)
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:

@@ -2,9 +2,11 @@
 
 import tracemalloc
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -12,7 +14,7 @@ from pyarrow import orc
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from caseloom.llm import packing, tokcount, tokenfile, tokens
+from caseloom.llm import common, packing, tokcount, tokenfile, tokens
 
 BYTE = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 WORD = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
@@ -216,3 +218,10 @@ def test_waiting_searches_of_a_block_hold_no_tables():
         tracemalloc.stop()
     assert sorted(n for b in bins for n in b) == sorted(lengths) and max(map(sum, bins)) <= 4096
     assert peak < 12 << 20
+
+
+def test_a_packing_worker_gives_its_tokenizer_back(monkeypatch):
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    run = packing._pieces(tokens.WORD_TOKENIZER, 1, 4096, False)([pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["some words"]})])
+    assert next(run).num_rows == 1 and common._held
+    assert not list(run) and not common._held
