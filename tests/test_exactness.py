@@ -168,3 +168,25 @@ def test_shapes_and_matching_one_to_one(spark):
     assert sorted(map(tuple, drift.match_intervals(found, known, 2).collect())) == [("s", 1, 11, 1), ("s", 2, 15, 3)]
     rows = {r.shape: (r.detected, r.known, r.matched, r.precision, r.recall) for r in drift.shape_evaluation(found, known, 2).collect()}
     assert rows == {"s": (4, 2, 2, 0.5, 1.0), "t": (4, 1, 0, 0.0, 0.0)}
+
+
+def test_overlaps_of_months_and_minutes(spark):
+    """All pairs, and two rows held for each interval, however long."""
+    rng = random.Random(9)
+    minute = 60_000_000
+    rows = []
+    for i in range(400):
+        a, long = rng.randrange(0, 20 * DAY), rng.choice([1, 2, 4**13, 4**13 + 1, minute, minute, 10 * minute, DAY, 30 * DAY if i % 20 == 0 else 0, -5])
+        rows.append((f"c{rng.randrange(40)}" if i % 50 else None, "x", a + long, a, rng.choice(["r", "r", "s", None]), 0, i % 390))
+    rows += [(f"d{i}", "x", -5 * DAY + i * minute, -9 * DAY, "r", 0, 1000 + i) for i in range(5)]
+    df = events(spark, rows)
+    want = Counter()
+    for i, (c, _, b, a, r, _, n) in enumerate(rows):
+        for c2, _, b2, a2, r2, _, n2 in rows[:i]:
+            if c is not None and c2 is not None and c != c2 and r == r2 and n != n2 and a <= b and a2 <= b2 and a < b2 and a2 < b:
+                want[r, min(n, n2), max(n, n2), max(a, a2), min(b, b2) - max(a, a2)] += 1
+    got = resources.overlapping_cases(df)
+    assert Counter(map(tuple, got.collect())) == want and len(want) > 500
+    spans = df.where("start_us < ts_us").withColumn("level", F.ceil(F.log(4.0, F.col("ts_us") - F.col("start_us"))).cast("int"))
+    assert resources.touched_buckets(spans, "level").groupBy("event_id", "case_id").count().agg(F.max("count")).first()[0] <= 2
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
