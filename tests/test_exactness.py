@@ -175,7 +175,7 @@ def test_overlaps_of_months_and_minutes(spark):
     rng = random.Random(9)
     minute = 60_000_000
     rows = []
-    for i in range(400):
+    for i in range(800):
         a, long = rng.randrange(0, 20 * DAY), rng.choice([1, 2, 4**13, 4**13 + 1, minute, minute, 10 * minute, DAY, 30 * DAY if i % 20 == 0 else 0, -5])
         rows.append((f"c{rng.randrange(40)}" if i % 50 else None, "x", a + long, a, rng.choice(["r", "r", "s", None]), 0, i % 390))
     rows += [(f"d{i}", "x", -5 * DAY + i * minute, -9 * DAY, "r", 0, 1000 + i) for i in range(5)]
