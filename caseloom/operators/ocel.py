@@ -33,9 +33,11 @@ def orphan_objects(objects: DataFrame, relations: DataFrame) -> DataFrame:
     return objects.select("oid", "type").join(relations.select("oid"), "oid", "left_anti")
 
 
-def objects_per_event(relations: DataFrame) -> DataFrame:
-    """type, objects, events: how many events have so many objects of the type."""
-    n = relations.groupBy("eid", "type").agg(F.countDistinct("oid").alias("objects"))
+def objects_per_event(relations: DataFrame, parts: int | None = None) -> DataFrame:
+    """type, objects, events: how many events have so many objects of the type. Relations, then different ones by event, are dealt into so many parts (None: as Spark divides them)."""
+    dealt = lambda df, *by: df.repartition(parts, *by) if parts else df
+    different = dealt(relations.select("eid", "type", "oid"), "eid", "type", "oid").distinct()
+    n = dealt(different, "eid", "type").groupBy("eid", "type").agg(F.count("oid").alias("objects"))
     return n.groupBy("type", "objects").agg(F.count(F.lit(1)).alias("events"))
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A table of a few numbers a row with at most so many rows may be broadcast.
 BROADCAST_ROWS = 200_000
+#: Rows of a few short columns that one task groups; Spark's own parts are of 64 MB compressed, which hold several millions.
+TASK_ROWS = 400_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,3 +35,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def small(df: DataFrame) -> DataFrame:
     """df, a staged narrow table, marked for broadcast if its counted rows are few; else Spark chooses."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def parts(spark: SparkSession, rows: int, most: int = TASK_ROWS) -> int:
+    """Into how many parts to divide rows, so that the memory of a task that groups one does not grow with the table."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // most))

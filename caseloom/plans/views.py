@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caseloom.operators.stage import parts
+
 DAY = 86_400_000_000
 HOUR = 3_600_000_000
 SPLIT = "1998-06-01"
@@ -74,6 +76,11 @@ L_SQL = f"""L AS (SELECT l_orderkey AS case_id, l_returnflag || l_linestatus AS
   CASE WHEN l_shipdate < TIMESTAMP '{SPLIT}' THEN 'log0' ELSE 'log1' END AS log FROM lineitem)"""
 
 
+def relation_parts(spark: SparkSession, sf_dir: str) -> int:
+    """Parts to group an object log's relations in, by rows (Parquet's footers tell them)."""
+    return parts(spark, 2 * table(spark, sf_dir, "orders").count() + table(spark, sf_dir, "lineitem").count())
+
+
 def object_log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """events, objects and relations: orders with their customers and parts."""
     orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
@@ -86,10 +93,12 @@ def object_log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
         .unionAll(table(spark, sf_dir, "customer").select(oid("customer", "c_custkey"), F.lit("customer"), F.lit(None).cast("double"), F.col("c_mktsegment"), none("brand")))
         .unionAll(table(spark, sf_dir, "part").select(oid("part", "p_partkey"), F.lit("part"), F.col("p_retailprice"), none("segment"), F.col("p_brand")))
     )
+    keys = ("l_orderkey", "l_partkey")
+    different = items.select(*keys).repartition(parts(spark, items.count()), *keys).distinct()
     relations = (
         orders.select(eid.alias("eid"), oid("order", "o_orderkey"), F.lit("order").alias("type"))
         .unionAll(orders.select(eid, oid("customer", "o_custkey"), F.lit("customer")))
-        .unionAll(items.select(F.concat(F.lit("e_"), F.col("l_orderkey").cast("string")), oid("part", "l_partkey"), F.lit("part")).distinct())
+        .unionAll(different.select(F.concat(F.lit("e_"), F.col("l_orderkey").cast("string")), oid("part", "l_partkey"), F.lit("part")))
     )
     return events, objects, relations
 

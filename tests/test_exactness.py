@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from caseloom.operators import drift, log, quantiles, resources, states, windows
+from caseloom.operators import drift, log, ocel, quantiles, resources, stage, states, windows
+from caseloom.plans import queries, views
 
 DAY = log.DAY
 SCHEMA = "case_id string, activity string, ts_us long, start_us long, resource string, pool int, event_id long"
@@ -190,3 +191,23 @@ def test_overlaps_of_months_and_minutes(spark):
     spans = df.where("start_us < ts_us").withColumn("level", F.ceil(F.log(4.0, F.col("ts_us") - F.col("start_us"))).cast("int"))
     assert resources.touched_buckets(spans, "level").groupBy(*df.columns).count().agg(F.max("count")).first()[0] <= 2
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def exchanges(df):
+    """Keys and parts of the hash exchanges of a plan, and whether their number is given."""
+    found = (line.split("Exchange hashpartitioning(")[1] for line in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning(" in line)
+    return [([k.strip().split("#")[0] for k in x.split(")")[0].split(",")], "REPARTITION_BY_NUM" in x) for x in found]
+
+
+def test_objects_per_event_in_parts_by_rows(spark, monkeypatch):
+    """Parts grow with the rows, each table that is grouped by its many keys is dealt into them, and the rows are those of a plain count."""
+    assert stage.parts(spark, 100 * stage.TASK_ROWS + 1) == 101 and stage.parts(spark, 5) == spark.sparkContext.defaultParallelism
+    rng = random.Random(5)
+    rows = [(rng.choice([None, *(f"e{i}" for i in range(30))]), rng.choice([None, "part", "order"]), rng.choice([None, *(f"o{i}" for i in range(6))])) for _ in range(400)] + [("hot", "part", f"o{i}") for i in range(500)] + [("none", "part", None)] * 3
+    want = Counter((t, n) for (_, t), n in {(e, t): len({o for a, b, o in rows if (a, b) == (e, t)} - {None}) for e, t, _ in rows}.items())
+    relations = spark.createDataFrame(rows, "eid string, type string, oid string").repartition(3)
+    for parts in (None, 1, 9):
+        assert {(r.type, r.objects): r.events for r in ocel.objects_per_event(relations, parts).collect()} == want
+    monkeypatch.setattr(views, "parts", lambda spark, rows: 9)
+    got = exchanges(queries.QUERIES["objects_per_event"](spark, "/root/testdata/sf0.001"))
+    assert sorted(got) == [(["eid", "type", "9"], True), (["eid", "type", "oid", "9"], True), (["l_orderkey", "l_partkey", "9"], True), (["type", "objects", "4"], False)]
